@@ -4,8 +4,9 @@ A document is a sequence of k-mers (five words each), each labelled with how oft
 every band the few k-mers with the smallest hashes are sampled and kept in text order; documents whose samples
 agree, order included, are candidates, which is far likelier after small edits than for texts that only share
 k-mers. Candidates are verified by a banded alignment: aligned k-mers over all, at least 0.8. Exact copies are
-folded first. Candidates of a bucket are linked to its least member, and members that are then still in
-different components are compared with each other, so that no class is split for want of a comparison.
+folded first. Small buckets are compared in all pairs. In larger ones every member is compared with the most
+central member (the one with most candidates), and then, with the most central one of another component, all
+members that are still apart from it: work in proportion to the bucket, where a class is a component of links.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartlake.llm.common import documents_of, mix, slices, staged
 
 K, BANDS, SIMILARITY = 5, 40, 0.8
+#: Buckets up to this size are compared in all pairs, larger ones with their most central members.
+SMALL = 8
 #: Sampled k-mers per band, for texts of up to so many k-mers.
 LEVELS = ((8, 1), (24, 2), (64, 4), (1 << 62, 8))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -224,7 +227,36 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, least: float = SIMILARITY) -> DataFrame:
+def _long_enough(a: str, b: str, least: float) -> Column:
+    return F.least(a, b) >= F.greatest(a, b) * least
+
+
+def _all_pairs(shared: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a above b, within buckets of bounded size."""
+    l, r = shared.alias("l"), shared.alias("r")
+    return l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.id") > F.col("r.id")) & _long_enough("l.n", "r.n", least)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
+
+def _to_leader(shared: DataFrame, least: float, apart: bool = False) -> DataFrame:
+    """Pairs of every member with its bucket's most central one.
+
+    With apart, the leader is the most central member outside the component of the bucket's first leader, and
+    is paired with the members of other components than its own.
+    """
+    order = F.struct(F.col("degree").alias("d"), (-F.col("id")).alias("i"))
+    cols = ["id", "n", *(["component"] if apart else [])]
+    pick = lambda df: df.groupBy("bucket").agg(F.max_by(F.struct(*cols), order).alias("lead"))
+    lead = pick(shared)
+    if apart:
+        others = shared.join(lead.select("bucket", F.col("lead.component").alias("first")), "bucket").where("component <> first")
+        lead = pick(others)
+    found = shared.join(lead, "bucket").where((F.col("id") != F.col("lead.id")) & _long_enough("n", "lead.n", least))
+    if apart:
+        found = found.where(F.col("component") != F.col("lead.component"))
+    return found.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b"))
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, least: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """One row per document: doc_id, copy_id (least id with the same words), class_id (least id of its class), kept.
 
     Words are compared by their letters and digits in lower case. Null text counts as empty; texts without
@@ -238,21 +270,22 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
     reps = known.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     reps = staged(reps, "copies")
     members = reps.select("id", "n", F.explode("buckets").alias("bucket"))
-    leads = members.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1").select("bucket", "lead")
-    star = staged(members.join(leads, "bucket").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    shared = staged(members.join(sizes, "bucket"), "shared")
+    # how many candidates a text has says how central it is among its copies
+    central = shared.groupBy("id").agg(F.sum("c").alias("degree"))
+    shared = staged(shared.join(central, "id"), "shared")
     texts = df.where("doc_id is not null")
-    linked = staged(verified(star, texts, least), "linked")
-    first = components(linked)
-    # members of one bucket that are still apart: every such pair that was not compared yet
-    placed = members.join(leads.select("bucket"), "bucket").join(first, "id", "left").select("id", "n", "bucket", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    apart = placed.join(mixed, "bucket")
-    l, r = apart.alias("l"), apart.alias("r")
-    ratio = F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * least
-    cross = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.id") > F.col("r.id")) & (F.col("l.component") != F.col("r.component")) & ratio).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    cross = staged(cross.join(star, ["a", "b"], "left_anti"), "pairs")
-    more = verified(cross, texts, least)
-    final = components(linked.union(more))
+    pairs = staged(_all_pairs(shared.where(F.col("c") <= small), least).union(_to_leader(shared.where(F.col("c") > small), least)).distinct(), "pairs")
+    label = components(verified(pairs, texts, least))
+    placed = shared.where(F.col("c") > small).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    again = staged(_to_leader(staged(placed, "placed"), least, apart=True).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = verified(again, texts, least)
+    # the links found late join components, not texts
+    joined = more.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+    late = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    final = reps.select("id").join(label, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
+    final = final.join(late.select(F.col("id").alias("part"), "component"), "part", "left").select("id", F.coalesce("component", "part").alias("component"))
     classes = reps.select("copy", "id").join(final, "id", "left").select("copy", F.col("id").alias("copy_id"), F.coalesce("component", "id").alias("class_id"))
     out = known.select("doc_id", "copy").join(classes, "copy").select("doc_id", "copy_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     none = F.lit(None).cast("long")
