@@ -31,35 +31,40 @@ def boundaries(df: DataFrame, dims: list[str], bits: int = BITS) -> list[list[fl
     return [sorted(set(v or [])) for v in row]
 
 
-def hilbert_index(coords: list[Column], bits: int = BITS) -> Column:
-    """Place on the Hilbert curve of the cell with these coordinates (integers below 2**bits); Skilling's transform as a fold over (bit, axis)."""
-    n = len(coords)
-    steps = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(i).alias("i")) for q in (1 << b for b in range(bits - 1, 0, -1)) for i in range(n)])
-
-    def undo(x: Column, s: Column) -> Column:
-        q, i = s["q"], s["i"]
-        head, own, low = x[0], F.element_at(x, i + 1), q - 1
-        swap = head.bitwiseXOR(own).bitwiseAND(low)
-        set_bit = own.bitwiseAND(q) != 0
-        new_head = F.when(set_bit, head.bitwiseXOR(low)).otherwise(head.bitwiseXOR(swap))
-        new_own = F.when(set_bit, own).otherwise(own.bitwiseXOR(swap))
-        return F.transform(x, lambda v, k: F.when(k == 0, new_head).when(k == i, new_own).otherwise(v))
-
-    x = F.aggregate(steps, F.array(*[c.cast("int") for c in coords]), undo)
-    # each axis takes the exclusive or with the one before it
-    gray = F.aggregate(x, F.array().cast("array<int>"), lambda a, v: F.array_append(a, F.when(F.size(a) == 0, v).otherwise(v.bitwiseXOR(F.element_at(a, -1)))))
-    masks = F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)])
-    done = F.transform(gray, lambda v: v.bitwiseXOR(F.aggregate(masks, F.lit(0), lambda t, q: F.when(F.element_at(gray, -1).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))))
-    bit_at = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
-    return F.aggregate(bit_at, F.lit(0).cast("long"), lambda acc, s: acc * 2 + F.call_function("shiftright", F.element_at(done, s["i"] + 1), s["b"]).bitwiseAND(F.lit(1)))
+def hilbert_index(df: DataFrame, coords: list[str], bits: int = BITS) -> DataFrame:
+    """df with column hilbert, the place on the curve of the cell with these coordinates (integers below 2**bits).
+
+    Skilling's transform, a projection per step, so that no step's expression is written out again in the next one.
+    """
+    n, rest = len(coords), [c for c in df.columns if c not in coords]
+    df = df.select(*rest, *[F.col(c).cast("int").alias(c) for c in coords])
+    head = F.col(coords[0])
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        df = df.withColumn(coords[0], F.when(head.bitwiseAND(q) != 0, head.bitwiseXOR(q - 1)).otherwise(head))
+        for c in coords[1:]:
+            own = F.col(c)
+            bit, swap = own.bitwiseAND(q) != 0, head.bitwiseXOR(own).bitwiseAND(q - 1)
+            df = df.withColumns({coords[0]: F.when(bit, head.bitwiseXOR(q - 1)).otherwise(head.bitwiseXOR(swap)), c: F.when(bit, own).otherwise(own.bitwiseXOR(swap))})
+    for before, c in zip(coords, coords[1:], strict=False):
+        df = df.withColumn(c, F.col(c).bitwiseXOR(F.col(before)))
+    last, turn = F.col(coords[-1]), F.lit(0)
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        turn = turn.bitwiseXOR(F.when(last.bitwiseAND(q) != 0, q - 1).otherwise(0))
+    df = df.withColumn("__turn", turn)
+    place = F.lit(0).cast("long")
+    for b in range(bits - 1, -1, -1):
+        for i, c in enumerate(coords):
+            place = place + F.shiftleft(F.shiftright(F.col(c).bitwiseXOR(F.col("__turn")), b).bitwiseAND(1).cast("long"), b * n + n - 1 - i)
+    return df.withColumn("hilbert", place).drop("__turn", *coords)
 
 
 def with_curve(df: DataFrame, dims: list[str], bits: int = BITS, cuts: list[list[float]] | None = None) -> DataFrame:
     """df with its cell on the curve as column hilbert."""
     cuts = boundaries(df, dims, bits) if cuts is None else cuts
-    cell = [sum((F.when(code_of(df, d) > c, 1).otherwise(0) for c in v), F.lit(0)) for d, v in zip(dims, cuts, strict=True)]
-    coords = df.select("*", *[c.alias(f"__x{i}") for i, c in enumerate(cell)])
-    return coords.withColumn("hilbert", hilbert_index([F.col(f"__x{i}") for i in range(len(dims))], bits)).drop(*[f"__x{i}" for i in range(len(dims))])
+    names = [f"__x{i}" for i in range(len(dims))]
+    codes = df.select("*", *[code_of(df, d).alias(x) for x, d in zip(names, dims, strict=True)])
+    cells = codes.withColumns({x: sum((F.when(F.col(x) > c, 1).otherwise(0) for c in v), F.lit(0)) for x, v in zip(names, cuts, strict=True)})
+    return hilbert_index(cells, names, bits)
 
 
 def ranked(df: DataFrame, order: list[str]) -> DataFrame:
@@ -99,6 +104,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, dims: tuple[str, ...] = ("so
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), *[F.col(d) for d in dims if d != "size"], (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = staged(rows, "metadata")  # the texts are read once; what follows is narrow
     placed = ranked(with_curve(rows, list(dims), bits).select("doc_id", "size", "text_crc32", "hilbert"), ["hilbert", "text_crc32", "doc_id"])
     shard, slot = run_of(F.col("rank"), F.col("total"), shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert")
