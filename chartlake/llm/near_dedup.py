@@ -222,7 +222,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         links = staged(small.where("u <> v").distinct(), "links")
         now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head()
         if now == before:
-            return links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+            every = links.union(links.select("v", "v"))  # the least ids themselves, too
+            return every.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
         before = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
