@@ -107,6 +107,7 @@ def resolved(records: DataFrame) -> DataFrame:
     """Per record page_id, payload_bytes, payload_digest, record_type, refers_to, where a revisit's figures are measured on its response's payload."""
     r = records.select("record_id", "record_type", "page_id", "refers_to_id", F.length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest"))
     origin = r.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("to_page"), F.min("bytes").alias("to_bytes"), F.min("digest").alias("to_digest"))
-    j = r.join(origin, "refers_to_id", "left")
-    own = F.col("record_type") == "response"
-    return j.select("page_id", F.when(own, F.col("bytes")).otherwise(F.col("to_bytes")).alias("payload_bytes"), F.when(own, F.col("digest")).otherwise(F.col("to_digest")).alias("payload_digest"), "record_type", F.when(~own, F.col("to_page")).alias("refers_to"))
+    # responses refer to nothing and are not joined
+    own = r.where("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    again = r.where("record_type <> 'response'").join(origin, "refers_to_id", "left").select("page_id", F.col("to_bytes").alias("payload_bytes"), F.col("to_digest").alias("payload_digest"), "record_type", F.col("to_page").alias("refers_to"))
+    return own.unionByName(again)
