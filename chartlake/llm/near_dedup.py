@@ -5,8 +5,11 @@ every band the few k-mers with the smallest hashes are sampled and kept in text
 agree, order included, are candidates, which is far likelier after small edits than for texts that only share
 k-mers. Candidates are verified by a banded alignment: aligned k-mers over all, at least 0.8. Exact copies are
 folded first. Small buckets are compared in all pairs. In larger ones every member is compared with the most
-central member (the one with most candidates), and then, with the most central one of another component, all
-members that are still apart from it: work in proportion to the bucket, where a class is a component of links.
+central member (the one with most candidates), then those still apart with the most central one of another
+component. At last every member outside its bucket's largest component is compared with all members of other
+components, unless counts of their k-mers by hash rule the link out: whatever stays apart has been compared, and no
+link between candidates is lost. As a class is a component of links,
+members of one component need no comparison, so that work follows the bucket's size where it holds near copies.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ SMALL = 8
 LEVELS = ((8, 1), (24, 2), (64, 4), (1 << 62, 8))
 _P = np.uint64(0x9E3779B97F4A7C15)
 _KEPT = 1_000_000
-_SKETCH = "doc_id long, copy binary, n int, buckets array<long>"
+_SKETCH = "doc_id long, copy binary, n int, profile binary, buckets array<long>"
+#: Bins of a profile, in which a text's k-mers are counted by hash.
+BINS = 128
 
 
 class WordHashes(dict):
@@ -73,6 +78,18 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def profile(x: np.ndarray) -> bytes | None:
+    """Counts of labelled k-mers by hash, a byte each; None where a count exceeds a byte."""
+    counts = np.bincount((x % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def plausible(profiles: list[bytes], others: list[bytes], n: np.ndarray, m: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """False where the k-mers that two texts can share at most, bin by bin, are too few for a link."""
+    p, q = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, BINS) for x in (profiles, others))
+    return np.minimum(p, q).sum(axis=1) >= np.ceil(least * (n + m) / (1 + least) - 1e-9)
+
+
 @functools.lru_cache(maxsize=4)
 def _factors(bands: int) -> np.ndarray:
     return mix(np.arange(1, bands + 1, dtype=np.uint64) * _P) | np.uint64(1)
@@ -150,12 +167,12 @@ def banded_lcs(a: list[int], b: list[int], band: int) -> int:
     return common + found + (2 * band + 1) - row.bit_count()
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Aligned k-mers over all k-mers of both; 0 where it must stay below `least`."""
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, labels: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+    """Aligned k-mers over all k-mers of both; 0 where it must stay below `least`. labels: the labelled k-mers, where known."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     need = math.ceil(least * (len(a) + len(b)) / (1 + least) - 1e-9)
-    if min(len(a), len(b)) < need or len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) < need:
+    if min(len(a), len(b)) < need or len(np.intersect1d(*(labels or (labelled(a), labelled(b))), assume_unique=True)) < need:
         return 0.0
     common = banded_lcs(a.tolist(), b.tolist(), len(a) + len(b) - 2 * need)
     return common / (len(a) + len(b) - common)
@@ -165,38 +182,61 @@ def _sketch(bands: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in slices(batches):
-            copies, sizes, keys = [], [], []
+            copies, sizes, profiles, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 h = kmers(t, words)
                 copies.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
-                keys.append(bucket_keys(labelled(h), bands, least))
+                x = labelled(h)
+                profiles.append(profile(x))
+                keys.append(bucket_keys(x, bands, least))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "copy", "n", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), pa.array(profiles, pa.binary()), lists], names=["doc_id", "copy", "n", "profile", "buckets"])
 
     return run
 
 
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = WordHashes(), {}
+        words, held, size = WordHashes(), {}, 0
 
-        def of(i: int, t: str) -> np.ndarray:
+        def of(i: int, t: str) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal size
             if i not in held:
-                if len(held) >= 64:
+                if size > _KEPT:
                     held.clear()
-                held[i] = kmers(t, words)
+                    size = 0
+                h = kmers(t, words)
+                held[i] = h, labelled(h)
+                size += len(h)
             return held[i]
 
+        def near(i: int, j: int, s: str, t: str) -> bool:
+            (x, lx), (y, ly) = of(i, s), of(j, t)
+            return similarity(x, y, least, (lx, ly)) >= least
+
         for b in batches:
-            out = [(i, j) for i, j, s, t in zip(*(b.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True) if similarity(of(i, s), of(j, t), least) >= least]
+            out = [(i, j) for i, j, s, t in zip(*(b.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True) if near(i, j, s, t)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
 
+def _screen(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            known = np.flatnonzero(b.column("p").is_valid().to_numpy(False) & b.column("q").is_valid().to_numpy(False))
+            if len(known):
+                both = b.take(pa.array(known))
+                ok[known] = plausible(both.column("p").to_pylist(), both.column("q").to_pylist(), both.column("n").to_numpy(), both.column("m").to_numpy(), least)
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Of the candidate pairs (a, b) those whose texts (doc_id, text) align well enough."""
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -257,6 +297,27 @@ def _to_leader(shared: DataFrame, least: float, apart: bool = False) -> DataFram
     return found.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b"))
 
 
+def _outsiders(placed: DataFrame, least: float, profiles: DataFrame) -> DataFrame:
+    """Pairs of every member outside its bucket's largest component with the members of other components than its own."""
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("members"))
+    most = parts.groupBy("bucket").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    split = staged(placed.join(most.select("bucket", "largest"), "bucket").join(profiles, "id").select("bucket", "id", "n", "component", "largest", "profile"), "split")
+    out, other = split.where("component <> largest").alias("l"), split.alias("r")
+    found = out.join(other, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") != F.col("r.component")) & _long_enough("l.n", "r.n", least))
+    pair = found.select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b"), F.col("l.n").alias("n"), F.col("r.n").alias("m"), F.col("l.profile").alias("p"), F.col("r.profile").alias("q"))
+    return pair.mapInArrow(_screen(least), "a long, b long")
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (id, component) after more links (a, b), which join components, not texts."""
+    ends = [label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
+    named = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    late = components(named).select(F.col("id").alias("part"), F.col("component").alias("joined"))
+    old = label.join(late, label["component"] == late["part"], "left").select("id", F.coalesce("joined", "component").alias("component"))
+    alone = late.select(F.col("part").alias("id"), F.col("joined").alias("component"))
+    return staged(old.unionByName(alone).distinct(), "components")
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, least: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """One row per document: doc_id, copy_id (least id with the same words), class_id (least id of its class), kept.
 
@@ -268,7 +329,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
     df = documents_of(docs, id_col, text_col)
     sketches = staged(df.mapInArrow(_sketch(bands, least), _SKETCH), "sketches")
     known = sketches.where("doc_id is not null")
-    reps = known.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    reps = known.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("profile").alias("profile"), F.first("buckets").alias("buckets"))
     reps = staged(reps, "copies")
     members = reps.select("id", "n", F.explode("buckets").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
@@ -279,14 +340,13 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
     texts = df.where("doc_id is not null")
     pairs = staged(_all_pairs(shared.where(F.col("c") <= small), least).union(_to_leader(shared.where(F.col("c") > small), least)).distinct(), "pairs")
     label = components(verified(pairs, texts, least))
-    placed = shared.where(F.col("c") > small).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    again = staged(_to_leader(staged(placed, "placed"), least, apart=True).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = verified(again, texts, least)
-    # the links found late join components, not texts
-    joined = more.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    late = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    final = reps.select("id").join(label, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
-    final = final.join(late.select(F.col("id").alias("part"), "component"), "part", "left").select("id", F.coalesce("component", "part").alias("component"))
+    large = shared.where(F.col("c") > small)
+    for choose in (functools.partial(_to_leader, apart=True), functools.partial(_outsiders, profiles=reps.select("id", "profile"))):
+        placed = staged(large.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+        again = staged(choose(placed, least).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        label = _merged(label, verified(again, texts, least))
+        pairs = pairs.unionByName(again)
+    final = reps.select("id").join(label, "id", "left")
     classes = reps.select("copy", "id").join(final, "id", "left").select("copy", F.col("id").alias("copy_id"), F.coalesce("component", "id").alias("class_id"))
     out = known.select("doc_id", "copy").join(classes, "copy").select("doc_id", "copy_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     none = F.lit(None).cast("long")

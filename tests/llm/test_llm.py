@@ -263,6 +263,41 @@ def test_near_copies_share_a_class_and_others_do_not(spark):
     assert [x["kept"] for x in rows(near_dedup.classify(table(spark, ["a b", "a b"], [None, 3])).orderBy("doc_id"))] == [True, True]
 
 
+def test_large_buckets_lose_no_link(spark):
+    r = random.Random(20)
+    texts = []
+    for _ in range(4):
+        chain = words(r, 60).split()
+        for _ in range(14):  # edits add up along a chain: its ends are no near copies, its neighbours are
+            chain[r.randrange(60)] = words(r, 1)
+            texts.append(" ".join(chain))
+    shared = words(r, 5)
+    texts += [shared + " " + words(r, r.randint(0, 3)) for _ in range(40)]
+    seen = near_dedup.WordHashes()
+    mers = [near_dedup.kmers(t, seen) for t in texts]
+    keys = [set(near_dedup.bucket_keys(near_dedup.labelled(h)).tolist()) for h in mers]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] & keys[j] and near_dedup.similarity(mers[i], mers[j]) >= near_dedup.SIMILARITY:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    got = {x["doc_id"]: x["class_id"] for x in rows(near_dedup.classify(table(spark, texts).repartition(3), small=2))}
+    assert [got[i] for i in range(len(texts))] == label and 4 < len(set(label)) < len(texts)
+
+
+def test_profiles_rule_out_no_link():
+    r = random.Random(21)
+    seen = near_dedup.WordHashes()
+    for _ in range(300):
+        a = words(r, r.randint(1, 300)).split()
+        b = [w for w in a if r.random() > 0.03] or a
+        x, y = (near_dedup.kmers(" ".join(t), seen) for t in (a, b))
+        p, q = (near_dedup.profile(near_dedup.labelled(h)) for h in (x, y))
+        if near_dedup.similarity(x, y) >= near_dedup.SIMILARITY:
+            assert near_dedup.plausible([p], [q], np.array([len(x)]), np.array([len(y)]))[0]
+    assert near_dedup.profile(np.zeros(300, np.uint64)) is None
+
+
 def test_components_of_random_graphs(spark):
     r = random.Random(9)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
