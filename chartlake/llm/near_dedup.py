@@ -240,7 +240,8 @@ def _screen(least: float):
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Of the candidate pairs (a, b) those whose texts (doc_id, text) align well enough."""
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    some = staged(texts.join(needed, texts["doc_id"] == needed["id"], "left_semi"), "candidates")
+    # ids of candidates and shared buckets grow with the corpus: merge joins at every size, never a broadcast
+    some = staged(texts.join(needed.hint("merge"), texts["doc_id"] == needed["id"], "left_semi"), "candidates")
     left = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long")
@@ -333,7 +334,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
     reps = staged(reps, "copies")
     members = reps.select("id", "n", F.explode("buckets").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    shared = staged(members.join(sizes, "bucket"), "shared")
+    shared = staged(members.join(sizes.hint("merge"), "bucket"), "shared")
     # how many candidates a text has says how central it is among its copies
     central = shared.groupBy("id").agg(F.sum("c").alias("degree"))
     shared = staged(shared.join(central, "id"), "shared")
