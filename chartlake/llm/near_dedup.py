@@ -6,10 +6,10 @@ agree, order included, are candidates, which is far likelier after small edits t
 k-mers. Candidates are verified by a banded alignment: aligned k-mers over all, at least 0.8. Exact copies are
 folded first. Small buckets are compared in all pairs. In larger ones every member is compared with the most
 central member (the one with most candidates), then those still apart with the most central one of another
-component. At last every member outside its bucket's largest component is compared with all members of other
-components, unless counts of their k-mers by hash rule the link out: whatever stays apart has been compared, and no
-link between candidates is lost. As a class is a component of links,
-members of one component need no comparison, so that work follows the bucket's size where it holds near copies.
+component. At last every member outside its bucket's largest component is joined with texts of other components on
+its rarest k-mers, of which any two texts with a link share one (a prefix filter): no link between candidates is lost,
+and no bucket's members are paired with one another. As a class is a component of links, members of one component
+need no comparison, so that work follows the bucket's size.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartlake.llm.common import documents_of, mix, slices, staged
@@ -33,9 +33,7 @@ SMALL = 8
 LEVELS = ((8, 1), (24, 2), (64, 4), (1 << 62, 8))
 _P = np.uint64(0x9E3779B97F4A7C15)
 _KEPT = 1_000_000
-_SKETCH = "doc_id long, copy binary, n int, profile binary, buckets array<long>"
-#: Bins of a profile, in which a text's k-mers are counted by hash.
-BINS = 128
+_SKETCH = "doc_id long, copy binary, n int, buckets array<long>"
 
 
 class WordHashes(dict):
@@ -78,18 +76,6 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def profile(x: np.ndarray) -> bytes | None:
-    """Counts of labelled k-mers by hash, a byte each; None where a count exceeds a byte."""
-    counts = np.bincount((x % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
-
-
-def plausible(profiles: list[bytes], others: list[bytes], n: np.ndarray, m: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """False where the k-mers that two texts can share at most, bin by bin, are too few for a link."""
-    p, q = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, BINS) for x in (profiles, others))
-    return np.minimum(p, q).sum(axis=1) >= np.ceil(least * (n + m) / (1 + least) - 1e-9)
-
-
 @functools.lru_cache(maxsize=4)
 def _factors(bands: int) -> np.ndarray:
     return mix(np.arange(1, bands + 1, dtype=np.uint64) * _P) | np.uint64(1)
@@ -182,17 +168,15 @@ def _sketch(bands: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in slices(batches):
-            copies, sizes, profiles, keys = [], [], [], []
+            copies, sizes, keys = [], [], []
             for t in b.column("text").to_pylist():
                 h = kmers(t, words)
                 copies.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
-                x = labelled(h)
-                profiles.append(profile(x))
-                keys.append(bucket_keys(x, bands, least))
+                keys.append(bucket_keys(labelled(h), bands, least))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), pa.array(profiles, pa.binary()), lists], names=["doc_id", "copy", "n", "profile", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "copy", "n", "buckets"])
 
     return run
 
@@ -224,17 +208,13 @@ def _verify(least: float):
     return run
 
 
-def _screen(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = np.ones(b.num_rows, bool)
-            known = np.flatnonzero(b.column("p").is_valid().to_numpy(False) & b.column("q").is_valid().to_numpy(False))
-            if len(known):
-                both = b.take(pa.array(known))
-                ok[known] = plausible(both.column("p").to_pylist(), both.column("q").to_pylist(), both.column("n").to_numpy(), both.column("m").to_numpy(), least)
-            yield b.select(["a", "b"]).filter(pa.array(ok))
-
-    return run
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = WordHashes()
+    for b in slices(batches):
+        found = [labelled(kmers(t, words)).astype(np.int64) for t in b.column("text").to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.concatenate(found)))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), lists], names=["id", "n", "grams"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -298,15 +278,37 @@ def _to_leader(shared: DataFrame, least: float, apart: bool = False) -> DataFram
     return found.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b"))
 
 
-def _outsiders(placed: DataFrame, least: float, profiles: DataFrame) -> DataFrame:
-    """Pairs of every member outside its bucket's largest component with the members of other components than its own."""
+def _rare_first(texts: DataFrame, ids: DataFrame, least: float) -> DataFrame:
+    """Per text the labelled k-mers that a similar text must share one of: (id, n, gram, df, rank), the rarest first.
+
+    Of n k-mers in one order for all texts, two texts with a link share one of the first n - least * n + 1. Rare ones
+    come first, so that what many texts share seldom counts. k-mers of one text only are counted, but not returned.
+    """
+    own = texts.join(ids.hint("merge"), texts["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
+    rows = staged(own.mapInArrow(_grams, "id long, n int, grams array<long>"), "grams").select("id", "n", F.explode("grams").alias("gram"))
+    often = staged(rows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    text = Window.partitionBy("id")
+    rank = F.col("n") - F.count("*").over(text) + F.row_number().over(text.orderBy("df", "gram"))
+    return rows.join(often.hint("merge"), "gram").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+
+
+def _outsiders(placed: DataFrame, least: float, texts: DataFrame) -> DataFrame:
+    """Pairs of every member outside its bucket's largest component with texts of other components that can have a link with it.
+
+    Joined by rare k-mers in place of buckets, so that no bucket's members are paired with one another. A pair meets
+    at its first common k-mer: the ones left after it must suffice for a link.
+    """
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("members"))
     most = parts.groupBy("bucket").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    split = staged(placed.join(most.select("bucket", "largest"), "bucket").join(profiles, "id").select("bucket", "id", "n", "component", "largest", "profile"), "split")
-    out, other = split.where("component <> largest").alias("l"), split.alias("r")
-    found = out.join(other, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") != F.col("r.component")) & _long_enough("l.n", "r.n", least))
-    pair = found.select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b"), F.col("l.n").alias("n"), F.col("r.n").alias("m"), F.col("l.profile").alias("p"), F.col("r.profile").alias("q"))
-    return pair.mapInArrow(_screen(least), "a long, b long")
+    split = placed.join(most.select("bucket", "largest"), "bucket").groupBy("id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("outside"))
+    split = staged(split, "split")
+    first = staged(_rare_first(texts, split.select("id"), least).join(split, "id"), "prefixes")
+    l, r = first.where("outside").alias("l"), first.alias("r")
+    need = F.ceil((F.col("l.n") + F.col("r.n")) * (least / (1 + least)) - 1e-9)
+    left = 1 + F.least(F.col("l.n") - F.col("l.rank"), F.col("r.n") - F.col("r.rank"))
+    once = ~F.col("r.outside") | (F.col("l.id") > F.col("r.id"))
+    found = l.join(r.hint("merge"), (F.col("l.gram") == F.col("r.gram")) & (F.col("l.component") != F.col("r.component")) & once & _long_enough("l.n", "r.n", least) & (left >= need))
+    return found.select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b"))
 
 
 def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -330,7 +332,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
     df = documents_of(docs, id_col, text_col)
     sketches = staged(df.mapInArrow(_sketch(bands, least), _SKETCH), "sketches")
     known = sketches.where("doc_id is not null")
-    reps = known.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("profile").alias("profile"), F.first("buckets").alias("buckets"))
+    reps = known.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     reps = staged(reps, "copies")
     members = reps.select("id", "n", F.explode("buckets").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
@@ -342,7 +344,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
     pairs = staged(_all_pairs(shared.where(F.col("c") <= small), least).union(_to_leader(shared.where(F.col("c") > small), least)).distinct(), "pairs")
     label = components(verified(pairs, texts, least))
     large = shared.where(F.col("c") > small)
-    for choose in (functools.partial(_to_leader, apart=True), functools.partial(_outsiders, profiles=reps.select("id", "profile"))):
+    for choose in (functools.partial(_to_leader, apart=True), functools.partial(_outsiders, texts=texts)):
         placed = staged(large.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
         again = staged(choose(placed, least).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         label = _merged(label, verified(again, texts, least))

@@ -285,17 +285,20 @@ def test_large_buckets_lose_no_link(spark):
     assert [got[i] for i in range(len(texts))] == label and 4 < len(set(label)) < len(texts)
 
 
-def test_profiles_rule_out_no_link():
+def test_rare_first_join_meets_every_link(spark):
     r = random.Random(21)
+    common, texts = words(r, 200).split(), []
+    for n in (1, 3, 5, 6, 9, 20, 60, 150):
+        base = words(r, n).split() + common[: n // 2]
+        for _ in range(12):
+            texts.append(" ".join(w for w in base if r.random() > 0.015) or base[0])
     seen = near_dedup.WordHashes()
-    for _ in range(300):
-        a = words(r, r.randint(1, 300)).split()
-        b = [w for w in a if r.random() > 0.03] or a
-        x, y = (near_dedup.kmers(" ".join(t), seen) for t in (a, b))
-        p, q = (near_dedup.profile(near_dedup.labelled(h)) for h in (x, y))
-        if near_dedup.similarity(x, y) >= near_dedup.SIMILARITY:
-            assert near_dedup.plausible([p], [q], np.array([len(x)]), np.array([len(y)]))[0]
-    assert near_dedup.profile(np.zeros(300, np.uint64)) is None
+    mers = [near_dedup.kmers(t, seen) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if near_dedup.similarity(mers[i], mers[j]) >= near_dedup.SIMILARITY}
+    placed = spark.createDataFrame([(0, i, len(h), i) for i, h in enumerate(mers)], "bucket long, id long, n int, component long")
+    got = near_dedup._outsiders(placed, near_dedup.SIMILARITY, near_dedup.documents_of(table(spark, texts), "doc_id", "text"))
+    pairs = {(x["a"], x["b"]) for x in rows(got.distinct())}
+    assert want <= pairs and len(want) > 100 and len(pairs) < len(texts) * (len(texts) - 1) / 4
 
 
 def test_components_of_random_graphs(spark):
