@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows of a block of queries and of vectors; a task holds one product of them.
+QUERY_BLOCK, VECTOR_BLOCK = 512, 8192
+#: Products this close can have equal scores after rounding.
+NEAR = 2e-6
+
 
 def norm(v: str | Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
@@ -47,11 +56,56 @@ def reconcile(index: DataFrame, sidecar: DataFrame, required: list[str]) -> Data
     return i.join(s, "id", "full").agg(F.count("_i").alias("n_index"), F.count("_s").alias("n_sidecar"), F.count_if(F.col("_s").isNull()).alias("no_sidecar"), F.count_if(F.col("_i").isNull()).alias("no_vector"), F.count_if(F.col("_s") & bad).alias("incomplete"))
 
 
-def scores(queries: DataFrame, vectors: DataFrame, exclude_self: bool = True) -> DataFrame:
-    """(query_id, id, status, score) of every query with every vector; the query side is stated by the caller and is the small one."""
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("q"))), F.col("query_id") != F.col("id") if exclude_self else F.lit(True))
-    return pairs.select("query_id", "id", "status", F.round(dot, 6).alias("score"))
+def _blocks(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    """Rows dealt by the hash of their key into blocks of about size rows, one array of rows each."""
+    n = max(1, -(-df.count() // size))
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("_b"), F.struct(*df.columns).alias("_r"))
+    # the pairs of blocks are as many tasks as the product of both sides' partitions: no empty ones
+    return rows.groupBy("_b").agg(F.collect_list("_r").alias(name)).drop("_b").repartition(n)
+
+
+def _leaders(pairs: Iterator[pa.RecordBatch], k: int, exclude_self: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of each pair of blocks that can be among the k best of their query and status, with the exact product.
+
+    A matrix product finds the k-th best; what is within rounding of it is multiplied again in the order of the dimensions.
+    """
+    for batch in pairs:
+        for n in range(batch.num_rows):
+            q, v = (batch.column(c)[n].values for c in ("q", "v"))
+            q_id, v_id = q.field("query_id").to_numpy(zero_copy_only=False), v.field("id").to_numpy(zero_copy_only=False)
+            qe, ve = (x.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1) for x in (q, v))
+            coded = v.field("status").dictionary_encode("encode")
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            for c, status in enumerate(coded.dictionary.to_pylist()):
+                own = np.flatnonzero(code == c)
+                own = own[np.argsort(v_id[own], kind="stable")]
+                near = qe @ ve[own].T
+                if exclude_self:
+                    near[q_id[:, None] == v_id[own]] = -np.inf
+                least = np.partition(near, len(own) - k, axis=1)[:, len(own) - k] if len(own) > k else np.full(len(q_id), -np.inf)
+                a, b = np.nonzero((near >= (least - NEAR)[:, None]) & (near > -np.inf))
+                score = np.zeros(len(a))
+                for d in range(qe.shape[1]):
+                    score = score + qe[a, d] * ve[own[b], d]
+                order = np.lexsort((b, -score, a))
+                a, b, score = a[order], b[order], score[order]
+                # of one query's equal products the k least ids are enough
+                new = np.concatenate(([True], (a[1:] != a[:-1]) | (score[1:] != score[:-1])))[: len(a)]
+                at = np.arange(len(a))
+                use = at - np.maximum.accumulate(np.where(new, at, 0)) < k
+                yield pa.RecordBatch.from_arrays([pa.array(q_id[a[use]]), pa.array(v_id[own[b[use]]]), pa.array([status] * int(use.sum()), pa.string()), pa.array(score[use])], names=["query_id", "id", "status", "score"])
+
+
+def scores(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+    """(query_id, id, status, score): at least the k best vectors of every query in every status, ties by the least id.
+
+    Both sides may grow: each is dealt into blocks, every pair of blocks is one small task that passes on only its leaders.
+    Embeddings have one length; a row without one has no score and is left out.
+    """
+    q = _blocks(queries.select("query_id", "embedding").where("embedding is not null"), "query_id", QUERY_BLOCK, "q")
+    v = _blocks(vectors.select("id", "status", "embedding").where("embedding is not null"), "id", VECTOR_BLOCK, "v")
+    found = v.hint("shuffle_replicate_nl").crossJoin(q).mapInArrow(lambda b: _leaders(b, k, exclude_self), "query_id long, id long, status string, score double")
+    return found.withColumn("score", F.round("score", 6))
 
 
 def _by_score(*parts: str):
@@ -59,7 +113,7 @@ def _by_score(*parts: str):
 
 
 def search_global(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    return scores(queries, vectors).withColumn("rank", F.row_number().over(_by_score())).where(F.col("rank") <= k)
+    return scores(queries, vectors, k).withColumn("rank", F.row_number().over(_by_score())).where(F.col("rank") <= k)
 
 
 def search_slots(queries: DataFrame, vectors: DataFrame, per_status: int = 2, total: int = 8, known: tuple[str, ...] | None = None) -> DataFrame:
@@ -67,7 +121,7 @@ def search_slots(queries: DataFrame, vectors: DataFrame, per_status: int = 2, to
 
     Only the best max(per_status, total) of a status can be chosen; the rest are pruned before the global rank.
     """
-    s = scores(queries, vectors).withColumn("in_status", F.row_number().over(_by_score("status"))).where(F.col("in_status") <= max(per_status, total))
+    s = scores(queries, vectors, max(per_status, total)).withColumn("in_status", F.row_number().over(_by_score("status"))).where(F.col("in_status") <= max(per_status, total))
     slot = F.col("in_status") <= per_status
     if known is not None:
         slot = slot & F.col("status").isin(list(known))
@@ -94,12 +148,22 @@ def leakage_probe(hits: DataFrame, terms: DataFrame, text: str = "text") -> Data
     return hits.join(F.broadcast(terms), F.lower(text).contains(F.lower("term"))).select("id", "term")
 
 
+def _thousandths(x: Column) -> Column:
+    """x rounded to three places by its binary value, as printf and Python do; Java's %.3f rounds the decimal writing of x."""
+    a = F.abs(x)
+    low = F.floor(a * 1000).cast("double")
+    high = a * 134217729.0 - (a * 134217729.0 - a)  # the upper half of the digits; its products are exact
+    over = (high * 2000 - (2 * low + 1)) + (a - high) * 2000
+    up = (over > 0) | ((over == 0) & (low % 2 == 1))
+    return F.signum(x) * F.when(up, low + 1).otherwise(low) / 1000
+
+
 def render_passages(queries: DataFrame, hits: DataFrame, most: int = 600) -> DataFrame:
     """Ranked text block per query; a query without hits says so. hits: query_id, rank, source, section, status, score, page_start, page_end, text."""
     from chartlake.operators.corpus import truncate_on_word
 
     page = F.when(F.col("page_end").isNull() | (F.col("page_start") == F.col("page_end")), F.concat(F.lit("p"), F.col("page_start").cast("string"))).otherwise(F.concat(F.lit("pp"), F.col("page_start").cast("string"), F.lit("-"), F.col("page_end").cast("string")))
-    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "source", F.lit(" — "), F.coalesce("section", F.lit("")), F.lit(" ("), page, F.lit(")\n    status: "), "status", F.lit(" | similarity: "), F.format_string("%.3f", "score"), F.lit("\n"), truncate_on_word(F.trim("text"), most))
+    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "source", F.lit(" — "), F.coalesce("section", F.lit("")), F.lit(" ("), page, F.lit(")\n    status: "), "status", F.lit(" | similarity: "), F.format_string("%.3f", _thousandths(F.col("score"))), F.lit("\n"), truncate_on_word(F.trim("text"), most))
     per = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda s: s["b"]), "\n\n").alias("body"))
     out = queries.select("query_id", "query").join(per, "query_id", "left")
     return out.select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("n").isNull(), F.concat(F.lit("No passages in the corpus matched: "), "query")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" passages for: "), "query", F.lit("\n"), "body")).alias("text"))

@@ -33,7 +33,7 @@ UPLOADS = "SELECT event_id, user_id, ts, event_id AS analysis_id FROM events WHE
 VECTORS = """
 SELECT vec_id AS id, embedding, CASE WHEN label = 0 AND vec_id % 10 = 0 THEN 'normative_standard' WHEN label = 1 THEN 'peer_reviewed_research' WHEN label = 2 THEN 'policy_position' ELSE 'educational_textbook' END AS status
 FROM embeddings"""
-QUERIES = f"SELECT id AS query_id, embedding, status AS expected FROM ({VECTORS}) v WHERE id < 20"
+QUERIES = f"SELECT id AS query_id, embedding, status AS expected FROM ({VECTORS}) v WHERE id < 20 OR id % 100 = 0"
 
 PAGES = "SELECT lang AS doc, doc_id AS page, text FROM documents"
 MESSAGES = "SELECT conv_id, turn, role, text, CAST(ceil(length(text)/4.0) AS BIGINT) AS tokens, role = 'assistant' AND length(text) % 3 = 0 AS uses_tool FROM conversations"
