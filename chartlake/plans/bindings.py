@@ -39,7 +39,7 @@ PAGES = "SELECT lang AS doc, doc_id AS page, text FROM documents"
 MESSAGES = "SELECT conv_id, turn, role, text, CAST(ceil(length(text)/4.0) AS BIGINT) AS tokens, role = 'assistant' AND length(text) % 3 = 0 AS uses_tool FROM conversations"
 POINTS = """
 SELECT o_orderkey AS id, o_orderpriority AS indicator, c_nationkey AS country, year(o_orderdate) AS year, o_totalprice AS value
-FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 97 = 0"""
+FROM orders JOIN customer ON o_custkey = c_custkey"""
 PLACES = "SELECT c_custkey AS place_id, (c_custkey*37%1000)/CAST(1000 AS DOUBLE)+45 AS lat, (c_custkey*91%1000)/CAST(1000 AS DOUBLE)+4 AS lon FROM customer"
 CITIES = "SELECT s_suppkey AS city_id, (s_suppkey*53%1000)/CAST(1000 AS DOUBLE)+45 AS lat, (s_suppkey*17%1000)/CAST(1000 AS DOUBLE)+4 AS lon FROM supplier"
 STRATA = "SELECT doc_id, quality*2+toxic AS stratum, (doc_id*2654435761) % 4294967296 AS hash FROM labels"
