@@ -29,6 +29,7 @@ LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(%|[a-zA-Z]{1,3})?")
 _STRIP = string.punctuation + "“”‘’«»¿¡…"
 _P = np.uint64(0x9E3779B97F4A7C15)
+_PLAIN = np.uint64(1 << 32)
 _KEPT = 1_000_000
 
 
@@ -36,13 +37,14 @@ class Tokens(dict):
     """Word -> its number in the tables of canonical hashes and kinds, filled as words come."""
 
     def __init__(self) -> None:
-        self.hash, self.kind, self.title, self.ends, self.core = [], [], [], [], []
+        self.hash, self.kind, self.title, self.ends, self.core, self.plain = [], [], [], [], [], []
 
     def __missing__(self, w: str) -> int:
         core = w.strip(_STRIP) or w
         low = core.lower()
         kind = NUMBER if _NUMBER.fullmatch(core) else UNIT if low in UNITS and len(core) > 1 else LITERAL
-        self.hash.append(xxhash.xxh64_intdigest(low) if kind == LITERAL else kind)
+        self.plain.append(xxhash.xxh64_intdigest(low))
+        self.hash.append(self.plain[-1] if kind == LITERAL else kind)
         self.kind.append(kind)
         self.title.append(kind == LITERAL and core[0].isupper() and not (len(core) > 1 and core.isupper()))
         self.ends.append(w.rstrip("\"'”’»)")[-1:] in ".!?:")
@@ -50,8 +52,8 @@ class Tokens(dict):
         self[w] = n = len(self.hash) - 1
         return n
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(self.hash, np.uint64), np.array(self.kind, np.int8), np.array(self.title, bool), np.array(self.ends, bool)
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(self.hash, np.uint64), np.array(self.kind, np.int8), np.array(self.title, bool), np.array(self.ends, bool), np.array(self.plain, np.uint64)
 
     def trim(self) -> None:
         if len(self) > _KEPT:
@@ -59,14 +61,35 @@ class Tokens(dict):
             self.__init__()
 
 
-def windows_of(texts: list[str], sizes: list[int], tokens: Tokens, wanted: np.ndarray | None) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(text number, position, hash, slot values) of the windows of each size with enough literals, only wanted hashes if given."""
+def _rolled(values: np.ndarray, size: int, seed: np.uint64) -> np.ndarray:
+    last = len(values) - size + 1
+    h = np.full(last, seed)
+    for j in range(size):
+        h = (h + values[j : last + j]) * _P
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _among(at: np.ndarray, h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The positions whose hash is in the sorted array wanted."""
+    if not len(wanted) or not len(at):
+        return at[:0]
+    place = np.searchsorted(wanted, h[at])
+    return at[(place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == h[at])]
+
+
+def windows_of(texts: list[str], sizes: list[int], tokens: Tokens, wanted: np.ndarray | None, copied: str | np.ndarray | None = None) -> Iterator[tuple[int, int, int, list[str] | None]]:
+    """(text number, position, hash, slot values) of the windows of each size with enough literals, only wanted hashes if given.
+
+    Windows of plain lower-cased words, for verbatim copies, follow with no slot values: with copied "own" those of
+    texts that are one window and windows with too few literals, with "all" every one, with an array those hashes.
+    """
     words = [t.split() for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
     code = np.fromiter((tokens[w] for ws in words for w in ws), np.int64, int(lengths.sum()))
     if not len(code):
         return
-    table_hash, table_kind, table_title, table_ends = tokens.tables()
+    table_hash, table_kind, table_title, table_ends, table_plain = tokens.tables()
     starts = np.cumsum(lengths) - lengths
     opens = np.concatenate(([True], table_ends[code[:-1]]))
     opens[starts[lengths > 0]] = True
@@ -74,29 +97,36 @@ def windows_of(texts: list[str], sizes: list[int], tokens: Tokens, wanted: np.nd
     kind = np.where(name, NAME, table_kind[code])
     canon = mix(np.where(name, np.uint64(NAME), table_hash[code]) + _P)
     literal = np.concatenate(([0], np.cumsum(kind == LITERAL)))
+    plain = None if copied is None else mix(table_plain[code] + _P)
     doc = np.repeat(np.arange(len(texts)), lengths)
     room = (starts + lengths)[doc] - np.arange(len(code))  # tokens from here to the text's end
     for size in sizes:
         if len(code) < size:
             continue
         last = len(code) - size + 1
-        h = np.full(last, np.uint64(size))
-        for j in range(size):
-            h = (h + canon[j : last + j]) * _P
-            h ^= h >> np.uint64(29)
-        good = (room[:last] >= size) & (literal[size:] - literal[:last] >= max(1, LITERALS * size))
-        at = np.flatnonzero(good)
-        if wanted is not None and len(at):
-            found = h[at]
-            place = np.searchsorted(wanted, found)
-            at = at[(place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == found)] if len(wanted) else at[:0]
+        h = _rolled(canon, size, np.uint64(size))
+        inside, enough = room[:last] >= size, literal[size:] - literal[:last] >= max(1, LITERALS * size)
+        at = np.flatnonzero(inside & enough)
+        if wanted is not None:
+            at = _among(at, h, wanted)
         for i in at.tolist():
             slots = [tokens.core[code[k]] for k in range(i, i + size) if kind[k] != LITERAL]
             yield int(doc[i]), int(i - starts[doc[i]]), int(h[i].astype(np.int64)), slots
+        if plain is None:
+            continue
+        h = _rolled(plain, size, np.uint64(size) + _PLAIN)
+        if isinstance(copied, str) and copied == "own":
+            whole = lengths[doc[:last]] == size
+            inside &= whole | (~enough & (size == max(sizes)))
+        at = np.flatnonzero(inside)
+        if not isinstance(copied, str):
+            at = _among(at, h, copied)
+        for i in at.tolist():
+            yield int(doc[i]), int(i - starts[doc[i]]), int(h[i].astype(np.int64)), None
 
 
-def _windows(df: DataFrame, id_col: str, sizes: list[int], wanted: np.ndarray | None = None) -> DataFrame:
-    held = None if wanted is None else df.sparkSession.sparkContext.broadcast(wanted)
+def _windows(df: DataFrame, id_col: str, sizes: list[int], wanted: np.ndarray | None = None, copied: str | np.ndarray | None = None) -> DataFrame:
+    held = df.sparkSession.sparkContext.broadcast((wanted, copied))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -104,7 +134,7 @@ def _windows(df: DataFrame, id_col: str, sizes: list[int], wanted: np.ndarray |
             tokens.trim()
             ids = b.column(0).to_pylist()
             out = []
-            for n, at, h, slots in windows_of(b.column(1).to_pylist(), sizes, tokens, None if held is None else held.value):
+            for n, at, h, slots in windows_of(b.column(1).to_pylist(), sizes, tokens, *held.value):
                 out.append((ids[n], at, h, slots))
                 if len(out) == 50_000:
                     yield _batch(out)
@@ -122,8 +152,9 @@ def _windows(df: DataFrame, id_col: str, sizes: list[int], wanted: np.ndarray |
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, handed: int = HANDED) -> DataFrame:
     """One row per document and leaked item: doc_id, item_id, windows, item_windows, coverage, changed_slots.
 
-    An item shorter than a window is one window. Windows with fewer literals than half are not used; an item
-    without others never leaks. Null texts count as empty and match nothing; an item with a null id is left out,
+    An item shorter than a window is one window. Windows with fewer literals than half have no template; they and
+    items that are one window are also compared by their plain words, so that verbatim copies always match. Coverage is
+    the greater one of template windows among the item's templates and of all windows among all. Null texts count as empty and match nothing; an item with a null id is left out,
     documents with a null id count as one; repeated rows count once; an empty table gives no rows; other columns are
     not read. With at most ``handed`` distinct benchmark windows the tasks drop other windows before the join;
     beyond, all windows are joined by a shuffle on the hash, with the same result.
@@ -131,25 +162,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
     sizes = sorted(r["n"] for r in benchmark.select(F.least(n_words, F.lit(window)).alias("n")).where("n > 0").distinct().collect())  # at most `window` rows
     own = F.struct("at", "slots")
-    items = _windows(benchmark, "item_id", sizes)
+    items = _windows(benchmark, "item_id", sizes, copied="own")
     items = staged(items.where("id is not null").distinct(), "benchmark-windows")
-    per_item = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("item_windows"))
-    hashes = items.select("hash").distinct()
+    per_item = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct(F.when(F.col("slots").isNotNull(), F.col("at"))).alias("n_templates"), F.countDistinct("at").alias("n_all"))
+    hashes = items.select("hash", F.col("slots").isNull().alias("copy")).distinct()
     few = hashes.count() <= handed
     if few:
-        wanted = np.sort(np.array([r["hash"] for r in hashes.collect()], np.int64).astype(np.uint64))
+        held = hashes.collect()
+        wanted, copied = (np.sort(np.array([r["hash"] for r in held if r["copy"] == c], np.int64).astype(np.uint64)) for c in (False, True))
         found = F.broadcast(items.select("hash", F.col("id").alias("item_id"), own.alias("item")))
-        hits = _windows(docs, "doc_id", sizes, wanted).join(found, "hash")
+        hits = _windows(docs, "doc_id", sizes, wanted, copied if len(copied) else None).join(found, "hash")
     else:
-        hits = _windows(docs, "doc_id", sizes).join(items.select("hash", F.col("id").alias("item_id"), own.alias("item")), "hash")
+        copied = "all" if hashes.where("copy").limit(1).count() else None
+        hits = _windows(docs, "doc_id", sizes, copied=copied).join(items.select("hash", F.col("id").alias("item_id"), own.alias("item")), "hash")
     pairs = F.transform(F.arrays_zip(F.col("item.slots").alias("i"), F.col("slots").alias("d")), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))
     runs = hits.select(F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("item.at")).alias("shift"), F.col("item.at").alias("item_at"), pairs.alias("pairs"))
-    runs = runs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    template = F.col("pairs").isNotNull()
+    runs = runs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.when(template, F.col("item_at"))).alias("ats"), F.collect_set(F.when(~template, F.col("item_at"))).alias("copies"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    changed = F.exists("pairs", lambda p: p["i"] != p["d"])
-    per_pair = runs.where(consistent).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("windows"), F.max(changed).alias("changed_slots"))
-    out = per_pair.join(per_item, "item_id")
-    return out.select("doc_id", "item_id", F.col("windows").cast("long").alias("windows"), "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage"), "changed_slots").where(F.col("coverage") >= coverage)
+    changed = consistent & F.exists("pairs", lambda p: p["i"] != p["d"])
+    gathered = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    per_pair = runs.groupBy("doc_id", "item_id").agg(gathered(F.when(consistent, F.col("ats"))).alias("ats"), gathered("copies").alias("copies"), F.max(changed).alias("changed_slots"))
+    out = per_pair.join(per_item, "item_id").withColumns({"n": F.size("ats"), "n_both": F.size(F.array_union("ats", "copies"))})
+    by_template = (F.col("n_templates") > 0) & (F.col("n") * F.col("n_all") >= F.col("n_both") * F.col("n_templates"))
+    out = out.withColumns({"windows": F.when(by_template, F.col("n")).otherwise(F.col("n_both")).cast("long"), "item_windows": F.when(by_template, F.col("n_templates")).otherwise(F.col("n_all"))})
+    return out.select("doc_id", "item_id", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage"), "changed_slots").where((F.col("windows") > 0) & (F.col("coverage") >= coverage))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
