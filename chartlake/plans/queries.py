@@ -449,6 +449,21 @@ def residue_report(spark, sf):
     return corpus.residue_report(the_pages(spark, sf))
 
 
+SIZES = lambda end: f"count(*) AS pages_{end}, sum(len(regexp_extract_all(text, '[^\\x09-\\x0d\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+'))) AS words_{end}, sum(length(text)) AS chars_{end}"
+WITHOUT_SPACE = f"regexp_replace(x, '^{corpus.SPACE_CHAR}+|{corpus.SPACE_CHAR}+$', '', 'g')"
+CHECKED = f"""SELECT doc, {SIZES('after')}, {', '.join(f"{COUNT(p)} AS {c}" for c, p in corpus.RESIDUE.items())},
+ sum({' + '.join(f"(length(text) - length(replace(text, '{m}', ''))) // {len(m)}" for m in corpus.WATERMARKS)}) AS watermarks,
+ sum(len(list_filter(string_split(text, chr(10)), lambda x: {WITHOUT_SPACE} IN {corpus.CODES}))) AS codes
+ FROM ({BLANKED}) WHERE trim(coalesce(text, '')) <> '' GROUP BY doc"""
+AFTER = ("pages_after", "words_after", "chars_after", *corpus.RESIDUE, "watermarks", "codes")
+
+
+@query(f"SELECT b.doc, pages_before, words_before, chars_before, {', '.join(f'coalesce({c}, 0) AS {c}' for c in AFTER)} FROM (SELECT doc, {SIZES('before')} FROM ({BLANKED}) GROUP BY doc) b LEFT JOIN ({CHECKED}) a USING (doc)")
+def residue_checks(spark, sf):
+    pages = bind(spark, sf, BLANKED)
+    return corpus.residue_checks(pages, corpus.drop_empty_pages(pages)[0])
+
+
 def tagged_lines(spark, sf, h1: str, h2: str):
     head = F.when(F.col("line").rlike(r"^[A-Z][a-z]+\.$"), F.concat(F.when(F.length("line") % 2 == 0, h1).otherwise(h2), F.col("line")))
     return the_lines(spark, sf).withColumn("line", F.coalesce(head, "line"))
