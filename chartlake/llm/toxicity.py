@@ -109,7 +109,7 @@ def train(sample: list[tuple[str, int]], window: int = WINDOW) -> Model | None:
     dict_rows, cal_rows = {y: t[::2] for y, t in by.items()}, {y: t[1::2] or t for y, t in by.items()}
     plain = [w for t in dict_rows[0] for w in windows(t, window)]
     try:
-        base = z.train_dictionary(BASE_BYTES, plain[:60_000], level=3).as_bytes()
+        base = z.train_dictionary(BASE_BYTES, plain, level=3).as_bytes()
     except z.ZstdError:  # too little text to train on: the text itself
         base = b" ".join(plain)[-BASE_BYTES:]
     marked = " ".join(marked_words(dict_rows[1], dict_rows[0])).encode()[-CLASS_BYTES:]
