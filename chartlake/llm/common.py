@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +23,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset (tests), a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset and Spark runs in one process, a new local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
+    """A new path in the shared folder, removed when the scratch around it or the driver's Python ends."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     _STAGED.append((spark, path))
     return path
@@ -45,14 +49,46 @@ def staged(df: DataFrame, what: str = "staged") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reshuffled(df: DataFrame) -> DataFrame:
+    """df dealt by all its columns.
+
+    A join with an aggregate takes over the aggregate's partitions, and then a hot key of the other side cannot be split.
+    With this step between, the join reads both sides from shuffles of its own, whose skewed partitions Spark splits.
+    """
+    return df.repartition(*df.columns)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged inside are removed at the end, but for what the given function stages."""
+    before, kept = len(_STAGED), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = staged(df, "result")
+        kept.append(_STAGED.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        for entry in _STAGED[before:]:
+            _delete(*entry)
+        _STAGED[before:] = kept
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session has ended; the folder's owner clears it
+        return False
+    return True
+
+
 @atexit.register
 def _drop_staged() -> None:
-    for spark, path in _STAGED:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended; the folder's owner clears it
+    for entry in _STAGED:
+        if not _delete(*entry):
             return
 
 

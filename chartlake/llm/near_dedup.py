@@ -3,18 +3,21 @@
 A document is a sequence of k-mers (five words each), each labelled with how often it has occurred before. For
 every band the few k-mers with the smallest hashes are sampled and kept in text order; documents whose samples
 agree, order included, are candidates, which is far likelier after small edits than for texts that only share
-k-mers. Candidates are verified by a banded alignment: aligned k-mers over all, at least 0.8. Exact copies are
-folded first. Small buckets are compared in all pairs. In larger ones every member is compared with the most
-central member (the one with most candidates), then those still apart with the most central one of another
+k-mers. Candidates are verified by a banded alignment of their words: aligned words over the words of the longer text, at
+least 0.8. A link is a pair of texts that share a bucket and align well enough; classes are components of links.
+
+Exact copies are folded first. Small buckets are compared in all pairs. In larger ones every member is compared with the
+most central member (the one with most candidates), then those still apart with the most central one of another
 component. At last every member outside its bucket's largest component is joined with texts of other components on
-its rarest k-mers, of which any two texts with a link share one (a prefix filter): no link between candidates is lost,
-and no bucket's members are paired with one another. As a class is a component of links, members of one component
-need no comparison, so that work follows the bucket's size.
+its rarest words, of which any two texts with a link share one (a prefix filter), and pairs without a common bucket are
+dropped: no link is lost or added, and no bucket's members are paired with one another. As members of one component
+need no comparison, work follows the bucket's size.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -24,16 +27,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartlake.llm.common import documents_of, mix, slices, staged
+from chartlake.llm.common import documents_of, mix, reshuffled, scratch, slices, staged
 
-K, BANDS, SIMILARITY = 5, 40, 0.8
+K, BANDS, SIMILARITY = 5, 56, 0.8
 #: Buckets up to this size are compared in all pairs, larger ones with their most central members.
 SMALL = 8
-#: Sampled k-mers per band, for texts of up to so many k-mers.
-LEVELS = ((8, 1), (24, 2), (64, 4), (1 << 62, 8))
+#: A central text is sent once for so many texts that are compared with it.
+PART = 256
+#: Sampled k-mers per band, for texts of up to so many words.
+LEVELS = ((16, 1), (44, 2), (1 << 62, 3))
 _P = np.uint64(0x9E3779B97F4A7C15)
 _KEPT = 1_000_000
-_SKETCH = "doc_id long, copy binary, n int, buckets array<long>"
+_SKETCH = "doc_id long, copy binary, text_md5 binary, n int, words array<int>, buckets array<long>"
 
 
 class WordHashes(dict):
@@ -47,10 +52,13 @@ class WordHashes(dict):
         return h
 
 
-def kmers(text: str, words: WordHashes, k: int = K) -> np.ndarray:
-    """Hashes of the runs of k words in text order; of all words, if they are fewer; none for a text without words."""
+def word_hashes(text: str, words: WordHashes) -> np.ndarray:
     w = text.split()
-    h = np.fromiter(map(words.__getitem__, w), np.uint64, len(w))
+    return np.fromiter(map(words.__getitem__, w), np.uint64, len(w))
+
+
+def kmers(h: np.ndarray, k: int = K) -> np.ndarray:
+    """Hashes of the runs of k words in text order; of all words, if they are fewer; none for a text without words."""
     if not len(h):
         return h
     size = min(k, len(h))
@@ -63,7 +71,7 @@ def kmers(text: str, words: WordHashes, k: int = K) -> np.ndarray:
 
 
 def labelled(h: np.ndarray) -> np.ndarray:
-    """The k-mers mixed with their occurrence number, so that all are distinct."""
+    """First occurrences as they are, later ones mixed with their occurrence number, so that all are distinct."""
     order = np.argsort(h, kind="stable")
     s = h[order]
     same = s[1:] == s[:-1]
@@ -71,8 +79,9 @@ def labelled(h: np.ndarray) -> np.ndarray:
         return h
     at = np.arange(len(h))
     starts = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), at, 0))
+    again = (at - starts).astype(np.uint64)
     out = np.empty_like(h)
-    out[order] = mix(s + (at - starts).astype(np.uint64) * _P)
+    out[order] = np.where(again > 0, mix(s + again * _P), s)
     return out
 
 
@@ -85,14 +94,15 @@ def level_of(n: float) -> int:
     return next(size for most, size in LEVELS if n <= most)
 
 
-def bucket_keys(x: np.ndarray, bands: int = BANDS, similarity: float = SIMILARITY) -> np.ndarray:
-    """Bucket keys of a labelled k-mer sequence, for the sample sizes of all texts that can be similar to it."""
+def bucket_keys(h: np.ndarray, bands: int = BANDS, similarity: float = SIMILARITY) -> np.ndarray:
+    """Bucket keys of a text's word hashes, for the sample sizes of all texts that can be similar to it."""
+    x = labelled(kmers(h))
     n = len(x)
     if not n:
         return np.zeros(0, np.int64)
     values = x[None, :] * _factors(bands)[:, None]  # x is mixed already, so a product is a hash
     out = []
-    for size in sorted({level_of(math.floor(n * similarity)), level_of(n), level_of(n / similarity)}):
+    for size in sorted({level_of(math.floor(len(h) * similarity)), level_of(len(h)), level_of(len(h) / similarity)}):
         take = min(size, n)
         at = _least(values, take)
         keys = np.arange(bands, dtype=np.uint64) * np.uint64(1000) + np.uint64(size)
@@ -154,99 +164,107 @@ def banded_lcs(a: list[int], b: list[int], band: int) -> int:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, labels: tuple[np.ndarray, np.ndarray] | None = None) -> float:
-    """Aligned k-mers over all k-mers of both; 0 where it must stay below `least`. labels: the labelled k-mers, where known."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    need = math.ceil(least * (len(a) + len(b)) / (1 + least) - 1e-9)
+    """Aligned words over the words of the longer text; 0 where it must stay below `least`. labels: the labelled words, where known."""
+    longer = max(len(a), len(b))
+    if not longer:
+        return 1.0
+    need = math.ceil(least * longer - 1e-9)
     if min(len(a), len(b)) < need or len(np.intersect1d(*(labels or (labelled(a), labelled(b))), assume_unique=True)) < need:
         return 0.0
-    common = banded_lcs(a.tolist(), b.tolist(), len(a) + len(b) - 2 * need)
-    return common / (len(a) + len(b) - common)
+    return banded_lcs(a.tolist(), b.tolist(), longer - need) / longer
+
+
+def short_hashes(h: np.ndarray) -> np.ndarray:
+    """Words as they are kept for the alignment: four bytes of their hash."""
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def _sketch(bands: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        known = WordHashes()
         for b in slices(batches):
-            copies, sizes, keys = [], [], []
+            copies, sums, sizes, words, keys = [], [], [], [], []
             for t in b.column("text").to_pylist():
-                h = kmers(t, words)
+                h = word_hashes(t, known)
                 copies.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sums.append(hashlib.md5(t.encode(), usedforsecurity=False).digest())
                 sizes.append(len(h))
-                keys.append(bucket_keys(labelled(h), bands, least))
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "copy", "n", "buckets"])
+                words.append(short_hashes(h).view(np.int32))
+                keys.append(bucket_keys(h, bands, least))
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (words, keys)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(copies, pa.binary()), pa.array(sums, pa.binary()), pa.array(sizes, pa.int32()), *lists], names=["doc_id", "copy", "text_md5", "n", "words", "buckets"])
 
     return run
 
 
+def _parts(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _wide(words: np.ndarray) -> np.ndarray:
+    return words.view(np.uint32).astype(np.uint64)
+
+
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = WordHashes(), {}, 0
-
-        def of(i: int, t: str) -> tuple[np.ndarray, np.ndarray]:
-            nonlocal size
-            if i not in held:
-                if size > _KEPT:
-                    held.clear()
-                    size = 0
-                h = kmers(t, words)
-                held[i] = h, labelled(h)
-                size += len(h)
-            return held[i]
-
-        def near(i: int, j: int, s: str, t: str) -> bool:
-            (x, lx), (y, ly) = of(i, s), of(j, t)
-            return similarity(x, y, least, (lx, ly)) >= least
-
+        hub = None
         for b in batches:
-            out = [(i, j) for i, j, s, t in zip(*(b.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True) if near(i, j, s, t)]
+            out = []
+            for kind, i, words, keys in zip(b.column("kind").to_pylist(), b.column("id").to_pylist(), _parts(b.column("words")), _parts(b.column("buckets")), strict=True):
+                words = _wide(words)
+                if kind == 0:
+                    hub = i, words, labelled(words), np.unique(keys)
+                elif np.isin(keys, hub[3]).any() and similarity(hub[1], words, least, (hub[2], labelled(words))) >= least:
+                    out.append((max(i, hub[0]), min(i, hub[0])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
-    for b in slices(batches):
-        found = [labelled(kmers(t, words)).astype(np.int64) for t in b.column("text").to_pylist()]
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [labelled(_wide(w)).astype(np.int64) for w in _parts(b.column("words"))]
         sizes = np.fromiter(map(len, found), np.int32, len(found))
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.concatenate(found)))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), lists], names=["id", "n", "grams"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes), lists], names=["id", "n", "grams"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Of the candidate pairs (a, b) those whose texts (doc_id, text) align well enough."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    """The links (a, b) among candidate pairs (a, b, hub, parts); hub is one of a and b. texts: id, words, buckets.
+
+    A hub's words are sent once for each of its parts, then follow the texts that it is compared with.
+    """
+    needed = pairs.select(F.col("a").alias("need")).union(pairs.select(F.col("b").alias("need"))).distinct()
     # ids of candidates and shared buckets grow with the corpus: merge joins at every size, never a broadcast
-    some = staged(texts.join(needed.hint("merge"), texts["doc_id"] == needed["id"], "left_semi"), "candidates")
-    left = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long")
+    some = staged(texts.join(needed.hint("merge"), texts["id"] == needed["need"], "left_semi"), "candidates")
+    other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    dealt = pairs.select("hub", other.alias("id"), F.pmod(F.xxhash64(other), F.col("parts")).cast("int").alias("part"))
+    members = dealt.join(some.hint("merge"), "id").select("hub", "part", F.lit(1).alias("kind"), "id", "words", "buckets")
+    hubs = dealt.select("hub", "part").distinct().join(some.withColumnRenamed("id", "hub").hint("merge"), "hub").select("hub", "part", F.lit(0).alias("kind"), F.col("hub").alias("id"), "words", "buckets")
+    return hubs.unionByName(members).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind").select("kind", "id", "words", "buckets").mapInArrow(_verify(least), "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in the edges (a, b): the least id that it is linked to.
 
-    Alternates large-star and small-star steps, each a minimum per key and a join; no neighbour list is collected.
+    Alternates large-star and small-star steps, each a minimum per key and a join, until nothing changes; no neighbour
+    list is collected. The minima are dealt anew before the join, so that the skew join can split an id of many edges.
     """
-    links = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    before = None
-    for _ in range(rounds):
+    links, before = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"), None
+    while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(reshuffled(least).hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = large.join(reshuffled(lower).hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = staged(small.where("u <> v").distinct(), "links")
         now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head()
         if now == before:
             every = links.union(links.select("v", "v"))  # the least ids themselves, too
             return every.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
         before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _long_enough(a: str, b: str, least: float) -> Column:
@@ -256,7 +274,7 @@ def _long_enough(a: str, b: str, least: float) -> Column:
 def _all_pairs(shared: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b), a above b, within buckets of bounded size."""
     l, r = shared.alias("l"), shared.alias("r")
-    return l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.id") > F.col("r.id")) & _long_enough("l.n", "r.n", least)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    return l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.id") > F.col("r.id")) & _long_enough("l.n", "r.n", least)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.id").alias("hub"), F.lit(1).alias("parts"))
 
 
 def _to_leader(shared: DataFrame, least: float, apart: bool = False) -> DataFrame:
@@ -267,7 +285,7 @@ def _to_leader(shared: DataFrame, least: float, apart: bool = False) -> DataFram
     """
     order = F.struct(F.col("degree").alias("d"), (-F.col("id")).alias("i"))
     cols = ["id", "n", *(["component"] if apart else [])]
-    pick = lambda df: df.groupBy("bucket").agg(F.max_by(F.struct(*cols), order).alias("lead"))
+    pick = lambda df: reshuffled(df.groupBy("bucket").agg(F.max_by(F.struct(*cols), order).alias("lead"))).hint("merge")
     lead = pick(shared)
     if apart:
         others = shared.join(lead.select("bucket", F.col("lead.component").alias("first")), "bucket").where("component <> first")
@@ -275,17 +293,17 @@ def _to_leader(shared: DataFrame, least: float, apart: bool = False) -> DataFram
     found = shared.join(lead, "bucket").where((F.col("id") != F.col("lead.id")) & _long_enough("n", "lead.n", least))
     if apart:
         found = found.where(F.col("component") != F.col("lead.component"))
-    return found.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b"))
+    return found.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b"), F.col("lead.id").alias("hub"), F.ceil(F.col("c") / PART).cast("int").alias("parts"))
 
 
 def _rare_first(texts: DataFrame, ids: DataFrame, least: float) -> DataFrame:
-    """Per text the labelled k-mers that a similar text must share one of: (id, n, gram, df, rank), the rarest first.
+    """Per text the labelled words that a similar text must share one of: (id, n, gram, df, rank), the rarest first.
 
-    Of n k-mers in one order for all texts, two texts with a link share one of the first n - least * n + 1. Rare ones
-    come first, so that what many texts share seldom counts. k-mers of one text only are counted, but not returned.
+    Of n words in one order for all texts, two texts with a link share one of the first n - least * n + 1. Rare ones
+    come first, so that what many texts share seldom counts. Words of one text only are counted, but not returned.
     """
-    own = texts.join(ids.hint("merge"), texts["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
-    rows = staged(own.mapInArrow(_grams, "id long, n int, grams array<long>"), "grams").select("id", "n", F.explode("grams").alias("gram"))
+    own = texts.join(ids.select(F.col("id").alias("need")).hint("merge"), F.col("id") == F.col("need"), "left_semi").select("id", "words")
+    rows = staged(own.mapInArrow(_labels, "id long, n int, grams array<long>"), "grams").select("id", "n", F.explode("grams").alias("gram"))
     often = staged(rows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "often")
     text = Window.partitionBy("id")
     rank = F.col("n") - F.count("*").over(text) + F.row_number().over(text.orderBy("df", "gram"))
@@ -295,69 +313,91 @@ def _rare_first(texts: DataFrame, ids: DataFrame, least: float) -> DataFrame:
 def _outsiders(placed: DataFrame, least: float, texts: DataFrame) -> DataFrame:
     """Pairs of every member outside its bucket's largest component with texts of other components that can have a link with it.
 
-    Joined by rare k-mers in place of buckets, so that no bucket's members are paired with one another. A pair meets
-    at its first common k-mer: the ones left after it must suffice for a link.
+    Joined by rare words in place of buckets, so that no bucket's members are paired with one another. A pair meets
+    at its first common word: the ones left after it must suffice for a link.
     """
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("members"))
-    most = parts.groupBy("bucket").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    split = placed.join(most.select("bucket", "largest"), "bucket").groupBy("id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("outside"))
+    most = parts.groupBy("bucket").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1")
+    split = placed.join(reshuffled(most.select("bucket", "largest")).hint("merge"), "bucket").groupBy("id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("outside"))
     split = staged(split, "split")
     first = staged(_rare_first(texts, split.select("id"), least).join(split, "id"), "prefixes")
     l, r = first.where("outside").alias("l"), first.alias("r")
-    need = F.ceil((F.col("l.n") + F.col("r.n")) * (least / (1 + least)) - 1e-9)
+    need = F.ceil(F.greatest("l.n", "r.n") * least - 1e-9)
     left = 1 + F.least(F.col("l.n") - F.col("l.rank"), F.col("r.n") - F.col("r.rank"))
     once = ~F.col("r.outside") | (F.col("l.id") > F.col("r.id"))
     found = l.join(r.hint("merge"), (F.col("l.gram") == F.col("r.gram")) & (F.col("l.component") != F.col("r.component")) & once & _long_enough("l.n", "r.n", least) & (left >= need))
-    return found.select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b"))
+    return found.select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b"), F.col("r.id").alias("hub"), F.lit(16).alias("parts"))
 
 
 def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
     """The components (id, component) after more links (a, b), which join components, not texts."""
     ends = [label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
     named = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    late = components(named).select(F.col("id").alias("part"), F.col("component").alias("joined"))
-    old = label.join(late, label["component"] == late["part"], "left").select("id", F.coalesce("joined", "component").alias("component"))
+    late = staged(components(named).select(F.col("id").alias("part"), F.col("component").alias("joined")), "late")
+    old = label.join(late.hint("merge"), label["component"] == late["part"], "left").select("id", F.coalesce("joined", "component").alias("component"))
     alone = late.select(F.col("part").alias("id"), F.col("joined").alias("component"))
     return staged(old.unionByName(alone).distinct(), "components")
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, least: float = SIMILARITY, small: int = SMALL) -> DataFrame:
-    """One row per document: doc_id, copy_id (least id with the same words), class_id (least id of its class), kept.
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair once, with the hub that has most parts."""
+    return pairs.groupBy("a", "b").agg(F.max(F.struct("parts", "hub")).alias("m")).select("a", "b", "m.hub", "m.parts")
 
-    Words are compared by their letters and digits in lower case. Null text counts as empty; texts without
-    words are copies of one another. Repeated rows get the same class; rows with a null id are left out of
-    comparisons and are a class of their own (all ids null, kept); an empty table gives no rows; other columns are not
-    read. Every text is read whole.
-    """
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, bands: int, least: float, small: int) -> DataFrame:
+    """classify, with the text's md5."""
     df = documents_of(docs, id_col, text_col)
-    sketches = staged(df.mapInArrow(_sketch(bands, least), _SKETCH), "sketches")
+    # every row gets a number of its own here, so that an id with several texts is no trouble
+    sketches = staged(df.mapInArrow(_sketch(bands, least), _SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
     known = sketches.where("doc_id is not null")
-    reps = known.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
-    reps = staged(reps, "copies")
+    copies = staged(known.groupBy("copy").agg(F.min("row").alias("id"), F.min(F.struct("doc_id", "text_md5")).alias("lead")), "copies")
+    texts = known.select(F.col("row").alias("id"), "n", "words", "buckets")
+    reps = staged(texts.drop("words").join(copies.select("id").hint("merge"), "id"), "copies")
     members = reps.select("id", "n", F.explode("buckets").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    shared = staged(members.join(sizes.hint("merge"), "bucket"), "shared")
+    shared = staged(members.join(reshuffled(sizes).hint("merge"), "bucket"), "shared")
     # how many candidates a text has says how central it is among its copies
     central = shared.groupBy("id").agg(F.sum("c").alias("degree"))
-    shared = staged(shared.join(central, "id"), "shared")
-    texts = df.where("doc_id is not null")
-    pairs = staged(_all_pairs(shared.where(F.col("c") <= small), least).union(_to_leader(shared.where(F.col("c") > small), least)).distinct(), "pairs")
-    label = components(verified(pairs, texts, least))
+    shared = staged(shared.join(central.hint("merge"), "id"), "shared")
+    words = texts.drop("n")
+    pairs = staged(_once(_all_pairs(shared.where(F.col("c") <= small), least).union(_to_leader(shared.where(F.col("c") > small), least))), "pairs")
+    label = staged(components(verified(pairs, words, least)), "components")
     large = shared.where(F.col("c") > small)
-    for choose in (functools.partial(_to_leader, apart=True), functools.partial(_outsiders, texts=texts)):
-        placed = staged(large.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-        again = staged(choose(placed, least).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        label = _merged(label, verified(again, texts, least))
+    for choose in (functools.partial(_to_leader, apart=True), functools.partial(_outsiders, texts=words)):
+        placed = staged(large.join(label.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+        again = staged(_once(choose(placed, least)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        label = _merged(label, verified(again, words, least))
         pairs = pairs.unionByName(again)
-    final = reps.select("id").join(label, "id", "left")
-    classes = reps.select("copy", "id").join(final, "id", "left").select("copy", F.col("id").alias("copy_id"), F.coalesce("component", "id").alias("class_id"))
-    out = known.select("doc_id", "copy").join(classes, "copy").select("doc_id", "copy_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    placed = staged(copies.join(label.hint("merge"), "id", "left").select("copy", "lead", F.coalesce("component", "id").alias("component")), "placed")
+    classes = placed.groupBy("component").agg(F.min("lead").alias("first"))
+    named = placed.join(reshuffled(classes).hint("merge"), "component").select("copy", F.col("lead.doc_id").alias("copy_id"), "first")
+    own = F.struct("doc_id", "text_md5")
+    out = known.select("doc_id", "copy", "text_md5").join(named.hint("merge"), "copy").select("doc_id", "text_md5", "copy_id", F.col("first.doc_id").alias("class_id"), (own == F.col("first")).alias("kept"))
     none = F.lit(None).cast("long")
-    return out.unionByName(sketches.where("doc_id is null").select("doc_id", none.alias("copy_id"), none.alias("class_id"), F.lit(True).alias("kept")))
+    return out.unionByName(sketches.where("doc_id is null").select("doc_id", "text_md5", none.alias("copy_id"), none.alias("class_id"), F.lit(True).alias("kept")))
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, least: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+    """One row per document: doc_id, copy_id (least id with the same words), class_id (least id of its class), kept.
+
+    Words are compared by their letters and digits in lower case. Null text counts as empty; texts without
+    words are copies of one another. Repeated rows get the same class; of an id with several texts each text has its
+    class, and one of them (that with the least md5) is kept where they share it. Rows with a null id are left out of
+    comparisons and are a class of their own (all ids null, kept); an empty table gives no rows; other columns, whatever
+    their names, are not read. Every text is read whole, however long. Tables made on the way are removed at the end.
+    """
+    with scratch() as keep:
+        return keep(_classified(docs, id_col, text_col, bands, least, small).drop("text_md5"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least id, with all its columns; of fully repeated ids one row. Rows without an id stay."""
-    keep = classify(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__keep")).distinct()
-    stay = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class, the one with the least id, with all its columns.
+
+    Of rows repeated with one id and text one stays; an id with several texts loses none that are no copies of one another.
+    Rows without an id stay. Null text counts as empty; an empty table gives no rows; other columns are kept as they are.
+    """
+    with scratch() as keep:
+        ids = keep(_classified(docs, "doc_id", "text", BANDS, SIMILARITY, SMALL).where("kept and doc_id is not null").select(F.col("doc_id").alias("__keep"), F.col("text_md5").alias("__md5")).distinct())
+    rows = docs.where("doc_id is not null").withColumn("__own", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    stay = rows.join(ids.hint("merge"), (rows["doc_id"] == ids["__keep"]) & (rows["__own"] == ids["__md5"]), "left_semi").dropDuplicates(["doc_id", "__own"]).drop("__own")
     return stay.unionByName(docs.where(docs["doc_id"].isNull()))

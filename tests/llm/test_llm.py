@@ -274,8 +274,8 @@ def test_large_buckets_lose_no_link(spark):
     shared = words(r, 5)
     texts += [shared + " " + words(r, r.randint(0, 3)) for _ in range(40)]
     seen = near_dedup.WordHashes()
-    mers = [near_dedup.kmers(t, seen) for t in texts]
-    keys = [set(near_dedup.bucket_keys(near_dedup.labelled(h)).tolist()) for h in mers]
+    mers = [near_dedup.word_hashes(t, seen) for t in texts]
+    keys = [set(near_dedup.bucket_keys(h).tolist()) for h in mers]
     label = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
@@ -293,10 +293,11 @@ def test_rare_first_join_meets_every_link(spark):
         for _ in range(12):
             texts.append(" ".join(w for w in base if r.random() > 0.015) or base[0])
     seen = near_dedup.WordHashes()
-    mers = [near_dedup.kmers(t, seen) for t in texts]
+    mers = [near_dedup.word_hashes(t, seen) for t in texts]
     want = {(i, j) for i in range(len(texts)) for j in range(i) if near_dedup.similarity(mers[i], mers[j]) >= near_dedup.SIMILARITY}
     placed = spark.createDataFrame([(0, i, len(h), i) for i, h in enumerate(mers)], "bucket long, id long, n int, component long")
-    got = near_dedup._outsiders(placed, near_dedup.SIMILARITY, near_dedup.documents_of(table(spark, texts), "doc_id", "text"))
+    held = spark.createDataFrame([(i, near_dedup.short_hashes(h).view(np.int32).tolist()) for i, h in enumerate(mers)], "id long, words array<int>")
+    got = near_dedup._outsiders(placed, near_dedup.SIMILARITY, held)
     pairs = {(x["a"], x["b"]) for x in rows(got.distinct())}
     assert want <= pairs and len(want) > 100 and len(pairs) < len(texts) * (len(texts) - 1) / 4
 
