@@ -231,6 +231,21 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes), lists], names=["id", "n", "grams"])
 
 
+def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, other) of rows (id, others) in the order of ids: of one id each other once, as far as a bounded set holds."""
+    current, held = None, set()
+    for b in batches:
+        out: list[tuple[int, int]] = []
+        for i, others in zip(b.column("id").to_pylist(), _parts(b.column("others")), strict=True):
+            if i != current or len(held) > _KEPT:
+                current, held = i, set()
+            new = set(others.tolist()) - held
+            held |= new
+            out += [(i, x) for x in new]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["id", "other"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The links (a, b) among candidate pairs (a, b, hub, parts); hub is one of a and b. texts: id, words, buckets.
 
@@ -321,12 +336,20 @@ def _outsiders(placed: DataFrame, least: float, texts: DataFrame) -> DataFrame:
     split = placed.join(reshuffled(most.select("bucket", "largest")).hint("merge"), "bucket").groupBy("id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("outside"))
     split = staged(split, "split")
     first = staged(_rare_first(texts, split.select("id"), least).join(split, "id"), "prefixes")
-    l, r = first.where("outside").alias("l"), first.alias("r")
-    need = F.ceil(F.greatest("l.n", "r.n") * least - 1e-9)
-    left = 1 + F.least(F.col("l.n") - F.col("l.rank"), F.col("r.n") - F.col("r.rank"))
-    once = ~F.col("r.outside") | (F.col("l.id") > F.col("r.id"))
-    found = l.join(r.hint("merge"), (F.col("l.gram") == F.col("r.gram")) & (F.col("l.component") != F.col("r.component")) & once & _long_enough("l.n", "r.n", least) & (left >= need))
-    return found.select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b"), F.col("r.id").alias("hub"), F.lit(16).alias("parts"))
+    # a word's texts meet the outsiders in blocks, so that a pair with many common words is no row for each of them
+    slot = F.pmod(F.xxhash64("id"), F.greatest(F.ceil(F.col("df") / PART), F.lit(1)))
+    blocks = first.groupBy("gram", slot.alias("slot")).agg(F.collect_list(F.struct("id", "n", "rank", "component", "outside")).alias("others"))
+    met = first.where("outside").select("gram", "id", "n", "rank", "component").join(blocks.select("gram", "others").hint("merge"), "gram")
+
+    def can_link(r: Column) -> Column:
+        need = F.ceil(F.greatest(F.col("n"), r["n"]) * least - 1e-9)
+        left = 1 + F.least(F.col("n") - F.col("rank"), r["n"] - r["rank"])
+        once = ~r["outside"] | (F.col("id") > r["id"])
+        return (F.col("component") != r["component"]) & once & (F.least("n", r["n"]) >= F.greatest("n", r["n"]) * least) & (left >= need)
+
+    found = met.select("id", F.transform(F.filter("others", can_link), lambda r: r["id"]).alias("others")).where(F.size("others") > 0)
+    pairs = found.repartition("id").sortWithinPartitions("id").mapInArrow(_distinct_pairs, "id long, other long")
+    return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"), F.col("other").alias("hub"), F.lit(16).alias("parts"))
 
 
 def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
