@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,47 +42,86 @@ def split_reconcile(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, F.lit(True)).withColumn("difference", F.col("new_total") - F.col("old_total"))
 
 
+#: Score ranges per class whose sums and maxima are carried to the next one.
+RANGES = 64
+THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
+
+
 def match_detections(preds: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Every prediction with hit: by falling score it takes the free truth box of its image and class that it overlaps most, from the threshold on."""
+    return match_levels(preds, truth, (threshold,)).withColumn("hit", F.col("hits")[0]).drop("hits")
+
+
+def match_levels(preds: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """Every prediction with hits, a flag per threshold. Overlaps are worked out once, matches are folded per image, class and threshold."""
     l, r = preds.alias("l"), truth.alias("r")
     over = iou([F.col(f"l.{c}") for c in BOX], [F.col(f"r.{c}") for c in BOX])
-    pairs = l.join(r, (F.col("l.image_id") == F.col("r.image_id")) & (F.col("l.class_id") == F.col("r.class_id"))).select("l.image_id", "l.class_id", "l.det_id", "l.raw_score", F.col("r.det_id").alias("truth_id"), over.alias("iou")).where(F.col("iou") >= threshold)
+    pairs = l.join(r, (F.col("l.image_id") == F.col("r.image_id")) & (F.col("l.class_id") == F.col("r.class_id"))).select("l.image_id", "l.class_id", "l.det_id", "l.raw_score", F.col("r.det_id").alias("truth_id"), over.alias("iou")).where(F.col("iou") >= min(thresholds))
     options = pairs.groupBy("image_id", "class_id", "det_id", "raw_score").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("o"), F.col("truth_id").alias("t")))).alias("opts"))
     group = options.groupBy("image_id", "class_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("raw_score")).alias("s"), F.col("det_id").alias("d"), F.col("opts").alias("opts")))).alias("ps"))
     zero = F.expr("named_struct('used', cast(array() as array<bigint>), 'hits', cast(array() as array<bigint>))")
 
-    def step(a, p):
-        free = F.get(F.filter(p["opts"], lambda o: ~F.array_contains(a["used"], o["t"])), F.lit(0))
-        return F.when(free.isNull(), a).otherwise(F.struct(F.array_append(a["used"], free["t"].cast("long")).alias("used"), F.array_append(a["hits"], p["d"].cast("long")).alias("hits")))
-
-    hits = group.select("image_id", "class_id", F.explode(F.aggregate("ps", zero, step)["hits"]).alias("det_id"), F.lit(True).alias("hit"))
-    return preds.join(hits, ["image_id", "class_id", "det_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    def fold(threshold: float) -> Column:
+        def step(a, p):
+            free = F.get(F.filter(p["opts"], lambda o: (-o["o"] >= threshold) & ~F.array_contains(a["used"], o["t"])), F.lit(0))
+            return F.when(free.isNull(), a).otherwise(F.named_struct(F.lit("used"), F.array_append(a["used"], free["t"].cast("long")), F.lit("hits"), F.array_append(a["hits"], p["d"].cast("long"))))
+
+        return F.aggregate("ps", zero, step)["hits"]
+
+    found = group.select("image_id", "class_id", *[fold(t).alias(f"h{i}") for i, t in enumerate(thresholds)], F.explode(F.transform("ps", lambda p: p["d"])).alias("det_id"))
+    found = found.select("image_id", "class_id", "det_id", F.array(*[F.array_contains(f"h{i}", F.col("det_id")) for i in range(len(thresholds))]).alias("hits"))
+    none = F.array(*[F.lit(False)] * len(thresholds))
+    return preds.join(found, ["image_id", "class_id", "det_id"], "left").withColumn("hits", F.coalesce("hits", none))
+
+
+def _curves(matched: DataFrame, n_truth: DataFrame, by: list[str]) -> DataFrame:
+    """ap, precision and recall per group (by) of matched predictions (hit), by 101 recall points under the falling precision hull.
+
+    Two levels: a group's score ranges are windows of their own, and a row per range carries the sums of the ranges
+    before it and the greatest precision of those after it, so that no task holds a group.
+    """
+    ranged = matched.withColumn("_range", F.floor(F.least(F.greatest(F.col("raw_score"), F.lit(0.0)), F.lit(1.0)) * (RANGES - 1)))
+    order = [F.desc("raw_score"), "image_id", "det_id"]
+    inner = Window.partitionBy(*by, "_range").orderBy(*order)
+    per = ranged.groupBy(*by, "_range").agg(F.sum(F.col("hit").cast("long")).alias("_tp"), F.count("*").alias("_k"))
+    above = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select(*by, "_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in ("_tp", "_k")])
+    c = ranged.join(base, [*by, "_range"]).join(n_truth, by)
+    run = inner.rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumns({"tp": F.col("_tp0") + F.sum(F.col("hit").cast("long")).over(run), "k": F.col("_k0") + F.row_number().over(inner)})
+    c = c.withColumns({"p": F.col("tp") / F.col("k"), "r": F.col("tp") / F.col("n_truth"), "prev": F.col("tp") - F.col("hit").cast("long")})
+    back = Window.partitionBy(*by, "_range").orderBy("raw_score", F.desc("image_id"), F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("_ph", F.max("p").over(back))
+    lower = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = c.groupBy(*by, "_range").agg(F.max("p").alias("_top")).select(*by, "_range", F.max("_top").over(lower).alias("_below"))
+    # a recall point is reached first at the row where recall passes it
+    points = F.floor(100 * F.col("tp") / F.col("n_truth") + 1e-9) - F.floor(100 * F.col("prev") / F.col("n_truth") + 1e-9) + F.when((F.col("prev") == 0) & (F.col("tp") > 0), 1).otherwise(0)
+    h = c.join(tops, [*by, "_range"]).withColumn("_ph", F.greatest("_ph", "_below")).withColumn("_points", points)
+    ap = h.groupBy(*by).agg(F.round(F.sum(F.col("_points") * F.col("_ph")) / 101, 6).alias("ap"), F.round(F.max_by("p", "k"), 6).alias("precision"), F.round(F.max("r"), 6).alias("recall"))
+    return n_truth.join(ap, by, "left").na.fill(0.0, ["ap", "precision", "recall"])
 
 
 def detection_eval(preds: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """precision, recall and average precision (101 recall points, falling precision hull) per class."""
     n_truth = truth.groupBy("class_id").agg(F.count("*").alias("n_truth"))
-    m = match_detections(preds, truth, threshold)
-    w = Window.partitionBy("class_id").orderBy(F.desc("raw_score"), "image_id", "det_id")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    c = m.withColumns({"tp": F.sum(F.col("hit").cast("int")).over(run), "k": F.row_number().over(w)}).join(n_truth, "class_id")
-    c = c.withColumns({"p": F.col("tp") / F.col("k"), "r": F.col("tp") / F.col("n_truth")})
-    hull = c.withColumn("ph", F.max("p").over(w.rowsBetween(0, Window.unboundedFollowing)))
-    # a recall point is reached first at the row where recall passes it
-    prev = F.coalesce(F.lag("tp").over(w), F.lit(0))
-    points = F.floor(100 * F.col("tp") / F.col("n_truth") + 1e-9) - F.floor(100 * F.col("prev") / F.col("n_truth") + 1e-9)
-    h = hull.withColumn("prev", prev).withColumn("points", points + F.when((F.col("prev") == 0) & (F.col("tp") > 0), 1).otherwise(0))
-    ap = h.groupBy("class_id").agg(F.round(F.sum(F.col("points") * F.col("ph")) / 101, 6).alias("ap"), F.round(F.max_by("p", "k"), 6).alias("precision"), F.round(F.max("r"), 6).alias("recall"))
-    return n_truth.join(ap, "class_id", "left").na.fill(0.0)
-
-
-def mean_ap(preds: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))) -> DataFrame:
-    """Mean of the average precision over overlap thresholds, per class."""
-    out = None
-    for t in thresholds:
-        part = detection_eval(preds, truth, t).select("class_id", "ap")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("class_id").agg(F.round(F.avg("ap"), 6).alias("map"))
+    return _curves(match_detections(preds, truth, threshold), n_truth, ["class_id"])
+
+
+def evaluation_report(preds: DataFrame, truth: DataFrame, splits: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Per split (image_id, split) and class: n_truth, ap, precision, recall, and a row with class_id null for the mean over the split's classes."""
+    of = lambda df: df.join(splits, "image_id")
+    n_truth = of(truth).groupBy("split", "class_id").agg(F.count("*").alias("n_truth"))
+    per = _curves(of(match_detections(preds, truth, threshold)), n_truth, ["split", "class_id"])
+    every = per.groupBy("split").agg(F.sum("n_truth").alias("n_truth"), *[F.round(F.avg(c), 6).alias(c) for c in ("ap", "precision", "recall")])
+    return per.unionByName(every, allowMissingColumns=True)
+
+
+def mean_ap(preds: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """Mean of the average precision over overlap thresholds, per class; matched once."""
+    m = match_levels(preds, truth, thresholds)
+    long = m.select(*preds.columns, F.posexplode("hits").alias("level", "hit"))
+    n_truth = truth.groupBy("class_id").agg(F.count("*").alias("n_truth")).crossJoin(preds.sparkSession.range(len(thresholds)).select(F.col("id").cast("int").alias("level")))  # a few levels
+    return _curves(long, n_truth, ["class_id", "level"]).groupBy("class_id").agg(F.round(F.avg("ap"), 6).alias("map"))
 
 
 def metric_parity(a: DataFrame, b: DataFrame, keys: list[str], metric: str = "ap", tolerance: float = 0.002) -> DataFrame:

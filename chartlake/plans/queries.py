@@ -904,6 +904,20 @@ def detection_map(spark, sf):
     return datasets.mean_ap(the_boxes(spark, sf), bind(spark, sf, B.TRUTH))
 
 
-@query()
+def split_eval_sql(split: str) -> str:
+    """The evaluation of one split, with its class rows and the mean of them."""
+    own = EVAL.replace(f"p AS ({B.BOXES})", f"p AS (SELECT * FROM ({B.BOXES}) b WHERE {B.SPLIT} = '{split}')").replace(f"t AS ({B.TRUTH})", f"t AS (SELECT * FROM ({B.TRUTH}) b WHERE {B.SPLIT} = '{split}')")
+    return f"""SELECT '{split}' AS split, class_id, n_truth, ap, "precision", recall FROM ({own}) e
+UNION ALL SELECT '{split}', NULL, sum(n_truth), round(avg(ap), 6), round(avg("precision"), 6), round(avg(recall), 6) FROM ({own}) e"""
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({split_eval_sql(s)}) s" for s in ("train", "val", "test")))
+def evaluation_report(spark, sf):
+    truth = bind(spark, sf, B.TRUTH)
+    splits = truth.select("image_id").union(the_boxes(spark, sf).select("image_id")).distinct().selectExpr("image_id", f"{B.SPLIT} AS split")
+    return datasets.evaluation_report(the_boxes(spark, sf), truth, splits)
+
+
+@query(f"""SELECT class_id, a.ap AS a, b.ap AS b, coalesce(abs(a.ap - b.ap) <= 0.002, false) AS within FROM ({EVAL}) a FULL JOIN ({EVAL.replace("raw_score DESC", "raw_score*0.99 DESC")}) b USING (class_id)""")
 def metric_parity(spark, sf):
     return datasets.metric_parity(the_eval(spark, sf), the_eval(spark, sf, 0.99), ["class_id"])
