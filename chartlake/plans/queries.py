@@ -361,7 +361,7 @@ def cut_report(spark, sf):
 
 FONT = """SELECT doc, page, line_no, (line_no % 2)*300.0 AS x0, line_no*12.0 AS y0, 600.0 AS page_width, 800.0 AS page_height,
   CASE WHEN (page*31 + line_no*7) % 5 = 0 THEN 17.0 WHEN (page*31 + line_no*7) % 5 = 1 THEN 11.0 WHEN (page*31 + line_no*7) % 5 = 2 THEN 9.5 WHEN (page*31 + line_no*7) % 5 = 3 THEN 9.0 ELSE 8.0 END AS size,
-  CASE WHEN (page*31 + line_no*7) % 5 = 1 AND (page + line_no) % 13 = 0 THEN 'BIBLIOGRAPHY' WHEN (page + line_no) % 7 = 0 THEN CAST(page % 1000 AS VARCHAR(8)) ELSE line END AS text, CASE WHEN page % 11 = 0 THEN 90 ELSE 0 END AS direction FROM """
+  CASE WHEN (page*31 + line_no*7) % 5 = 1 AND (page + line_no) % 13 = 0 THEN CASE WHEN page % 2 = 0 THEN 'BIBLIOGRAPHY' ELSE 'Bibliography and notes' END WHEN page % 17 = 3 THEN 'Flowchart 1.' || CAST(line_no AS VARCHAR(8)) || ' steps' WHEN page % 17 = 4 THEN 'Figure 3 shows' WHEN page % 17 = 5 THEN 'TABLES 12.4' WHEN (page + line_no) % 7 = 0 THEN CAST(page % 1000 AS VARCHAR(8)) ELSE line END AS text, CASE WHEN page % 11 = 0 THEN 90 ELSE 0 END AS direction FROM """
 DUCK_FONT = f"{FONT} ({DUCK_LINES})"
 
 
@@ -375,7 +375,7 @@ def reading_order(spark, sf):
 
 
 DUCK_BIB = f"""SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS in_bibliography
-FROM (SELECT *, CASE WHEN size > 10.5 AND NOT (size >= 11.8 AND regexp_matches(text, '^[0-9]{{1,4}}$')) THEN upper(trim(text)) = 'BIBLIOGRAPHY' AND size < 11.8 END AS mark FROM ({DUCK_FONT}))"""
+FROM (SELECT *, CASE WHEN size > 10.5 AND NOT (size >= 11.8 AND regexp_matches(text, '^[0-9]{{1,4}}$')) THEN starts_with(upper(trim(text)), 'BIBLIOGRAPHY') AND size < 11.8 END AS mark FROM ({DUCK_FONT}))"""
 
 
 @query(f"SELECT doc, page, line_no, in_bibliography FROM ({DUCK_BIB})")
@@ -383,16 +383,17 @@ def bibliography_state(spark, sf):
     return corpus.bibliography_state(the_font(spark, sf)).select("doc", "page", "line_no", "in_bibliography")
 
 
-@query(f"""SELECT doc, page, line_no, CASE WHEN size >= 11.8 AND regexp_matches(trim(text), '^[0-9]{{1,4}}$') THEN 'page_number' WHEN size >= 11.8 THEN 'h1' WHEN size > 10.5 AND upper(trim(text)) = 'BIBLIOGRAPHY' THEN 'bibliography_heading' WHEN size > 10.5 THEN 'h2'
- WHEN size <= 8.8 THEN 'caption_or_table' WHEN size <= 9.3 THEN 'running_header' WHEN in_bibliography THEN 'bibliography' WHEN regexp_matches(trim(text), '^(Fig\\.|Figure|Table|Box)\\s*[0-9]') THEN 'caption' ELSE 'body' END AS kind FROM ({DUCK_BIB})""")
+@query(f"""SELECT doc, page, line_no, CASE WHEN size >= 11.8 AND regexp_matches(trim(text), '^[0-9]{{1,4}}$') THEN 'page_number' WHEN size >= 11.8 THEN 'h1' WHEN size > 10.5 AND starts_with(upper(trim(text)), 'BIBLIOGRAPHY') THEN 'bibliography_heading' WHEN size > 10.5 THEN 'h2'
+ WHEN size <= 8.8 THEN 'caption_or_table' WHEN size <= 9.3 THEN 'running_header' WHEN in_bibliography THEN 'bibliography' WHEN regexp_matches(trim(text), '(?i)^\\s*(?:Figures?|Tables?|Flowcharts?|Box)\\s*[0-9]+\\.[0-9]+') THEN 'caption' ELSE 'body' END AS kind FROM ({DUCK_BIB})""")
 def classify_font_band(spark, sf):
     return corpus.classify_font_band(the_font(spark, sf)).select("doc", "page", "line_no", "kind")
 
 
-@query(f"SELECT doc, page, line_no, line, CASE WHEN doc = 'en' AND page <= 50 THEN 'front_pages' WHEN doc = 'en' AND length(line) < 10 THEN 'fragment' WHEN doc = 'fr' AND regexp_matches(line, '^[A-Z][a-z]+\\.$') THEN 'footer' END AS reason FROM ({DUCK_LINES})")
+@query(f"SELECT doc, page, line_no, line, CASE WHEN doc = 'en' AND page <= 50 THEN 'front_pages' WHEN doc = 'en' AND length(line) < 10 THEN 'fragment' WHEN doc = 'fr' AND regexp_matches(line, '^[A-Z][a-z]+\\.$') THEN 'footer' WHEN doc = 'de' AND page % 2 = 0 AND page <= 400 AND line_no*12.0 < 30 AND length(line) < 200 THEN 'margin' WHEN doc = 'es' AND (line_no*12.0 < 20 OR length(line) < 60) THEN 'diagram' END AS reason FROM ({DUCK_LINES}) WHERE doc <> 'de' OR page % 2 = 0")
 def drop_line_rules(spark, sf):
-    rules = spark.createDataFrame([("en", 1, "front_pages", None, 50, None, None), ("en", 2, "fragment", None, None, None, 10), ("fr", 3, "footer", None, None, r"^[A-Z][a-z]+\.$", None)], "doc string, rule_no int, reason string, first_page long, last_page long, pattern string, max_length int")
-    return corpus.drop_line_rules(the_lines(spark, sf), rules)
+    rules = spark.createDataFrame([("en", 1, "front_pages", None, 50, None, None, None, None), ("en", 2, "fragment", None, None, None, None, 10, False), ("fr", 3, "footer", None, None, r"^[A-Z][a-z]+\.$", None, None, None), ("de", 4, "margin", None, 400, None, 30.0, 200, None), ("es", 5, "diagram", None, None, None, 20.0, 60, True)], "doc string, rule_no int, reason string, first_page long, last_page long, pattern string, max_x double, max_length int, either boolean")
+    lines = the_lines(spark, sf).where("doc <> 'de' or page % 2 = 0").withColumn("x0", F.col("line_no") * 12.0)
+    return corpus.drop_line_rules(lines, rules)
 
 
 @query(f"SELECT coalesce(doc, 'TOTAL') AS doc, count(*) AS pages, sum({WORDS('text')}) AS words FROM ({B.PAGES}) GROUP BY ROLLUP (doc)")
@@ -502,6 +503,17 @@ def pack_sections(spark, sf):
     return corpus.pack_sections(s)
 
 
+LABELLED = "SELECT source AS doc, doc_id AS section_no, lang || ' — Part ' || doc_id AS label, text FROM documents"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT doc, section_no, label, coalesce(text, '') AS text, {WORDS("coalesce(text, '')")} AS words, CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE 2 END AS heads, split_part(label, ' — ', 1) AS parent FROM ({LABELLED})),
+n AS (SELECT *, CASE WHEN lag(parent) OVER w = parent THEN 0 ELSE 1 END AS brk, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY doc ORDER BY section_no)),
+f AS (SELECT doc, rn, section_no, words AS acc, section_no AS packed_no FROM n WHERE rn = 1 UNION ALL SELECT n.doc, n.rn, n.section_no, CASE WHEN n.brk = 0 AND (f.acc + n.words <= 350 OR n.words < 25) THEN f.acc + n.words + n.heads ELSE n.words END, CASE WHEN n.brk = 0 AND (f.acc + n.words <= 350 OR n.words < 25) THEN f.packed_no ELSE n.section_no END FROM f JOIN n ON f.doc = n.doc AND n.rn = f.rn + 1)
+SELECT doc, packed_no AS section_no, min_by(label, section_no) AS label, string_agg(CASE WHEN section_no = packed_no OR heads = 0 THEN text ELSE split_part(label, ' — ', 2) || ':' || chr(10) || text END, chr(10) ORDER BY section_no) AS text FROM f JOIN s USING (doc, section_no) GROUP BY doc, packed_no""")
+def packed_sections(spark, sf):
+    return corpus.packed_sections(bind(spark, sf, LABELLED).fillna("", "text"))
+
+
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(t, '\\s*[（(]\\s*(?:see\\s+)?Tables?\\s*\\d+\\.\\d+\\s*[)）]', '', 'g'), '\\s+', ' ', 'g')) AS text FROM (SELECT doc_id, replace(text, ' the ', ' (see Table 3.' || doc_id || ') the ') AS t FROM documents)")
 def scrub(spark, sf):
     d = bind(spark, sf, "SELECT doc_id, replace(text, ' the ', ' (see Table 3.' || doc_id || ') the ') AS t FROM documents")

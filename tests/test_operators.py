@@ -112,3 +112,35 @@ def test_streams_equal_batches(spark):
     _drain(consult.stream_rollover(read().select("user_id", "ts")), "append", "roll")
     up = sessions.rollover(batch.selectExpr("user_id", "1L AS session_no", "ts")).select("user_id", "ts", "consultation", "notice")
     assert sorted(map(tuple, spark.sql("select * from roll").collect())) == sorted(map(tuple, up.collect()))
+
+
+def test_clause_titles_go_once(spark):
+    got = corpus.sectionize_numbered(lines(spark, "1", "Scope This Scope applies to Scope notes"))
+    assert [(r["line"], r["label"]) for r in got.collect()] == [("This Scope applies to Scope notes", "Clause 1 Scope")]
+
+
+def test_captions_and_bibliography_headings(spark):
+    rows = [(1, 11.0, "BIBLIOGRAPHY AND NOTES"), (2, 10.0, "an entry"), (3, 11.0, "Next"), (4, 10.0, "Figure 3 shows the result"), (5, 10.0, "Flowchart 1.2 steps"), (6, 10.0, "tables 4.1"), (7, 10.0, "Fig. 1.2")]
+    df = spark.createDataFrame([("d", 1, n, size, t) for n, size, t in rows], "doc string, page long, line_no int, size double, text string")
+    got = {r["line_no"]: r["kind"] for r in corpus.classify_font_band(df).collect()}
+    assert got == {1: "bibliography_heading", 2: "bibliography", 3: "h2", 4: "body", 5: "caption", 6: "caption", 7: "body"}
+
+
+def test_hyphens_join_or_stay(spark):
+    pages = spark.createDataFrame([("d", 1, "the treatment and evidence-based care, traité général"), ("d", 2, "treat-\nment is evidence- based; trai- té, géné-\n ral")], "doc string, page long, text string")
+    got = {r["page"]: r["text"] for r in corpus.repair_hyphenation(pages, corpus.build_vocab(pages.where("page = 1"))).collect()}
+    assert got[2] == "treatment is evidence-based; traité, général"
+
+
+def test_packed_sections_keep_headings(spark):
+    rows = [(1, "A — One", "w " * 340), (2, "A — Two words", "x y"), (3, "A — Three", "z " * 9), (4, "B — Four", "q")]
+    df = spark.createDataFrame([("d", n, label, t.strip()) for n, label, t in rows], "doc string, section_no long, label string, text string")
+    got = {r["section_no"]: (r["label"], r["text"].split("\n")[1:]) for r in corpus.packed_sections(df).collect()}
+    assert got == {1: ("A — One", ["Two words:", "x y", "Three:", "z " * 8 + "z"]), 4: ("B — Four", [])}
+
+
+def test_line_rules_by_place_or_length(spark):
+    lines_ = spark.createDataFrame([("d", 3, n, x, t) for n, x, t in [(1, 100.0, "x" * 80), (2, 250.0, "short"), (3, 250.0, "x" * 80)]], "doc string, page long, line_no int, x0 double, line string")
+    rules = spark.createDataFrame([("d", 1, "diagram", 200.0, 60, True)], "doc string, rule_no int, reason string, max_x double, max_length int, either boolean")
+    hit = lambda r: [x["line_no"] for x in corpus.drop_line_rules(lines_, r).where("reason is not null").orderBy("line_no").collect()]
+    assert hit(rules) == [1, 2] and hit(rules.withColumn("either", F.lit(False))) == []
