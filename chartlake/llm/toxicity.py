@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built from a bounded sample of labelled texts: one of ordinary text, and one
-that holds the same text and, before it, the words that toxic texts use far more often. Every text is cut into
+Two zstandard dictionaries are built from a bounded sample of labelled texts: one trained on ordinary text, and one
+that holds the same text and, before it, the words that toxic texts use far more often. (A dictionary trained on toxic
+texts alone holds mostly their ordinary words, and finds far fewer of them: README.) Every text is cut into
 windows of a few words; each window is compressed with both, and the bytes that the toxic dictionary saves are
 its gain. As the dictionaries differ in nothing else, ordinary windows gain nothing. Counts of windows over
 calibrated gains, fitted on labelled texts that the dictionaries did not see, give the score.
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartlake.llm.common import documents_of, fold_of, slices
@@ -25,6 +26,8 @@ from chartlake.llm.common import documents_of, fold_of, slices
 WINDOW, BASE_BYTES, CLASS_BYTES = 8, 12_288, 16_384
 #: Bounds of the labelled sample, in documents of each class; half of it makes the dictionaries, half calibrates.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 3000, 4500
+#: Bound of the sample's texts of each class in bytes: whole texts are taken in the order of their hash while they fit.
+SAMPLE_BYTES = 24 << 20
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 
@@ -36,9 +39,10 @@ def windows(text: str, n: int = WINDOW) -> list[bytes]:
 
 
 def _compressor(dictionary: bytes):
+    """A compressor whose search tables hold a place for every byte of the dictionary, its oldest ones too."""
     import zstandard as z
 
-    level = z.ZstdCompressionParameters(format=z.FORMAT_ZSTD1_MAGICLESS, window_log=16, hash_log=13, chain_log=13, search_log=4, min_match=4, target_length=24, strategy=z.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    level = z.ZstdCompressionParameters(format=z.FORMAT_ZSTD1_MAGICLESS, window_log=17, hash_log=15, chain_log=16, search_log=4, min_match=4, target_length=24, strategy=z.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
     return z.ZstdCompressor(dict_data=z.ZstdCompressionDict(dictionary, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=level)
 
 
@@ -112,7 +116,11 @@ def train(sample: list[tuple[str, int]], window: int = WINDOW) -> Model | None:
         base = z.train_dictionary(BASE_BYTES, plain, level=3).as_bytes()
     except z.ZstdError:  # too little text to train on: the text itself
         base = b" ".join(plain)[-BASE_BYTES:]
-    marked = " ".join(marked_words(dict_rows[1], dict_rows[0])).encode()[-CLASS_BYTES:]
+    marked = b""
+    for w in reversed(marked_words(dict_rows[1], dict_rows[0])):  # the plainest first, whole words
+        if len(marked) + len(w.encode()) >= CLASS_BYTES:
+            break
+        marked = w.encode() + b" " * bool(marked) + marked
     model = Model(base or b" " * 8, marked + b" " + (base or b" " * 8), ())
     pair = (_compressor(model.ordinary), _compressor(model.toxic))
     x = np.array([features(gains(pair, windows(t, window))) for y in (0, 1) for t in cal_rows[y]])
@@ -120,14 +128,21 @@ def train(sample: list[tuple[str, int]], window: int = WINDOW) -> Model | None:
     return Model(model.ordinary, model.toxic, tuple(fit_logistic(x, y)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> list[tuple[str, int]]:
-    """(text, label) of at most most[label] documents of each label, those whose id hashes lowest."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """(text, label) of at most most[label] documents and most_bytes of text of each label, those whose id hashes lowest.
+
+    Both bounds hold before anything reaches the driver; a first text longer than the bound is taken alone.
+    """
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     picked = None
     for value, n in most.items():
         part = one.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.unionByName(part)
-    rows = documents_of(docs).join(F.broadcast(picked.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label").toPandas()
+    rows = documents_of(docs).join(F.broadcast(picked.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
+    # the sample's rows are few; the sums run over their sizes
+    before = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    sized = rows.withColumns({"upto": F.sum(F.octet_length("text").cast("long")).over(before.rowsBetween(Window.unboundedPreceding, 0)), "place": F.row_number().over(before)})
+    rows = sized.where((F.col("upto") <= most_bytes) | (F.col("place") == 1)).select("doc_id", "text", "label").toPandas()
     rows = rows.assign(order=[hash_id(i) for i in rows["doc_id"]]).sort_values(["order", "doc_id", "text"])
     return list(zip(rows["text"], rows["label"].astype(int), strict=True))
 
@@ -153,8 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sa
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, default: float = 0.0) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Null text counts as empty; an empty text has one empty window. Without a model (no labels of both kinds)
-    every score is ``default``. Repeated rows are scored each; held_out is null for a null id; an empty table
+    Null text counts as empty; an empty text has one empty window. Very long texts are scored whole, window by window; equal
+    texts get equal scores. Without a model (no labels of both kinds)
+    every score is ``default``. Repeated rows are scored each; a null id is kept, its held_out is null; an empty table
     gives no rows; other columns are not read.
     """
     scored = documents_of(docs).mapInArrow(_scorer(model, default), "doc_id long, score double")
@@ -162,7 +178,12 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, de
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are not rejected, with their columns, in one pass without a shuffle."""
+    """The documents that are not rejected, with their columns, in one pass without a shuffle.
+
+    Null and empty texts stay unless an empty window scores at the threshold; every row is judged, repeated ones and rows
+    without an id too; a score at the threshold is rejected. Without a model all stay; an empty table gives no rows; other
+    columns, whatever their names, are kept as they are.
+    """
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
