@@ -101,7 +101,7 @@ def fold(rows: Iterable[Row], budget: int, folder: str, level: int = 0) -> Itera
         os.unlink(f.name)
 
 
-def _folder(budget: int):
+def _folder(budget: int, texts: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[Row]:
             for b in batches:
@@ -109,7 +109,8 @@ def _folder(budget: int):
                     yield digest, text.encode(), top, n
 
         def batch(out: list[Row]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1].decode() for r in out], pa.string()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.int64())], names=["digest", "text", "top", "n"])
+            held = [pa.array([r[1].decode() for r in out], pa.string())] if texts else []
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), *held, pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.int64())], names=["digest", *["text"] * texts, "top", "n"])
 
         with tempfile.TemporaryDirectory(prefix="grace-") as folder:
             out, held = [], 0
@@ -125,12 +126,15 @@ def _folder(budget: int):
     return run
 
 
-def groups(docs: DataFrame, budget: int = 96 << 20) -> DataFrame:
-    """One row per distinct text: digest binary, text, keep_id (largest id, null if all are null), group_size."""
+def groups(docs: DataFrame, budget: int = 96 << 20, texts: bool = True) -> DataFrame:
+    """One row per distinct text: digest binary, text (if asked for), keep_id (largest id, null if all are null), group_size.
+
+    A fold's spill files lie in its task's own temporary folder and are gone with the task; a task that is run again makes them anew.
+    """
     rows = documents_of(docs).select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("top"), F.lit(1).cast("long").alias("n"))
     local = rows.mapInArrow(_folder(budget), PARTIAL)
-    merged = local.repartition("digest").mapInArrow(_folder(budget), PARTIAL)
-    return merged.select("digest", "text", F.nullif("top", F.lit(NO_ID)).alias("keep_id"), F.col("n").alias("group_size"))
+    merged = local.repartition("digest").mapInArrow(_folder(budget, texts), PARTIAL if texts else PARTIAL.replace("text string, ", ""))
+    return merged.select("digest", *["text"] * texts, F.nullif("top", F.lit(NO_ID)).alias("keep_id"), F.col("n").alias("group_size"))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 96 << 20) -> DataFrame:
@@ -138,17 +142,24 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
 
     Null text counts as empty, empty texts equal one another. Of equal texts the row with the largest id
     stays; a null id is below all others, and where a group has only null ids they all stay. Rows repeated
-    with the same id and text count each, and are all marked kept (``deduplicate`` returns one of them). An
-    empty table gives no rows; other columns are not read. ``budget`` bounds the bytes of one task's table.
+    with the same id and text count each, and are all marked kept (``deduplicate`` returns one of them). An id with
+    several texts is in the group of each. Texts are compared whole, however long. An
+    empty table gives no rows; other columns are not read. ``budget`` bounds the bytes of one task's table. A text of
+    very many rows is one row of the groups; the join with them reads both sides from shuffles, so its skew can be split.
     """
     df = documents_of(docs, id_col, text_col)
-    found = groups(df, budget).select("digest", "keep_id", "group_size")
+    found = groups(df, budget, texts=False)
     rows = df.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
     return rows.join(found, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, budget: int = 96 << 20) -> DataFrame:
-    """The documents that stay, with all their columns; of fully repeated ids one row. Rows without an id stay."""
-    ids = groups(docs, budget).where("keep_id is not null").select(F.col("keep_id").alias("__keep"))
-    kept = docs.join(ids, docs["doc_id"] == ids["__keep"], "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stay, with all their columns; of rows repeated with one id and text one stays.
+
+    Rows are kept by id and text, so an id with several texts loses none of them. Rows without an id stay. Null text counts
+    as empty; an empty table gives no rows.
+    """
+    ids = groups(docs, budget, texts=False).where("keep_id is not null").select(F.col("keep_id").alias("__keep"), F.col("digest").alias("__kept"))
+    rows = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    kept = rows.join(ids, (rows["doc_id"] == ids["__keep"]) & (rows["__digest"] == ids["__kept"]), "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
     return kept.unionByName(docs.where(docs["doc_id"].isNull()))

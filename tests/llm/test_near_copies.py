@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from chartlake.llm import common, near_dedup
+from chartlake.llm import common, exact_dedup, near_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -92,3 +92,10 @@ def test_tables_made_on_the_way_are_removed(spark):
     out = near_dedup.classify(docs(spark, ["a b c d e f"] * 3))
     left = [x for x in set(os.listdir(folder)) - before if not x.startswith(".")]
     assert len(left) == 1 and left[0].startswith("result") and out.count() == 3
+
+
+def test_exact_copies_of_one_id_with_several_texts(spark):
+    df = docs(spark, ["a", "b", "c", "a", "a", None], [5, 5, 6, 5, 4, None])
+    assert sorted((x["doc_id"] or 0, x["text"] or "") for x in rows(exact_dedup.deduplicate(df))) == [(0, ""), (5, "a"), (5, "b"), (6, "c")]
+    long = docs(spark, ["x" * 3_000_000, "x" * 3_000_000, "y"])
+    assert sorted((x["doc_id"], x["keep_id"]) for x in rows(exact_dedup.classify(long, budget=1000))) == [(0, 1), (1, 1), (2, 2)]
