@@ -2,13 +2,14 @@
 
 Texts are cut at single spaces between non-spaces, where the tokenizer always cuts too; each distinct piece
 of a batch is encoded once and the ids are gathered back. Texts in which a space meets other white space are
-encoded as they are. The result equals that of the ``tokenizers`` library on the same vocabulary file.
+encoded as they are. Strings of added tokens get their own ids. The result equals that of the ``tokenizers`` library on the same vocabulary file.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,12 @@ class ByteBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take white space with them are not supported")
+        special = {t["content"]: t["id"] for t in added if t["content"]}
+        self._special = special
+        self._split = re.compile("(" + "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self._one = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -45,10 +51,15 @@ class ByteBpe:
         for t, i in ranks.items():
             self._size[i] = len(t)
 
-    @staticmethod
-    def _plain(t: str) -> bool:
-        """Whether every space stands alone between two characters that are no white space."""
-        if not t or t[0].isspace() or t[-1].isspace() or "  " in t:
+    def _whole(self, t: str) -> list[int]:
+        """Ids of one text; the strings of added tokens get their ids, as the library gives them."""
+        if self._split is None or not self._split.search(t):
+            return self._one(t)
+        return [i for part in self._split.split(t) if part for i in ([self._special[part]] if part in self._special else self._one(part))]
+
+    def _plain(self, t: str) -> bool:
+        """Whether every space stands alone between two characters that are no white space, and no added token occurs."""
+        if any(x in t for x in self._special) or not t or t[0].isspace() or t[-1].isspace() or "  " in t:
             return False
         return not any(c in t and (f"{c} " in t or f" {c}" in t) for c in _SPACES)
 
@@ -68,7 +79,7 @@ class ByteBpe:
         start = np.zeros(len(vocab), np.int64)
         start[spaced] = np.concatenate(([0], stop[spaced][:-1])) if spaced.any() else 0
         # what stands first in a text, or the whole of a text that is not plain
-        firsts = [self._one(t[: t.index(" ")] if p and " " in t else t) for t, p in zip(texts, plain, strict=True)]
+        firsts = [self._one(t[: t.index(" ")]) if p and " " in t else self._whole(t) for t, p in zip(texts, plain, strict=True)]
         sizes = np.array([len(x) for x in firsts], np.int64)
         pool = np.concatenate([ids, np.fromiter((i for x in firsts for i in x), np.int64, int(sizes.sum()))])
         begin, count = start[code], (stop - start)[code]

@@ -17,7 +17,7 @@ from chartlake.llm.tokens import ByteBpe
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-ODD = ["", None, " ", "one", "a  b", "a \n b", "x <|endoftext|> y", "é ü  z", " lead", "trail ", "日本 語。x", "don't I'll", "a   b c", "word " * 3000]
+ODD = ["", None, " ", "one", "a  b", "a \n b", "x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b <|endoftext|", "é ü  z", " lead", "trail ", "日本 語。x", "don't I'll", "a   b c", "word " * 3000]
 
 
 def words(r, n):
@@ -35,7 +35,6 @@ def rows(df):
 
 def test_byte_bpe_equals_tokenizers():
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     r = random.Random(1)
     texts = [x or "" for x in ODD] + [words(r, 200).replace(" th", r.choice([" th", "\nth", " \tth", "\u00a0 th"])) for _ in range(40)]
     ids, ends = ByteBpe(BPE).encode(texts)
@@ -159,7 +158,6 @@ def test_packing_places_everything_once(spark):
     texts = ODD + [words(r, r.randint(1, 900)) for _ in range(60)] + ["same text"] * 20
     got = rows(packing.pack(table(spark, texts, extra=True).repartition(3), BPE))
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     by_seq, by_doc = defaultdict(list), defaultdict(list)
     for x in got:
         by_seq[x["sequence_id"]].append((x["offset"], x["length"]))
