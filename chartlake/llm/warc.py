@@ -9,12 +9,16 @@ files inside tasks and joins revisits to their responses.
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartlake.llm.common import reshuffled
+
 #: Fixed values of the WARC 1.1 format.
 VERSION, END = "WARC/1.1", "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -33,14 +37,16 @@ def resolve(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     heads = pages.select("page_id", "url", F.sha2(payload, 256).alias("digest"), F.length(payload).alias("n")).where(F.col("n") >= min_bytes).drop("n")
     first = heads.where("page_id is not null").groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("c"))
-    return heads.drop("url").join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select("page_id", "digest", F.col("first.page_id").alias("to_page"), F.col("first.url").alias("to_url")).distinct()
+    return heads.drop("url").join(reshuffled(first), "digest").where(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select("page_id", "digest", F.col("first.page_id").alias("to_page"), F.col("first.url").alias("to_url")).distinct()
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 100, date: str = "2020-01-01T00:00:00Z", max_records: int = 20_000) -> None:
     """Write a record per page (page_id, url, html) to gzipped archive files under path.
 
     A null html is an empty payload; a null url is left out of the header. Rows repeated with the same page_id
-    and payload are all written as responses. An empty table writes an archive without records.
+    and payload are all written as responses. An empty table writes an archive without records. Very long pages are
+    written whole; other columns, whatever their names, are not read. The reader holds one compressed archive file and one record
+    at a time, so max_records times the mean size of a page should stay well below 2 GB.
     """
     text = F.coalesce(F.col("html"), F.lit(""))
     digest = F.sha2(text.cast("binary"), 256)
@@ -61,21 +67,21 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 100, date: str
     p.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
 
 
-def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:head_end].decode().split("\r\n")
-        if version != VERSION:
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines)
-        start = head_end + 4
-        at = start + int(head["Content-Length"])
-        yield head, data[start:at]
-        if data[at : at + 4] != END.encode():
-            raise ValueError(f"record at byte {start} has a wrong length")
-        at += 4
+def records_in(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of every record of an uncompressed archive, read one record at a time."""
+    while version := archive.readline():
+        if version != f"{VERSION}\r\n".encode():
+            raise ValueError(f"no WARC record at {version[:40]!r}")
+        head: dict[str, str] = {}
+        while (line := archive.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("the archive ends within a header")
+            name, value = line.decode().removesuffix("\r\n").split(": ", 1)
+            head[name] = value
+        block = archive.read(int(head["Content-Length"]))
+        if archive.read(4) != END.encode():
+            raise ValueError(f"the record {head.get('WARC-Record-ID')} has a wrong length")
+        yield head, block
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +92,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for content in b.column(0):
             rows, held = [], 0
-            for head, block in records_in(gzip.decompress(content.as_py())):
+            for head, block in records_in(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
                 payload = block[block.index(b"\r\n\r\n") + 4 :]
                 page = head.get("WARC-Page-ID")
                 rows.append((head["WARC-Record-ID"], head["WARC-Type"], None if page is None else int(page), head.get("WARC-Target-URI"), head.get("WARC-Refers-To"), head["WARC-Payload-Digest"].removeprefix("sha256:"), payload))
@@ -109,5 +115,5 @@ def resolved(records: DataFrame) -> DataFrame:
     origin = r.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("to_page"), F.min("bytes").alias("to_bytes"), F.min("digest").alias("to_digest"))
     # responses refer to nothing and are not joined
     own = r.where("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    again = r.where("record_type <> 'response'").join(origin, "refers_to_id", "left").select("page_id", F.col("to_bytes").alias("payload_bytes"), F.col("to_digest").alias("payload_digest"), "record_type", F.col("to_page").alias("refers_to"))
+    again = r.where("record_type <> 'response'").join(reshuffled(origin), "refers_to_id", "left").select("page_id", F.col("to_bytes").alias("payload_bytes"), F.col("to_digest").alias("payload_digest"), "record_type", F.col("to_page").alias("refers_to"))
     return own.unionByName(again)
