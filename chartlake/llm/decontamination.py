@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from chartlake.llm.common import mix, slices, staged
 
 WINDOW, LITERALS, COVERAGE = 8, 0.5, 0.5
-#: Benchmark windows up to this many are handed to the tasks (8 bytes each) to drop other windows before the join.
-HANDED = 2_000_000
+#: Up to so many rows of benchmark windows and bytes of their slots are handed to the tasks, which drop other windows before the join.
+HANDED, HANDED_BYTES = 2_000_000, 64 << 20
 #: Units of measure.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb ml l gal s sec min h hr hrs day days ms hz khz mhz ghz w kw mw v a k c f pa bar j kj cal kcal usd eur gbp dollars euros cents percent meters metres kilometers kilometres miles feet inches grams kilograms pounds liters litres hours minutes seconds".split())
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -156,7 +156,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     items that are one window are also compared by their plain words, so that verbatim copies always match. Coverage is
     the greater one of template windows among the item's templates and of all windows among all. Null texts count as empty and match nothing; an item with a null id is left out,
     documents with a null id count as one; repeated rows count once; an empty table gives no rows; other columns are
-    not read. With at most ``handed`` distinct benchmark windows the tasks drop other windows before the join;
+    not read. Very long texts are read whole. Runs of one item and document count together if one benchmark value meets
+    one document value over all of them, else the longest run counts alone (ties: that of the least shift). With at most
+    ``handed`` rows of benchmark windows the tasks drop other windows before the join;
     beyond, all windows are joined by a shuffle on the hash, with the same result.
     """
     n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
@@ -166,7 +168,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     items = staged(items.where("id is not null").distinct(), "benchmark-windows")
     per_item = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct(F.when(F.col("slots").isNotNull(), F.col("at"))).alias("n_templates"), F.countDistinct("at").alias("n_all"))
     hashes = items.select("hash", F.col("slots").isNull().alias("copy")).distinct()
-    few = hashes.count() <= handed
+    held = items.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(F.array_join("slots", " ")).cast("long")), F.lit(0)).alias("bytes")).head()
+    few = held["rows"] <= handed and held["bytes"] <= HANDED_BYTES
     if few:
         held = hashes.collect()
         wanted, copied = (np.sort(np.array([r["hash"] for r in held if r["copy"] == c], np.int64).astype(np.uint64)) for c in (False, True))
@@ -182,7 +185,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     changed = consistent & F.exists("pairs", lambda p: p["i"] != p["d"])
     gathered = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    per_pair = runs.groupBy("doc_id", "item_id").agg(gathered(F.when(consistent, F.col("ats"))).alias("ats"), gathered("copies").alias("copies"), F.max(changed).alias("changed_slots"))
+    # a run whose slots do not correspond in itself counts for nothing
+    fit = F.when(consistent, F.struct(F.size("ats").alias("length"), (-F.col("shift")).alias("shift"), "ats", changed.alias("changed")))
+    per_pair = runs.groupBy("doc_id", "item_id").agg(gathered(F.when(consistent, F.col("ats"))).alias("all_ats"), gathered(F.when(consistent, F.col("pairs"))).alias("pairs"), F.max(fit).alias("longest"), gathered("copies").alias("copies"), F.max(changed).alias("some_changed"))
+    one = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
+    per_pair = per_pair.select("doc_id", "item_id", "copies", F.when(one, F.col("all_ats")).otherwise(F.col("longest.ats")).alias("ats"), F.when(one, F.col("some_changed")).otherwise(F.col("longest.changed")).alias("changed_slots"))
     out = per_pair.join(per_item, "item_id").withColumns({"n": F.size("ats"), "n_both": F.size(F.array_union("ats", "copies"))})
     by_template = (F.col("n_templates") > 0) & (F.col("n") * F.col("n_all") >= F.col("n_both") * F.col("n_templates"))
     out = out.withColumns({"windows": F.when(by_template, F.col("n")).otherwise(F.col("n_both")).cast("long"), "item_windows": F.when(by_template, F.col("n_templates")).otherwise(F.col("n_all"))})
@@ -190,6 +197,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents into which no item has leaked, with all their columns."""
+    """The documents into which no item has leaked, with all their columns.
+
+    Null and empty texts stay; repeated rows go or stay alike; documents with a null id go together if one of them holds an
+    item; without items all stay; an empty table gives no rows.
+    """
     leaked = find_leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
     return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["__leaked"]), "left_anti")

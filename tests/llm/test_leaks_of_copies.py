@@ -33,3 +33,17 @@ def test_templates_keep_their_measure(spark):
     bench = spark.createDataFrame([(0, item)], "item_id long, text string")
     got = decontamination.find_leaks(spark.createDataFrame([(0, asked)], DOCS), bench).collect()
     assert [(r["doc_id"], r["coverage"], r["changed_slots"]) for r in got] == [(0, 1.0, True)]
+
+
+@pytest.mark.parametrize("handed", [0, 1000])
+def test_runs_need_one_mapping(spark, handed):
+    """Two runs of an item that give one value two values count for the longer one only; two whole copies are found."""
+    item = "the first farmer has 12 red apples in a big basket today while the second farmer sold all of the 12 green pears he had"
+    parted = item.replace("12 red", "30 red").replace("12 green", "45 green").replace("basket today while the second", "basket . So it is that while the second")
+    half = " ".join(item.split()[:11]) + " and then nothing"
+    texts = {0: parted, 1: item.replace("12", "7") + " . And again: " + item.replace("12", "9"), 2: half, 3: None, 4: ""}
+    bench = spark.createDataFrame([(0, item), (0, item)], "item_id long, text string")
+    docs = spark.createDataFrame([*texts.items(), (1, texts[1])], DOCS).selectExpr("*", "1 AS hash", "2 AS item_id", "3 AS pairs")
+    got = {r["doc_id"]: r for r in decontamination.find_leaks(docs, bench, handed=handed, coverage=0.01).collect()}
+    assert set(got) == {0, 1, 2} and got[1]["coverage"] == 1.0 and got[1]["changed_slots"]
+    assert got[0]["windows"] < 0.6 * got[0]["item_windows"]
