@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartlake.llm.common import documents_of, mix, reshuffled, scratch, slices, staged
@@ -32,6 +32,8 @@ from chartlake.llm.common import documents_of, mix, reshuffled, scratch, slices,
 K, BANDS, SIMILARITY = 5, 56, 0.8
 #: Buckets up to this size are compared in all pairs, larger ones with their most central members.
 SMALL = 8
+#: Counters of how often words occur, for the order of rare words.
+COUNTERS = 1 << 18
 #: A central text is sent once for so many texts that are compared with it.
 PART = 256
 #: Sampled k-mers per band, for texts of up to so many words.
@@ -226,9 +228,50 @@ def _verify(least: float):
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [labelled(_wide(w)).astype(np.int64) for w in _parts(b.column("words"))]
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes), lists], names=["id", "n", "grams"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("component"), b.column("outside"), lists], names=["id", "component", "outside", "grams"])
+
+
+def _prefixes(often: np.ndarray, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for g in _parts(b.column("grams")):
+                at = np.lexsort((g, often[g & (COUNTERS - 1)]))
+                found.append(g[at[: len(g) - math.ceil(len(g) * least - 1e-9) + 1]])
+            sizes = np.array([len(g) for g in _parts(b.column("grams"))], np.int32)
+            took = [len(x) for x in found]
+            cols = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), took) for c in ("id", "component", "outside")]
+            ranks = np.concatenate([np.arange(1, k + 1, dtype=np.int32) for k in took] or [np.zeros(0, np.int32)])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.repeat(sizes, took)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(ranks)], names=["id", "component", "outside", "n", "gram", "rank"])
+
+    return run
+
+
+def _meet(least: float):
+    """Of rows in the order of their word, outsiders first: (id, others), the outsiders that each text can have a link with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, held = None, []
+        for b in batches:
+            ids, lists = [], []
+            for g, i, component, outside, n, rank in zip(*(b.column(c).to_pylist() for c in ("gram", "id", "component", "outside", "n", "rank")), strict=True):
+                if g != word:
+                    word, held = g, []
+                hits = []
+                for x, xc, xn, xr in held:
+                    need = math.ceil(max(n, xn) * least - 1e-9)
+                    if xc != component and min(n, xn) >= need and 1 + min(n - rank, xn - xr) >= need:
+                        hits.append(x)
+                if hits:
+                    ids.append(i)
+                    lists.append(hits)
+                if outside:
+                    held.append((i, component, n, rank))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["id", "others"])
+
+    return run
 
 
 def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,44 +354,25 @@ def _to_leader(shared: DataFrame, least: float, apart: bool = False) -> DataFram
     return found.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b"), F.col("lead.id").alias("hub"), F.ceil(F.col("c") / PART).cast("int").alias("parts"))
 
 
-def _rare_first(texts: DataFrame, ids: DataFrame, least: float) -> DataFrame:
-    """Per text the labelled words that a similar text must share one of: (id, n, gram, df, rank), the rarest first.
-
-    Of n words in one order for all texts, two texts with a link share one of the first n - least * n + 1. Rare ones
-    come first, so that what many texts share seldom counts. Words of one text only are counted, but not returned.
-    """
-    own = texts.join(ids.select(F.col("id").alias("need")).hint("merge"), F.col("id") == F.col("need"), "left_semi").select("id", "words")
-    rows = staged(own.mapInArrow(_labels, "id long, n int, grams array<long>"), "grams").select("id", "n", F.explode("grams").alias("gram"))
-    often = staged(rows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "often")
-    text = Window.partitionBy("id")
-    rank = F.col("n") - F.count("*").over(text) + F.row_number().over(text.orderBy("df", "gram"))
-    return rows.join(often.hint("merge"), "gram").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-
-
 def _outsiders(placed: DataFrame, least: float, texts: DataFrame) -> DataFrame:
     """Pairs of every member outside its bucket's largest component with texts of other components that can have a link with it.
 
-    Joined by rare words in place of buckets, so that no bucket's members are paired with one another. A pair meets
-    at its first common word: the ones left after it must suffice for a link.
+    They meet by rare words in place of buckets, so that no bucket's members are paired with one another. Of n labelled words in one
+    order for all texts, two texts with a link share one of the first n - least * n + 1; the words left after it must suffice.
+    Rare words come first, by counters that several words may share: any order that is one for all texts will do.
     """
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("members"))
     most = parts.groupBy("bucket").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1")
     split = placed.join(reshuffled(most.select("bucket", "largest")).hint("merge"), "bucket").groupBy("id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("outside"))
-    split = staged(split, "split")
-    first = staged(_rare_first(texts, split.select("id"), least).join(split, "id"), "prefixes")
-    # a word's texts meet the outsiders in blocks, so that a pair with many common words is no row for each of them
-    slot = F.pmod(F.xxhash64("id"), F.greatest(F.ceil(F.col("df") / PART), F.lit(1)))
-    blocks = first.groupBy("gram", slot.alias("slot")).agg(F.collect_list(F.struct("id", "n", "rank", "component", "outside")).alias("others"))
-    met = first.where("outside").select("gram", "id", "n", "rank", "component").join(blocks.select("gram", "others").hint("merge"), "gram")
-
-    def can_link(r: Column) -> Column:
-        need = F.ceil(F.greatest(F.col("n"), r["n"]) * least - 1e-9)
-        left = 1 + F.least(F.col("n") - F.col("rank"), r["n"] - r["rank"])
-        once = ~r["outside"] | (F.col("id") > r["id"])
-        return (F.col("component") != r["component"]) & once & (F.least("n", r["n"]) >= F.greatest("n", r["n"]) * least) & (left >= need)
-
-    found = met.select("id", F.transform(F.filter("others", can_link), lambda r: r["id"]).alias("others")).where(F.size("others") > 0)
-    pairs = found.repartition("id").sortWithinPartitions("id").mapInArrow(_distinct_pairs, "id long, other long")
+    own = texts.select("id", "words").join(split.hint("merge"), "id")
+    grams = staged(own.mapInArrow(_labels, "id long, component long, outside boolean, grams array<long>"), "grams")
+    counts = grams.select(F.explode("grams").alias("g")).groupBy(F.col("g").bitwiseAND(F.lit(COUNTERS - 1)).alias("slot")).agg(F.count("*").alias("n")).toPandas()  # COUNTERS rows at most
+    often = np.zeros(COUNTERS, np.int64)
+    often[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    first = grams.mapInArrow(_prefixes(often, least), "id long, component long, outside boolean, n int, gram long, rank int")
+    met = first.repartition("gram").sortWithinPartitions("gram", F.desc("outside")).mapInArrow(_meet(least), "id long, others array<long>")
+    # a pair with many common words is one pair before it is a row
+    pairs = met.repartition("id").sortWithinPartitions("id").mapInArrow(_distinct_pairs, "id long, other long")
     return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"), F.col("other").alias("hub"), F.lit(16).alias("parts"))
 
 
