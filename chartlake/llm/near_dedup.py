@@ -33,7 +33,7 @@ K, BANDS, SIMILARITY = 5, 56, 0.8
 #: Buckets up to this size are compared in all pairs, larger ones with their most central members.
 SMALL = 8
 #: Counters of how often words occur, for the order of rare words.
-COUNTERS = 1 << 18
+COUNTERS = 1 << 14
 #: A central text is sent once for so many texts that are compared with it.
 PART = 256
 #: Sampled k-mers per band, for texts of up to so many words.
@@ -232,6 +232,15 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("component"), b.column("outside"), lists], names=["id", "component", "outside", "grams"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(counter, words) of all of a task's words."""
+    n = np.zeros(COUNTERS, np.int64)
+    for b in batches:
+        n += np.bincount(b.column("grams").flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], names=["slot", "n"])
+
+
 def _prefixes(often: np.ndarray, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -366,14 +375,14 @@ def _outsiders(placed: DataFrame, least: float, texts: DataFrame) -> DataFrame:
     split = placed.join(reshuffled(most.select("bucket", "largest")).hint("merge"), "bucket").groupBy("id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("outside"))
     own = texts.select("id", "words").join(split.hint("merge"), "id")
     grams = staged(own.mapInArrow(_labels, "id long, component long, outside boolean, grams array<long>"), "grams")
-    counts = grams.select(F.explode("grams").alias("g")).groupBy(F.col("g").bitwiseAND(F.lit(COUNTERS - 1)).alias("slot")).agg(F.count("*").alias("n")).toPandas()  # COUNTERS rows at most
+    counts = grams.select("grams").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
     often = np.zeros(COUNTERS, np.int64)
     often[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     first = grams.mapInArrow(_prefixes(often, least), "id long, component long, outside boolean, n int, gram long, rank int")
     met = first.repartition("gram").sortWithinPartitions("gram", F.desc("outside")).mapInArrow(_meet(least), "id long, others array<long>")
     # a pair with many common words is one pair before it is a row
     pairs = met.repartition("id").sortWithinPartitions("id").mapInArrow(_distinct_pairs, "id long, other long")
-    return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"), F.col("other").alias("hub"), F.lit(16).alias("parts"))
+    return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"), F.col("other").alias("hub"), F.lit(64).alias("parts"))
 
 
 def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
