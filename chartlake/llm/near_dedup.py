@@ -34,6 +34,8 @@ K, BANDS, SIMILARITY = 5, 56, 0.8
 SMALL = 8
 #: Counters of how often words occur, for the order of rare words.
 COUNTERS = 1 << 14
+#: Words of texts that meet in one block; the blocks grow in number with the words.
+BLOCK = 200_000
 #: A central text is sent once for so many texts that are compared with it.
 PART = 256
 #: Sampled k-mers per band, for texts of up to so many words.
@@ -241,42 +243,46 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], names=["slot", "n"])
 
 
-def _prefixes(often: np.ndarray, least: float):
+def _prefixes(often: np.ndarray, blocks: int, least: float):
+    """Per text and block of words: the rare words of the text that lie in the block, with their ranks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         for b in batches:
-            found = []
-            for g in _parts(b.column("grams")):
-                at = np.lexsort((g, often[g & (COUNTERS - 1)]))
-                found.append(g[at[: len(g) - math.ceil(len(g) * least - 1e-9) + 1]])
-            sizes = np.array([len(g) for g in _parts(b.column("grams"))], np.int32)
-            took = [len(x) for x in found]
-            cols = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), took) for c in ("id", "component", "outside")]
-            ranks = np.concatenate([np.arange(1, k + 1, dtype=np.int32) for k in took] or [np.zeros(0, np.int32)])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.repeat(sizes, took)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(ranks)], names=["id", "component", "outside", "n", "gram", "rank"])
+            out: list[tuple] = []
+            for i, component, outside, g in zip(*(b.column(c).to_pylist() for c in ("id", "component", "outside")), _parts(b.column("grams")), strict=True):
+                rare = g[np.lexsort((g, often[g & (COUNTERS - 1)]))[: len(g) - math.ceil(len(g) * least - 1e-9) + 1]]
+                block = (rare.view(np.uint64) >> np.uint64(20)) % np.uint64(blocks)
+                for k in np.unique(block):
+                    at = np.flatnonzero(block == k)
+                    out.append((int(k), i, component, outside, len(g), rare[at], (at + 1).astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "id", "component", "outside", "n", "grams", "ranks"])
 
     return run
 
 
 def _meet(least: float):
-    """Of rows in the order of their word, outsiders first: (id, others), the outsiders that each text can have a link with."""
+    """Of rows in the order of their block, outsiders first: (id, others), the outsiders that each text can have a link with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, held = None, []
+        current, held = None, {}
         for b in batches:
             ids, lists = [], []
-            for g, i, component, outside, n, rank in zip(*(b.column(c).to_pylist() for c in ("gram", "id", "component", "outside", "n", "rank")), strict=True):
-                if g != word:
-                    word, held = g, []
-                hits = []
-                for x, xc, xn, xr in held:
-                    need = math.ceil(max(n, xn) * least - 1e-9)
-                    if xc != component and min(n, xn) >= need and 1 + min(n - rank, xn - xr) >= need:
-                        hits.append(x)
+            for block, i, component, outside, n, grams, ranks in zip(*(b.column(c).to_pylist() for c in ("block", "id", "component", "outside", "n", "grams", "ranks")), strict=True):
+                if block != current:
+                    current, held = block, {}
+                hits = set()
+                for g, rank in zip(grams, ranks, strict=True):
+                    for x, xc, xn, xr in held.get(g, ()):
+                        need = math.ceil(max(n, xn) * least - 1e-9)
+                        if xc != component and min(n, xn) >= need and 1 + min(n - rank, xn - xr) >= need:
+                            hits.add(x)
+                    if outside:
+                        held.setdefault(g, []).append((i, component, n, rank))
                 if hits:
                     ids.append(i)
-                    lists.append(hits)
-                if outside:
-                    held.append((i, component, n, rank))
+                    lists.append(sorted(hits))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["id", "others"])
 
@@ -378,8 +384,9 @@ def _outsiders(placed: DataFrame, least: float, texts: DataFrame) -> DataFrame:
     counts = grams.select("grams").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
     often = np.zeros(COUNTERS, np.int64)
     often[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    first = grams.mapInArrow(_prefixes(often, least), "id long, component long, outside boolean, n int, gram long, rank int")
-    met = first.repartition("gram").sortWithinPartitions("gram", F.desc("outside")).mapInArrow(_meet(least), "id long, others array<long>")
+    blocks = max(32, int(often.sum()) // BLOCK)
+    first = grams.mapInArrow(_prefixes(often, blocks, least), "block long, id long, component long, outside boolean, n int, grams array<long>, ranks array<int>")
+    met = first.repartition("block").sortWithinPartitions("block", F.desc("outside")).mapInArrow(_meet(least), "id long, others array<long>")
     # a pair with many common words is one pair before it is a row
     pairs = met.repartition("id").sortWithinPartitions("id").mapInArrow(_distinct_pairs, "id long, other long")
     return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"), F.col("other").alias("hub"), F.lit(64).alias("parts"))
