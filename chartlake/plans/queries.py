@@ -113,12 +113,12 @@ def class_aware_nms(spark, sf):
     return boxes.class_aware_nms(b, 0.5).select(*IDS, "raw_score")
 
 
-SIZES = "SELECT p_partkey AS image_id, p_size*40+200 AS w, (p_partkey%17)*50+100 AS h FROM part"
+IMAGE_SIZES = "SELECT p_partkey AS image_id, p_size*40+200 AS w, (p_partkey%17)*50+100 AS h FROM part"
 
 
-@query(f"WITH p AS (SELECT *, least(640/CAST(h AS DOUBLE), 640/CAST(w AS DOUBLE)) AS ratio FROM ({SIZES})), q AS (SELECT *, (640-round_even(w*ratio,0))/2-0.1 AS dw, (640-round_even(h*ratio,0))/2-0.1 AS dh FROM p) SELECT image_id, round(ratio,6) AS ratio, CAST(round_even(dw,0) AS INT) AS pad_x, CAST(round_even(dh,0) AS INT) AS pad_y FROM q")
+@query(f"WITH p AS (SELECT *, least(640/CAST(h AS DOUBLE), 640/CAST(w AS DOUBLE)) AS ratio FROM ({IMAGE_SIZES})), q AS (SELECT *, (640-round_even(w*ratio,0))/2-0.1 AS dw, (640-round_even(h*ratio,0))/2-0.1 AS dh FROM p) SELECT image_id, round(ratio,6) AS ratio, CAST(round_even(dw,0) AS INT) AS pad_x, CAST(round_even(dh,0) AS INT) AS pad_y FROM q")
 def letterbox_geometry(spark, sf):
-    return boxes.letterbox_geometry(bind(spark, sf, SIZES)).select("image_id", F.round("ratio", 6).alias("ratio"), "pad_x", "pad_y")
+    return boxes.letterbox_geometry(bind(spark, sf, IMAGE_SIZES)).select("image_id", F.round("ratio", 6).alias("ratio"), "pad_x", "pad_y")
 
 
 @query(f"SELECT image_id, det_id, {', '.join(f'round(greatest(0,least(({c}-{p})/0.5,{m})),6) AS {c}' for c, p, m in (('x1', 10, 60), ('y1', 5, 80), ('x2', 10, 60), ('y2', 5, 80)))} FROM ({B.BOXES})")
