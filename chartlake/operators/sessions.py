@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chartlake.operators.scan import running
+
 USD_IN, USD_OUT = 3.0, 15.0
 
 
@@ -24,20 +26,13 @@ def session_table(events: DataFrame, ttl: str = "1 hour", key: str = "user_id")
     return sessionize(events, ttl, key).groupBy(key, "session_no").agg(F.min("ts").alias("started"), F.max("ts").alias("last_seen"), F.count("*").alias("n_events"))
 
 
-def live_sessions(sessions: DataFrame, ttl: str = "1 hour", ceiling: int = 200, bucket: str = "day") -> DataFrame:
-    """Sessions alive when each one starts, and whether the ceiling is passed: a sweep over starts and ends.
-
-    Prefix sums run inside a time bucket; the sums of earlier buckets are added from one row per bucket.
-    """
+def live_sessions(sessions: DataFrame, ttl: str = "1 hour", ceiling: int = 200) -> DataFrame:
+    """Sessions alive when each one starts, and whether the ceiling is passed: a sweep over starts and ends."""
     ends = F.col("last_seen") + F.expr(f"interval {ttl}")
-    ev = sessions.select("user_id", "session_no", F.col("started").alias("ts"), F.lit(1).alias("d")).union(sessions.select("user_id", "session_no", ends.alias("ts"), F.lit(-1).alias("d")))
-    ev = ev.withColumn("bucket", F.date_trunc(bucket, "ts"))
     # an end at the very time of a start comes after it: a session lives through its last second
-    inner = Window.partitionBy("bucket").orderBy("ts", F.desc("d"), "user_id", "session_no").rowsBetween(Window.unboundedPreceding, 0)
-    total = ev.groupBy("bucket").agg(F.sum("d").alias("s"))
-    before = total.select("bucket", F.coalesce(F.sum("s").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    run = ev.withColumn("run", F.sum("d").over(inner)).join(F.broadcast(before), "bucket")
-    return run.where("d = 1").select("user_id", "session_no", F.col("ts").alias("started"), (F.col("base") + F.col("run")).alias("live"), ((F.col("base") + F.col("run")) > ceiling).alias("over_ceiling"))
+    ev = sessions.select("user_id", "session_no", F.col("started").alias("ts"), F.lit(1).alias("d")).union(sessions.select("user_id", "session_no", ends.alias("ts"), F.lit(-1).alias("d")))
+    swept = running(ev, {"live": "d"}, ["ts", F.desc("d"), "user_id", "session_no"])
+    return swept.where("d = 1").select("user_id", "session_no", F.col("ts").alias("started"), "live", (F.col("live") > ceiling).alias("over_ceiling"))
 
 
 def rollover(uploads: DataFrame, most: int = 2, adopt: bool = True) -> DataFrame:
@@ -68,20 +63,18 @@ def estimated_usd(tokens_in: Column, tokens_out: Column) -> Column:
     return tokens_in / 1e6 * USD_IN + tokens_out / 1e6 * USD_OUT
 
 
-def budget_admission(turns: DataFrame, session_cap: int, process_cap: int, max_turns: int, bucket: str = "day", key: str = "user_id") -> DataFrame:
+def budget_admission(turns: DataFrame, session_cap: int, process_cap: int, max_turns: int, key: str = "user_id") -> DataFrame:
     """reason per turn: process, turns, tokens or null (admitted).
 
-    turns: key, ts, event_id, tokens, failed. Session caps are prefix sums over the session; the process cap is a prefix sum over
-    the turns that sessions admit, by time bucket with one row per bucket for the sums before.
+    turns: key, ts, event_id, tokens, failed. Session caps look at the sums before a turn in its session; the process cap at the sum before it
+    over all turns that sessions admit. Both are running sums over range partitions, so neither a busy session nor a busy day is one task.
     """
-    w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    t = turns.withColumns({"prior_tokens": F.coalesce(F.sum("tokens").over(w), F.lit(0)), "prior_turns": F.coalesce(F.sum((~F.col("failed")).cast("int")).over(w), F.lit(0)), "bucket": F.date_trunc(bucket, "ts")})
+    order = ["ts", "event_id"]
+    t = running(turns.select(key, *order, "tokens", "failed"), {"prior_tokens": "tokens", "prior_turns": (~F.col("failed")).cast("int")}, order, (key,), inclusive=False)
     own = F.when(F.col("prior_turns") >= max_turns, "turns").when(F.col("prior_tokens") >= session_cap, "tokens")
-    t = t.withColumn("own", own).withColumn("spent", F.when(own.isNull(), F.col("tokens")).otherwise(0))
-    base = t.groupBy("bucket").agg(F.sum("spent").alias("s")).select("bucket", F.coalesce(F.sum("s").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("bucket").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("run", F.coalesce(F.sum("spent").over(inner), F.lit(0))).join(F.broadcast(base), "bucket")
-    return t.select(key, "event_id", F.when(F.col("base") + F.col("run") >= process_cap, "process").otherwise(F.col("own")).alias("reason"))
+    t = t.withColumn("own", own).withColumn("spent", F.when(F.col("own").isNull(), F.col("tokens")).otherwise(0))
+    t = running(t, {"run": "spent"}, order, inclusive=False)
+    return t.select(key, "event_id", F.when(F.col("run") >= process_cap, "process").otherwise(F.col("own")).alias("reason"))
 
 
 def usage_report(calls: DataFrame, by: list[str], window: str = "1 hour") -> DataFrame:

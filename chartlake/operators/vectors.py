@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chartlake.operators.scan import numbered
+
 #: Rows of a block of queries and of vectors; a task holds one product of them.
 QUERY_BLOCK, VECTOR_BLOCK = 512, 8192
 #: Products this close can have equal scores after rounding.
@@ -41,10 +43,8 @@ def require_token_limit(chunks: DataFrame, limit: int = 512, tokens: str = "n_to
 
 
 def stable_ids(df: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """id: dense number from 0 in key order. A range sort and an index over its partitions, no single-task window."""
-    rows = df.sort(key)
-    schema = rows.schema.add("id", "long")
-    return df.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda p: (*p[0], p[1])), schema)
+    """id: dense number from 0 in key order."""
+    return numbered(df, [key], "id")
 
 
 def reconcile(index: DataFrame, sidecar: DataFrame, required: list[str]) -> DataFrame:
