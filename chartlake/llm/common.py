@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -14,41 +10,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartlake.sources.staging import scratch, shared_dir, shared_path, staged
+
+__all__ = ["documents_of", "fold_of", "mix", "read_table", "reshuffled", "scratch", "shared_dir", "shared_path", "slices", "staged"]
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_STAGED: list[tuple[SparkSession, str]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset and Spark runs in one process, a new local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, removed when the scratch around it or the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    _STAGED.append((spark, path))
-    return path
-
-
-def staged(df: DataFrame, what: str = "staged") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors, computes df once."""
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def reshuffled(df: DataFrame) -> DataFrame:
     """df dealt by all its columns.
 
@@ -58,40 +30,6 @@ def reshuffled(df: DataFrame) -> DataFrame:
     return df.repartition(*df.columns)
 
 
-@contextlib.contextmanager
-def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables staged inside are removed at the end, but for what the given function stages."""
-    before, kept = len(_STAGED), []
-
-    def keep(df: DataFrame) -> DataFrame:
-        out = staged(df, "result")
-        kept.append(_STAGED.pop())
-        return out
-
-    try:
-        yield keep
-    finally:
-        for entry in _STAGED[before:]:
-            _delete(*entry)
-        _STAGED[before:] = kept
-
-
-def _delete(spark: SparkSession, path: str) -> bool:
-    try:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended; the folder's owner clears it
-        return False
-    return True
-
-
-@atexit.register
-def _drop_staged() -> None:
-    for entry in _STAGED:
-        if not _delete(*entry):
-            return
-
-
 def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so that no other column can clash; a null text counts as empty."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
