@@ -6,9 +6,17 @@ compared as float.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartlake.operators.scan import running
+from chartlake.sources.staging import staged
+
 BOX = ("x1", "y1", "x2", "y2")
 
 
@@ -80,11 +88,77 @@ def containment_pairs(a: DataFrame, b: DataFrame, by: str = "image_id", key: str
     return l.join(r, F.col(f"l.{by}") == F.col(f"r.{by}")).select(F.col(f"l.{by}").alias(by), F.col(f"l.{key}").alias("a_id"), F.col(f"r.{key}").alias("b_id"), containment(lb, rb).alias("containment"))
 
 
-def nms(df: DataFrame, by: list[str], threshold: float, score: str = "raw_score", key: str = "det_id") -> DataFrame:
+def dense_groups(df: DataFrame, by: list[str], most: int = 20_000) -> DataFrame:
+    """Groups with more boxes than a detector gives (by, count)."""
+    return df.groupBy(*by).count().where(F.col("count") > most)
+
+
+def split_dense(df: DataFrame, by: list[str], most: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """The groups of at most that many boxes and the larger ones, named only where there are any."""
+    dense = staged(dense_groups(df, by, most).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]), "dense")
+    if not dense.take(1):
+        return df, None
+    same = reduce(Column.__and__, [df[c].eqNullSafe(dense[f"_by{i}"]) for i, c in enumerate(by)])
+    return df.join(dense, same, "left_anti"), df.join(dense, same, "left_semi")
+
+
+def _celled(df: DataFrame, by: list[str], top: str | int) -> DataFrame:
+    """A row per grid cell that a box of positive area covers, packed: by, _row, _level, _z, _cx, _cy.
+
+    A level's cells have sides of 2**level; a box belongs to the first level whose cells are no smaller than it, and is dealt to that one and the
+    levels above, up to its group's top level (a column) or so many more (a number).
+    """
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    level = F.ceil(F.log2(side)).cast("int")
+    rows = df.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).withColumn("_level", level)
+    upto = F.col(top) if isinstance(top, str) else F.col("_level") + top
+    rows = rows.select(*by, F.struct(*[c for c in df.columns if c != top]).alias("_row"), "_level", F.explode(F.sequence("_level", F.greatest(upto, "_level"))).alias("_z"))
+    cell = lambda c: F.floor(F.col(f"_row.{c}") / F.pow(F.lit(2.0), "_z"))
+    return rows.withColumn("_cx", F.explode(F.sequence(cell("x1"), cell("x2")))).withColumn("_cy", F.explode(F.sequence(cell("y1"), cell("y2"))))
+
+
+def overlapping(a: DataFrame, b: DataFrame, by: list[str], up: int | None = None) -> DataFrame:
+    """(a, b): every pair of boxes of one group with a common inner point, each once, packed as structs.
+
+    Boxes meet in grid cells, at the level of the larger one; of the cells that both cover, only that of the corner where the overlap begins
+    counts. With ``up`` only pairs are promised whose levels differ by that much at most.
+    """
+    if up is None:
+        side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+        both = a.select(*by, side.alias("s")).union(b.select(*by, side.alias("s"))).where("s > 0")
+        tops = both.groupBy(*by).agg(F.ceil(F.log2(F.max("s"))).cast("int").alias("_top"))
+        a, b, top = a.join(tops, by), b.join(tops, by), "_top"
+    else:
+        top = up
+    l, r = (_celled(x, by, top).select(*[F.col(c).alias(f"_{n}{i}") for i, c in enumerate(by)], F.col("_row").alias(n), F.col("_level").alias(f"_{n}level"), F.col("_z").alias(f"_{n}z"), F.col("_cx").alias(f"_{n}x"), F.col("_cy").alias(f"_{n}y")) for n, x in (("a", a), ("b", b)))
+    keys = [*[f"{i}" for i in range(len(by))], "z", "x", "y"]
+    scale = F.pow(F.lit(2.0), "_az")
+    begins = lambda c: F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / scale)
+    met = reduce(Column.__and__, [F.col(f"_a{k}") == F.col(f"_b{k}") for k in keys])
+    inner = lambda lo, hi: F.least(F.col(f"a.{hi}"), F.col(f"b.{hi}")) > F.greatest(F.col(f"a.{lo}"), F.col(f"b.{lo}"))
+    once = inner("x1", "x2") & inner("y1", "y2") & (F.col("_az") == F.greatest("_alevel", "_blevel")) & (F.col("_ax") == begins("x1")) & (F.col("_ay") == begins("y1"))
+    return l.join(r, met).where(once).select("a", "b")
+
+
+#: Boxes of a group that are folded as one array; boxes of a larger one that are folded at once.
+SMALL, BATCH = 256, 16_384
+
+
+def nms(df: DataFrame, by: list[str], threshold: float, score: str = "raw_score", key: str = "det_id", small: int = SMALL, batch: int = BATCH) -> DataFrame:
     """Greedy suppression per group: best score first (ties by least key), a box goes if it overlaps a kept one by more than the threshold.
 
-    One fold per group over its sorted boxes; a group is one image's detections, which the detector bounds.
+    A group of at most ``small`` boxes, as detectors give, is one fold over its sorted boxes. Larger groups are ranked by a running count
+    and decided ``batch`` ranks at a time: a round drops what the boxes kept before overlap, met in grid cells, and folds the rest of
+    its batch. So no task holds more than a batch of a group, however many boxes it has. Coordinates are finite numbers.
     """
+    if threshold < 0:
+        raise ValueError("a threshold below 0 would suppress boxes that do not overlap")
+    usual, dense = split_dense(df, by, small)
+    out = _fold(usual, by, threshold, score, key)
+    return out if dense is None else out.unionByName(_in_rounds(dense, by, threshold, score, key, batch))
+
+
+def _fold(df: DataFrame, by: list[str], threshold: float, score: str, key: str) -> DataFrame:
     limit = _like(df, score, threshold)
     row = F.struct((-F.col(score)).alias("_s"), F.col(key).alias("_k"), F.struct(*df.columns).alias("row"))
     rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
@@ -93,6 +167,44 @@ def nms(df: DataFrame, by: list[str], threshold: float, score: str = "raw_score"
     return rows.select(F.explode(F.transform(kept, lambda s: s["row"])).alias("row")).select("row.*")
 
 
+def _in_rounds(df: DataFrame, by: list[str], threshold: float, score: str, key: str, batch: int) -> DataFrame:
+    spark = df.sparkSession
+    limit = float(spark.range(1).select(_like(df, score, threshold).cast("double")).head()[0])
+    groups = [f"_g{i}" for i in range(len(by))]
+    packed = df.select(F.struct(*df.columns).alias("_row"), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")).alias(g) for c, g in zip(by, groups, strict=True)], (-F.col(score)).alias("_s"), F.col(key).alias("_k"), *BOX)
+    ranked = staged(running(packed, {"_rank": F.lit(1)}, ["_s", "_k", "_row"], tuple(groups)), "ranked")
+    lean = ranked.select(*groups, "_rank", *BOX)
+    # overlap above the threshold bounds how much the larger side can exceed the smaller one
+    up = max(1, math.ceil(-math.log2(threshold))) if threshold > 0 else None
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lean.schema)
+    kept, last = None, ranked.agg(F.max("_rank")).head()[0]
+    for start in range(0, last, batch):
+        due = lean.where((F.col("_rank") > start) & (F.col("_rank") <= start + batch))
+        if kept is not None:
+            pairs = overlapping(due, kept, groups, up).where(iou([F.col(f"b.{c}") for c in BOX], [F.col(f"a.{c}") for c in BOX]) > F.lit(limit))
+            due = due.join(pairs.select("a.*").select(*groups, "_rank").distinct(), [*groups, "_rank"], "left_anti")
+        won = staged(due.groupBy(*groups).applyInPandas(lambda f: _survivors(f, limit), kind), "kept")
+        kept = won if kept is None else kept.unionByName(won)
+    return ranked.join(kept.select(*groups, "_rank"), [*groups, "_rank"]).select("_row.*")
+
+
+def _survivors(f: pd.DataFrame, limit: float) -> pd.DataFrame:
+    """The fold over one batch: each box that stays drops the later ones that it overlaps."""
+    f = f.sort_values("_rank")
+    x1, y1, x2, y2 = (f[c].to_numpy() for c in BOX)
+    span = lambda lo, hi: np.maximum((hi - lo).astype(np.float64), 0.0)
+    size = span(x1, x2) * span(y1, y2)
+    left, stay = np.arange(len(f)), []
+    while len(left):
+        k, rest = left[0], left[1:]
+        stay.append(k)
+        inter = span(np.maximum(x1[k], x1[rest]), np.minimum(x2[k], x2[rest])) * span(np.maximum(y1[k], y1[rest]), np.minimum(y2[k], y2[rest]))
+        union = size[k] + size[rest] - inter
+        share = np.divide(inter, union, out=np.zeros(len(rest)), where=union > 0)
+        left = rest[share <= limit]
+    return f.iloc[stay]
+
+
 def class_aware_nms(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Suppression within a class of an image, never across classes."""
     return nms(df, ["image_id", "class_id"], threshold)

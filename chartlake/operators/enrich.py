@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chartlake.sources.staging import staged
+
 EARTH_M = 6_371_000.0
 PLACE = "results array<struct<name:string,formatted_address:string,rating:double,user_ratings_total:int,opening_hours:struct<open_now:boolean>,place_id:string>>"
 GEOCODE = "status string, results array<struct<geometry:struct<location:struct<lat:double,lng:double>>,formatted_address:string>>"
@@ -22,12 +27,70 @@ def indicator_grid(countries: DataFrame, indicators: DataFrame, latest: DataFram
     return full.select("country", "indicator", F.when(F.col("value").isNotNull(), F.format_string("%.2f", "value")).otherwise("no data").alias("shown"), F.count("value").over(Window.partitionBy("country")).alias("reported"))
 
 
+def folded(name: Column) -> Column:
+    """Lower case without the accents of Latin letters."""
+    return F.translate(F.lower(name), *_accents())
+
+
+def _accents() -> tuple[str, str]:
+    """Accented lower-case letters of the Latin blocks and the letters they are composed of."""
+    plain = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xC0, 0x250))}
+    pairs = [(c, p) for c, p in plain.items() if p != c and p.isascii() and c == c.lower()]
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
+#: Names of up to this length are found by their deletions, of which they have half its square; names that may meet longer ones, by thirds.
+SHORT = 34
+
+
+def _deletions(s: Column, most: int) -> Column:
+    """s and what is left of it after deleting up to ``most`` characters."""
+    found = F.array(s)
+    for _ in range(most):
+        cut = F.flatten(F.transform(found, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.char_length(t))))))
+        found = F.array_distinct(F.concat(found, cut))
+    return found
+
+
+def _third(s: Column, i: int) -> tuple[Column, Column]:
+    """Start and length of the i-th third of s."""
+    n = F.char_length(s)
+    start = F.floor(n * i / 3).cast("int")
+    return start + 1, F.floor(n * (i + 1) / 3).cast("int") - start
+
+
+def _close(names: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(n, k): folded names and known ones that share a key which every pair within the distance shares.
+
+    Equal deletions, or, of long ones, a third of the known name that two edits leave alone, found at most two places away.
+    """
+    short = names.where(F.char_length("n") <= SHORT).select("n", F.explode(_deletions(F.col("n"), most)).alias("key"))
+    near = short.join(known.where(F.char_length("k") <= SHORT).select("k", F.explode(_deletions(F.col("k"), most)).alias("key")), "key").select("n", "k")
+    parts = [(i, *_third(F.col("k"), i)) for i in range(3)]
+    index = known.where(F.char_length("k") >= SHORT - most).select("k", F.char_length("k").alias("size"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("k", at, n).alias("key")) for i, at, n in parts])).alias("p")).select("k", "size", "p.*")
+    sizes = F.explode(F.sequence(F.char_length("n") - most, F.char_length("n") + most))
+    probes = names.where(F.char_length("n") >= SHORT - most).select("n", sizes.alias("size"))
+    start = lambda i: F.floor(F.col("size") * i / 3).cast("int")
+    probes = probes.select("n", "size", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (start(i) + 1 + d).alias("at"), (start(i + 1) - start(i)).alias("len")) for i in range(3) for d in range(-most, most + 1)])).alias("p")).where("p.at >= 1").select("n", "size", "p.i", F.substring("n", F.col("p.at"), F.col("p.len")).alias("key"))
+    return near.union(probes.distinct().join(index, ["size", "i", "key"]).select("n", "k")).distinct()
+
+
 def resolve_country(names: DataFrame, countries: DataFrame, most: int = 2) -> DataFrame:
-    """The nearest country by edit distance within `most`, null else; the first letter blocks, countries are a short table."""
-    j = names.join(F.broadcast(countries), F.lower(F.substring("name", 1, 1)) == F.lower(F.substring("country", 1, 1)), "left")
-    d = F.levenshtein(F.lower("name"), F.lower("country"))
-    near = j.withColumn("distance", F.when(d <= most, d))
-    return near.groupBy("name").agg(F.min_by(F.when(F.col("distance").isNotNull(), F.col("code")), F.struct(F.coalesce("distance", F.lit(99)), "code")).alias("code"))
+    """(name, code): the nearest country by edit distance within ``most`` (2 at most), ties by the least code; null else.
+
+    Case and accents don't count. A name that equals a country is resolved at once; only the distinct others look further, first for
+    countries one edit away, then two. Both tables may grow: pairs meet on keys, no name meets every country. A null name stays null.
+    """
+    known = staged(countries.select(folded(F.col("country")).alias("k"), "code").where("k is not null").groupBy("k").agg(F.min("code").alias("code")), "countries")
+    asked = staged(names.select("name", folded(F.col("name")).alias("n")).distinct(), "names")
+    open_names = asked.select("n").where("n is not null").distinct()
+    exact = open_names.join(known, F.col("n") == F.col("k"))
+    found = staged(exact.select("n", "code"), "resolved")
+    for distance in range(1, most + 1):
+        rest = staged(open_names.join(found, "n", "left_anti"), "unresolved")
+        close = _close(rest, known.select("k"), distance).where(F.levenshtein("n", "k") <= distance)
+        found = found.union(staged(close.join(known, "k").groupBy("n").agg(F.min("code").alias("code")), "resolved"))
+    return asked.join(found, "n", "left").select("name", "code")
 
 
 def parse_places(df: DataFrame, col: str = "payload") -> DataFrame:
@@ -42,21 +105,27 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def nearby(cities: DataFrame, places: DataFrame, radius_m: float = 10_000, limit: int = 5, widest_lat: float = 60.0) -> DataFrame:
-    """Places within the radius of each city, the nearest first: an equi-join on grid cells of the radius's size and their neighbours.
+def _on_sphere(lat: Column, lon: Column) -> list[Column]:
+    """The point on the unit sphere: no date line, no poles."""
+    lat, lon = F.radians(lat), F.radians(lon)
+    return [F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)]
+
+
+def nearby(cities: DataFrame, places: DataFrame, radius_m: float = 10_000, limit: int = 5) -> DataFrame:
+    """Places within the radius of each city, the nearest first: an equi-join on cells of a grid around the sphere.
 
-    Cells are as wide in longitude as the radius is at the latitude widest_lat, up to which the result is whole.
+    Points are cells of (x, y, z) with sides of two chords of the radius; a city asks the cells within a chord of it, one or two an
+    axis. So the result is whole everywhere. Rows without coordinates are near nothing.
     """
-    import math
-
-    step_lat = math.degrees(radius_m / EARTH_M)
-    step_lon = step_lat / math.cos(math.radians(widest_lat))
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    cell = lambda c, step: F.floor(F.col(c) / step)
-    c = cities.select("city_id", F.col("lat").alias("clat"), F.col("lon").alias("clon"), cell("lat", step_lat).alias("_y"), cell("lon", step_lon).alias("_x"))
-    c = c.select("*", F.explode(near).alias("dy")).select("*", F.explode(near).alias("dx")).select("city_id", "clat", "clon", (F.col("_y") + F.col("dy")).alias("cy"), (F.col("_x") + F.col("dx")).alias("cx"))
-    p = places.select("place_id", "lat", "lon", cell("lat", step_lat).alias("cy"), cell("lon", step_lon).alias("cx"))
-    j = c.join(p, ["cy", "cx"]).withColumn("distance", F.round(haversine_m(F.col("clat"), F.col("clon"), F.col("lat"), F.col("lon")), 3)).where(F.col("distance") <= radius_m)
+    chord = max(2 * math.sin(min(radius_m / (2 * EARTH_M), math.pi / 2)), 1e-7) * (1 + 1e-9)
+    cell = lambda c: F.floor(c / (2 * chord))
+    axes = ("_x", "_y", "_z")
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    c = cities.where(known).select("city_id", F.col("lat").alias("clat"), F.col("lon").alias("clon"), *[p.alias(f"p{a}") for a, p in zip(axes, _on_sphere(F.col("lat"), F.col("lon")), strict=True)])
+    for a in axes:
+        c = c.withColumn(a, F.explode(F.sequence(cell(F.col(f"p{a}") - chord), cell(F.col(f"p{a}") + chord))))
+    p = places.where(known).select("place_id", "lat", "lon", *[cell(x).alias(a) for a, x in zip(axes, _on_sphere(F.col("lat"), F.col("lon")), strict=True)])
+    j = c.join(p, list(axes)).withColumn("distance", F.round(haversine_m(F.col("clat"), F.col("clon"), F.col("lat"), F.col("lon")), 3)).where(F.col("distance") <= radius_m)
     w = Window.partitionBy("city_id").orderBy("distance", "place_id")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("city_id", "rank", "place_id", "distance")
 

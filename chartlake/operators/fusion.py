@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chartlake.functions.fdi import LESIONS
-from chartlake.operators.boxes import BOX, boost_scores, containment, nms
+from chartlake.operators.boxes import BOX, SMALL, boost_scores, containment, nms, overlapping, split_dense
+from chartlake.sources.staging import staged
 
 DEDUP, CONTAINMENT = 0.7, 0.15
 
@@ -20,23 +21,44 @@ def dedup_teeth(boxes: DataFrame, classes: DataFrame, threshold: float = DEDUP)
     return nms(teeth, ["image_id"], threshold).unionByName(other)
 
 
-def assign_lesions(lesions: DataFrame, teeth: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
+def assign_lesions(lesions: DataFrame, teeth: DataFrame, threshold: float = CONTAINMENT, small: int = SMALL) -> DataFrame:
     """Every lesion with the tooth that contains most of it.
 
     teeth has image_id, det_id, fdi, anatomy and the box. No lesion is lost: below the threshold, or without
     a tooth, tooth_fdi and tooth_anatomy are null while containment still reports the best value (0 without any). Ties go to
-    the least det_id. An image's boxes meet only each other.
+    the least det_id. An image's boxes meet only each other; in an image of more than ``small`` teeth, only those of common grid cells.
     """
-    l, t = lesions.alias("l"), teeth.alias("t")
-    share = containment([F.col(f"l.{c}") for c in BOX], [F.col(f"t.{c}") for c in BOX])
-    pairs = l.join(t, F.col("l.image_id") == F.col("t.image_id"), "left").select("l.*", F.when(F.col("t.det_id").isNotNull(), share).alias("_share"), F.col("t.det_id").alias("_tooth"), F.col("t.fdi").alias("_fdi"), F.col("t.anatomy").alias("_anatomy"))
-    cols = lesions.columns
-    best = pairs.groupBy("image_id", "det_id").agg(*[F.first(c).alias(c) for c in cols if c not in ("image_id", "det_id")], F.max_by(F.struct("_share", "_fdi", "_anatomy"), F.struct("_share", -F.col("_tooth"))).alias("_best"))
+    usual, dense = split_dense(teeth, ["image_id"], small) if threshold > 0 else (teeth, None)
+    out = _assigned(lesions, teeth if dense is None else usual, threshold)
+    if dense is None:
+        return out
+    crowded = staged(dense.select("image_id").distinct(), "crowded")
+    out = _assigned(lesions.join(crowded, "image_id", "left_anti"), usual, threshold)
+    own = lesions.join(crowded, "image_id", "left_semi")
+    pairs = overlapping(own, dense.select("image_id", "det_id", "fdi", "anatomy", *BOX), ["image_id"])
+    share = containment([F.col(f"a.{c}") for c in BOX], [F.col(f"b.{c}") for c in BOX])
+    best = pairs.select("a.image_id", "a.det_id", share.alias("_share"), "b.fdi", "b.anatomy", F.col("b.det_id").alias("_tooth")).groupBy("image_id", "det_id").agg(_most_contained("_share", "fdi", "anatomy", "_tooth"))
+    return out.unionByName(_decided(own.dropDuplicates(["image_id", "det_id"]).join(best, ["image_id", "det_id"], "left"), lesions.columns, threshold))
+
+
+def _most_contained(share: str, fdi: str, anatomy: str, tooth: str) -> Column:
+    return F.max_by(F.struct(F.col(share).alias("_share"), F.col(fdi).alias("_fdi"), F.col(anatomy).alias("_anatomy")), F.struct(share, -F.col(tooth))).alias("_best")
+
+
+def _decided(best: DataFrame, cols: list[str], threshold: float) -> DataFrame:
     value = F.coalesce("_best._share", F.lit(0.0))
     hit = value >= threshold
     return best.select(*cols, value.alias("containment"), F.when(hit, F.col("_best._fdi")).alias("tooth_fdi"), F.when(hit, F.col("_best._anatomy")).alias("tooth_anatomy"))
 
 
+def _assigned(lesions: DataFrame, teeth: DataFrame, threshold: float) -> DataFrame:
+    l, t = lesions.alias("l"), teeth.alias("t")
+    share = containment([F.col(f"l.{c}") for c in BOX], [F.col(f"t.{c}") for c in BOX])
+    pairs = l.join(t, F.col("l.image_id") == F.col("t.image_id"), "left").select("l.*", F.when(F.col("t.det_id").isNotNull(), share).alias("_share"), F.col("t.det_id").alias("_tooth"), F.col("t.fdi").alias("_fdi"), F.col("t.anatomy").alias("_anatomy"))
+    best = pairs.groupBy("image_id", "det_id").agg(*[F.first(c).alias(c) for c in lesions.columns if c not in ("image_id", "det_id")], _most_contained("_share", "_fdi", "_anatomy", "_tooth"))
+    return _decided(best, lesions.columns, threshold)
+
+
 def split_chart(boxes: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(teeth with fdi and anatomy, restorations with kind)."""
     named = boxes.join(F.broadcast(classes.select("class_id", "name", "fdi", "type", "label")), "class_id")
@@ -45,12 +67,15 @@ def split_chart(boxes: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def fuse(boxes: DataFrame, classes: DataFrame, conf: float = 0.2) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(teeth, restorations, findings) of raw boxes of both models: duplicates go before lesions are assigned."""
-    strong = boxes.where(F.col("raw_score") >= conf)
-    kept = boost_scores(dedup_teeth(strong.where("model = 'fdi'").withColumn("class_id", F.col("class_id").cast("int")), classes), passes=2)
+    """(teeth, restorations, findings) of raw boxes of both models: duplicates go before lesions are assigned.
+
+    The boxes are read once; the kept boxes and the findings are staged, so that what is derived from them does not suppress again.
+    """
+    strong = staged(boxes.where(F.col("raw_score") >= conf), "strong")
+    kept = staged(boost_scores(dedup_teeth(strong.where("model = 'fdi'").withColumn("class_id", F.col("class_id").cast("int")), classes), passes=2), "kept")
     teeth, restorations = split_chart(kept, classes)
     lesions = strong.where("model = 'lesion'").withColumn("label", F.get(F.array(*map(F.lit, LESIONS)), F.col("class_id").cast("int")))
-    return teeth, restorations, assign_lesions(boost_scores(lesions, passes=1), teeth)
+    return teeth, restorations, staged(assign_lesions(boost_scores(lesions, passes=1), teeth), "findings")
 
 
 def ambiguous_fdi(teeth: DataFrame) -> DataFrame:

@@ -808,9 +808,25 @@ def indicator_grid(spark, sf):
 TYPOS = "SELECT substr(n_name, 1, 1 + n_nationkey % 5) || substr(n_name, 3 + n_nationkey % 5) AS name FROM nation"
 
 
-@query(f"SELECT name, arg_min(CASE WHEN levenshtein(lower(name), lower(n_name)) <= 2 THEN n_nationkey END, (CASE WHEN levenshtein(lower(name), lower(n_name)) <= 2 THEN levenshtein(lower(name), lower(n_name)) ELSE 99 END)*1000 + n_nationkey) AS code FROM (SELECT DISTINCT name FROM ({TYPOS})) LEFT JOIN nation ON lower(substr(name,1,1)) = lower(substr(n_name,1,1)) GROUP BY name")
+def resolve_sql(names: str, known: str) -> str:
+    near = "levenshtein(strip_accents(lower(name)), strip_accents(lower(country)))"
+    return f"SELECT name, arg_min(CASE WHEN {near} <= 2 THEN code END, CASE WHEN {near} <= 2 THEN {near} ELSE 99 END*1000000000 + code) AS code FROM (SELECT DISTINCT name FROM ({names})) CROSS JOIN ({known}) GROUP BY name"
+
+
+@query(resolve_sql(TYPOS, "SELECT n_name AS country, n_nationkey AS code FROM nation"))
 def resolve_country(spark, sf):
-    return enrich.resolve_country(bind(spark, sf, TYPOS).distinct(), bind(spark, sf, "SELECT n_name AS country, n_nationkey AS code FROM nation"))
+    return enrich.resolve_country(bind(spark, sf, TYPOS), bind(spark, sf, "SELECT n_name AS country, n_nationkey AS code FROM nation"))
+
+
+#: Names that grow with the table: whole, one letter lost (the first too), accented, two letters changed, or far from all.
+WRONG_NAMES = """SELECT CASE s_suppkey % 6 WHEN 0 THEN upper(s_name) WHEN 1 THEN substr(s_name, 2) WHEN 2 THEN replace(s_name, 'e', 'é') WHEN 3 THEN replace(replace(s_name, 'u', 'x'), 'S', 'zx')
+ WHEN 4 THEN substr(s_name, 1, 8) || substr(s_name, 10) ELSE s_name || ' and sons' END AS name FROM supplier"""
+SUPPLIERS = "SELECT s_name AS country, s_suppkey AS code FROM supplier"
+
+
+@query(resolve_sql(WRONG_NAMES, SUPPLIERS))
+def resolve_names(spark, sf):
+    return enrich.resolve_country(bind(spark, sf, WRONG_NAMES), bind(spark, sf, SUPPLIERS))
 
 
 @query("SELECT s_suppkey AS id, s_name AS name, 'street ' || s_suppkey AS address, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE (s_suppkey % 50)/10.0::DOUBLE END AS rating, CAST(s_suppkey % 900 AS INT) AS reviews, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey % 2 = 0 END AS open_now, 'https://www.google.com/maps/place/?q=place_id:P' || s_suppkey AS maps_url FROM supplier")
@@ -828,6 +844,16 @@ def nearby(spark, sf):
     return enrich.nearby(bind(spark, sf, B.CITIES), bind(spark, sf, B.PLACES))
 
 
+#: Points around places where flat grids fail: both poles, the date line, a high latitude, the origin.
+GLOBE = "CASE {k} % 5 WHEN 0 THEN 89.95 WHEN 1 THEN -89.97 WHEN 2 THEN 10.0 WHEN 3 THEN 80.0 ELSE -0.01 END + ({k}*37%100)/CAST(2500 AS DOUBLE) AS lat, CASE {k} % 5 WHEN 0 THEN ({k}*91%3600)/CAST(10 AS DOUBLE) - 180 WHEN 1 THEN ({k}*77%3600)/CAST(10 AS DOUBLE) - 180 WHEN 2 THEN CASE WHEN {k} % 2 = 0 THEN 179.99 ELSE -179.99 END + ({k}*13%100)/CAST(10000 AS DOUBLE) - 0.005 WHEN 3 THEN 20 + ({k}*91%1000)/CAST(1000 AS DOUBLE) ELSE ({k}*17%100)/CAST(2500 AS DOUBLE) - 0.02 END AS lon"
+GLOBE_PLACES, GLOBE_CITIES = f"SELECT c_custkey AS place_id, {GLOBE.format(k='c_custkey')} FROM customer", f"SELECT s_suppkey AS city_id, {GLOBE.format(k='s_suppkey')} FROM supplier"
+
+
+@query(f"SELECT city_id, row_number() OVER (PARTITION BY city_id ORDER BY round({HAVERSINE},3), place_id) AS rank, place_id, round({HAVERSINE},3) AS distance FROM ({GLOBE_CITIES}) c CROSS JOIN ({GLOBE_PLACES}) p WHERE round({HAVERSINE},3) <= 10000 QUALIFY row_number() OVER (PARTITION BY city_id ORDER BY round({HAVERSINE},3), place_id) <= 5")
+def nearby_globe(spark, sf):
+    return enrich.nearby(bind(spark, sf, GLOBE_CITIES), bind(spark, sf, GLOBE_PLACES))
+
+
 @query("SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'not_found' ELSE 'error' END AS outcome, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey/10.0::DOUBLE END AS lat, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey/20.0::DOUBLE END AS lon, CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS address FROM supplier")
 def parse_geocode(spark, sf):
     s = bind(spark, sf, "SELECT s_suppkey AS id, s_name FROM supplier")
