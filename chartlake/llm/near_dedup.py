@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chartlake.llm.common import documents_of, mix, reshuffled, scratch, slices, staged
 
-K, BANDS, SIMILARITY = 5, 56, 0.8
+K, BANDS, SIMILARITY = 5, 72, 0.8
 #: Buckets up to this size are compared in all pairs, larger ones with their most central members.
 SMALL = 8
 #: Counters of how often words occur, for the order of rare words.
@@ -39,7 +39,8 @@ BLOCK = 200_000
 #: A central text is sent once for so many texts that are compared with it.
 PART = 256
 #: Sampled k-mers per band, for texts of up to so many words.
-LEVELS = ((16, 1), (44, 2), (1 << 62, 3))
+#: They are as few as find pairs from the threshold on: of 0.8 similar texts a fifth of the five-word k-mers is common.
+LEVELS = ((40, 1), (1 << 62, 2))
 _P = np.uint64(0x9E3779B97F4A7C15)
 _KEPT = 1_000_000
 _SKETCH = "doc_id long, copy binary, text_md5 binary, n int, words array<int>, buckets array<long>"

@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pytest
 
 from chartlake.llm import common, exact_dedup, near_dedup
 
@@ -35,8 +36,23 @@ def edited(r, text, share):
     return out
 
 
-def test_recall_against_all_pairs_by_length():
-    """Of the pairs of similarity 0.8 or more that small edits make, each length class finds 0.9 in buckets."""
+@pytest.mark.parametrize(("n", "tries"), [(12, 260), (30, 260), (60, 300), (100, 260), (250, 200), (1500, 60)])
+def test_recall_by_length_and_similarity(n, tries):
+    """In each class of length and band of similarity, from the threshold on, 0.9 of the pairs share a bucket."""
+    r, known, bands = random.Random(40), near_dedup.WordHashes(), {}
+    for _ in range(tries):
+        a = words(r, n)
+        share = r.uniform(0, 0.24)
+        x, y = (near_dedup.word_hashes(" ".join(t), known) for t in (a, [words(r, 1)[0] if r.random() < share else w for w in a]))
+        alike = near_dedup.similarity(x, y)
+        if alike >= near_dedup.SIMILARITY:
+            band = bands.setdefault(min(3, int((alike - 0.8) / 0.05 + 1e-9)), [0, 0])
+            band[0] += bool(np.intersect1d(near_dedup.bucket_keys(x), near_dedup.bucket_keys(y)).size)
+            band[1] += 1
+    assert all(found >= 0.9 * pairs for found, pairs in bands.values()) and sum(p for _, p in bands.values()) >= 30, bands
+
+
+def test_recall_after_inserted_and_lost_words():
     r = random.Random(40)
     for n, share in ((12, 0.05), (30, 0.06), (60, 0.08), (250, 0.08), (1500, 0.08), (6000, 0.08)):
         known, found, pairs = near_dedup.WordHashes(), 0, 0
