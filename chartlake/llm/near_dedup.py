@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chartlake.llm.common import documents_of, mix, reshuffled, scratch, slices, staged
 
-K, BANDS, SIMILARITY = 5, 72, 0.8
+K, BANDS, SIMILARITY = 5, 60, 0.8
 #: Buckets up to this size are compared in all pairs, larger ones with their most central members.
 SMALL = 8
 #: Counters of how often words occur, for the order of rare words.
@@ -40,7 +40,7 @@ BLOCK = 200_000
 PART = 256
 #: Sampled k-mers per band, for texts of up to so many words.
 #: They are as few as find pairs from the threshold on: of 0.8 similar texts a fifth of the five-word k-mers is common.
-LEVELS = ((40, 1), (1 << 62, 2))
+LEVELS = ((64, 1), (1 << 62, 2))
 _P = np.uint64(0x9E3779B97F4A7C15)
 _KEPT = 1_000_000
 _SKETCH = "doc_id long, copy binary, text_md5 binary, n int, words array<int>, buckets array<long>"
@@ -92,7 +92,7 @@ def labelled(h: np.ndarray) -> np.ndarray:
 
 @functools.lru_cache(maxsize=4)
 def _factors(bands: int) -> np.ndarray:
-    return mix(np.arange(1, bands + 1, dtype=np.uint64) * _P) | np.uint64(1)
+    return (mix(np.arange(1, bands + 1, dtype=np.uint64) * _P) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def level_of(n: float) -> int:
@@ -105,11 +105,12 @@ def bucket_keys(h: np.ndarray, bands: int = BANDS, similarity: float = SIMILARIT
     n = len(x)
     if not n:
         return np.zeros(0, np.int64)
-    values = x[None, :] * _factors(bands)[:, None]  # x is mixed already, so a product is a hash
+    values = (x >> np.uint64(32)).astype(np.uint32)[None, :] * _factors(bands)[:, None]  # x is mixed already, so a product is a hash
+    order = _least(values, min(n, max(m for _, m in LEVELS)))
     out = []
     for size in sorted({level_of(math.floor(len(h) * similarity)), level_of(len(h)), level_of(len(h) / similarity)}):
         take = min(size, n)
-        at = _least(values, take)
+        at = np.sort(order[:, :take], axis=1)
         keys = np.arange(bands, dtype=np.uint64) * np.uint64(1000) + np.uint64(size)
         for j in range(take):
             keys = (keys + x[at[:, j]]) * _P
@@ -119,21 +120,12 @@ def bucket_keys(h: np.ndarray, bands: int = BANDS, similarity: float = SIMILARIT
 
 
 def _least(values: np.ndarray, take: int) -> np.ndarray:
-    """Per row the places of the `take` smallest values, in text order."""
-    bands, n = values.shape
-    if n > 8 * take + 32:
-        limit = np.uint64(int((3 * take + 12) / n * 2.0**64))
-        rows, cols = np.nonzero(values < limit)
-        per_row = np.bincount(rows, minlength=bands)
-        if per_row.min() >= take:
-            order = np.lexsort((values[rows, cols], rows))
-            begins = np.cumsum(per_row) - per_row
-            chosen = np.zeros(len(rows), bool)
-            chosen[order[(begins[:, None] + np.arange(take)[None, :]).ravel()]] = True
-            return cols[chosen].reshape(bands, take)
-    if take == n:
-        return np.broadcast_to(np.arange(n), (bands, n))
-    return np.sort(np.argpartition(values, take - 1, axis=1)[:, :take], axis=1)
+    """Per row the places of the `take` smallest values, the least first; values are used up."""
+    rows, found = np.arange(len(values)), []
+    for _ in range(take):
+        found.append(values.argmin(axis=1))
+        values[rows, found[-1]] = np.iinfo(values.dtype).max
+    return np.stack(found, axis=1)
 
 
 def banded_lcs(a: list[int], b: list[int], band: int) -> int:
@@ -216,11 +208,12 @@ def _verify(least: float):
         hub = None
         for b in batches:
             out = []
-            for kind, i, words, keys in zip(b.column("kind").to_pylist(), b.column("id").to_pylist(), _parts(b.column("words")), _parts(b.column("buckets")), strict=True):
+            every = _parts(b.column("buckets")) if "buckets" in b.schema.names else [None] * b.num_rows
+            for kind, i, words, keys in zip(b.column("kind").to_pylist(), b.column("id").to_pylist(), _parts(b.column("words")), every, strict=True):
                 words = _wide(words)
                 if kind == 0:
-                    hub = i, words, labelled(words), np.unique(keys)
-                elif np.isin(keys, hub[3]).any() and similarity(hub[1], words, least, (hub[2], labelled(words))) >= least:
+                    hub = i, words, labelled(words), keys
+                elif (keys is None or np.isin(keys, hub[3]).any()) and similarity(hub[1], words, least, (hub[2], labelled(words))) >= least:
                     out.append((max(i, hub[0]), min(i, hub[0])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
@@ -306,7 +299,8 @@ def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The links (a, b) among candidate pairs (a, b, hub, parts); hub is one of a and b. texts: id, words, buckets.
+    """The links (a, b) among candidate pairs (a, b, hub, parts); hub is one of a and b. texts: id, words, and
+    buckets where pairs without a common one are to be dropped.
 
     A hub's words are sent once for each of its parts, then follow the texts that it is compared with.
     """
@@ -315,9 +309,16 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     some = staged(texts.join(needed.hint("merge"), texts["id"] == needed["need"], "left_semi"), "candidates")
     other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
     dealt = pairs.select("hub", other.alias("id"), F.pmod(F.xxhash64(other), F.col("parts")).cast("int").alias("part"))
-    members = dealt.join(some.hint("merge"), "id").select("hub", "part", F.lit(1).alias("kind"), "id", "words", "buckets")
-    hubs = dealt.select("hub", "part").distinct().join(some.withColumnRenamed("id", "hub").hint("merge"), "hub").select("hub", "part", F.lit(0).alias("kind"), F.col("hub").alias("id"), "words", "buckets")
-    return hubs.unionByName(members).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind").select("kind", "id", "words", "buckets").mapInArrow(_verify(least), "a long, b long")
+    own = [c for c in ("words", "buckets") if c in texts.columns]
+    members = dealt.join(some.hint("merge"), "id").select("hub", "part", F.lit(1).alias("kind"), "id", *own)
+    hubs = dealt.select("hub", "part").distinct().join(some.withColumnRenamed("id", "hub").hint("merge"), "hub").select("hub", "part", F.lit(0).alias("kind"), F.col("hub").alias("id"), *own)
+    return hubs.unionByName(members).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind").select("kind", "id", *own).mapInArrow(_verify(least), "a long, b long")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """verified, without the words that it staged."""
+    with scratch() as keep:
+        return keep(verified(pairs, texts, least))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -423,14 +424,16 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, bands: int, least:
     # how many candidates a text has says how central it is among its copies
     central = shared.groupBy("id").agg(F.sum("c").alias("degree"))
     shared = staged(shared.join(central.hint("merge"), "id"), "shared")
-    words = texts.drop("n")
+    words = texts.select("id", "words")
     pairs = staged(_once(_all_pairs(shared.where(F.col("c") <= small), least).union(_to_leader(shared.where(F.col("c") > small), least))), "pairs")
-    label = staged(components(verified(pairs, words, least)), "components")
+    label = staged(components(_links(pairs, words, least)), "components")
     large = shared.where(F.col("c") > small)
-    for choose in (functools.partial(_to_leader, apart=True), functools.partial(_outsiders, texts=words)):
-        placed = staged(large.join(label.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-        again = staged(_once(choose(placed, least)).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        label = _merged(label, verified(again, words, least))
+    # pairs that meet by words need not share a bucket
+    for choose, compared in ((functools.partial(_to_leader, apart=True), words), (functools.partial(_outsiders, texts=words), texts.drop("n"))):
+        with scratch() as keep:
+            placed = staged(large.join(label.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+            again = keep(_once(choose(placed, least)).join(pairs, ["a", "b"], "left_anti"))
+        label = _merged(label, _links(again, compared, least))
         pairs = pairs.unionByName(again)
     placed = staged(copies.join(label.hint("merge"), "id", "left").select("copy", "lead", F.coalesce("component", "id").alias("component")), "placed")
     classes = placed.groupBy("component").agg(F.min("lead").alias("first"))
