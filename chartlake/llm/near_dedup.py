@@ -299,20 +299,20 @@ def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The links (a, b) among candidate pairs (a, b, hub, parts); hub is one of a and b. texts: id, words, and
+    """The links (a, b) among candidate pairs (a, b, hub); hub is one of a and b. texts: id, words, and
     buckets where pairs without a common one are to be dropped.
 
     A hub's words are sent once for each of its parts, then follow the texts that it is compared with.
     """
-    needed = pairs.select(F.col("a").alias("need")).union(pairs.select(F.col("b").alias("need"))).distinct()
-    # ids of candidates and shared buckets grow with the corpus: merge joins at every size, never a broadcast
-    some = staged(texts.join(needed.hint("merge"), texts["id"] == needed["need"], "left_semi"), "candidates")
+    # a hub of many texts is sent to several tasks; ids of candidates and shared buckets grow with the corpus: merge joins at every size, never a broadcast
+    many = reshuffled(pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
     other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    dealt = pairs.select("hub", other.alias("id"), F.pmod(F.xxhash64(other), F.col("parts")).cast("int").alias("part"))
-    own = [c for c in ("words", "buckets") if c in texts.columns]
-    members = dealt.join(some.hint("merge"), "id").select("hub", "part", F.lit(1).alias("kind"), "id", *own)
-    hubs = dealt.select("hub", "part").distinct().join(some.withColumnRenamed("id", "hub").hint("merge"), "hub").select("hub", "part", F.lit(0).alias("kind"), F.col("hub").alias("id"), *own)
-    return hubs.unionByName(members).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind").select("kind", "id", *own).mapInArrow(_verify(least), "a long, b long")
+    dealt = staged(pairs.join(many.hint("merge"), "hub").select("hub", other.alias("other"), F.pmod(F.xxhash64(other), F.col("parts")).cast("int").alias("part")), "dealt")
+    # both sides join the texts on the same key, so that their words are shuffled once
+    sent = texts.hint("merge")
+    members = dealt.join(sent, F.col("other") == F.col("id")).select("hub", "part", F.lit(1).alias("kind"), *texts.columns)
+    hubs = dealt.select("hub", "part").distinct().join(sent, F.col("hub") == F.col("id")).select("hub", "part", F.lit(0).alias("kind"), *texts.columns)
+    return hubs.unionByName(members).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind").drop("hub", "part").mapInArrow(_verify(least), "a long, b long")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -349,7 +349,7 @@ def _long_enough(a: str, b: str, least: float) -> Column:
 def _all_pairs(shared: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b), a above b, within buckets of bounded size."""
     l, r = shared.alias("l"), shared.alias("r")
-    return l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.id") > F.col("r.id")) & _long_enough("l.n", "r.n", least)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.id").alias("hub"), F.lit(1).alias("parts"))
+    return l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.id") > F.col("r.id")) & _long_enough("l.n", "r.n", least)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.id").alias("hub"), F.lit(1).alias("rank"))
 
 
 def _to_leader(shared: DataFrame, least: float, apart: bool = False) -> DataFrame:
@@ -368,7 +368,7 @@ def _to_leader(shared: DataFrame, least: float, apart: bool = False) -> DataFram
     found = shared.join(lead, "bucket").where((F.col("id") != F.col("lead.id")) & _long_enough("n", "lead.n", least))
     if apart:
         found = found.where(F.col("component") != F.col("lead.component"))
-    return found.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b"), F.col("lead.id").alias("hub"), F.ceil(F.col("c") / PART).cast("int").alias("parts"))
+    return found.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b"), F.col("lead.id").alias("hub"), F.col("c").cast("int").alias("rank"))
 
 
 def _outsiders(placed: DataFrame, least: float, texts: DataFrame) -> DataFrame:
@@ -391,7 +391,7 @@ def _outsiders(placed: DataFrame, least: float, texts: DataFrame) -> DataFrame:
     met = first.repartition("block").sortWithinPartitions("block", F.desc("outside")).mapInArrow(_meet(least), "id long, others array<long>")
     # a pair with many common words is one pair before it is a row
     pairs = met.repartition("id").sortWithinPartitions("id").mapInArrow(_distinct_pairs, "id long, other long")
-    return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"), F.col("other").alias("hub"), F.lit(64).alias("parts"))
+    return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"), F.col("other").alias("hub"), F.lit(1).alias("rank"))
 
 
 def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -405,8 +405,8 @@ def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _once(pairs: DataFrame) -> DataFrame:
-    """Each pair once, with the hub that has most parts."""
-    return pairs.groupBy("a", "b").agg(F.max(F.struct("parts", "hub")).alias("m")).select("a", "b", "m.hub", "m.parts")
+    """Each pair once, with the hub of the largest bucket."""
+    return pairs.groupBy("a", "b").agg(F.max(F.struct("rank", "hub")).alias("m")).select("a", "b", "m.hub")
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, bands: int, least: float, small: int) -> DataFrame:
