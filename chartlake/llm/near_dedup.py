@@ -7,7 +7,7 @@ k-mers. Candidates are verified by a banded alignment of their words: aligned wo
 least 0.8. A link is a pair of texts that share a bucket and align well enough; classes are components of links.
 
 Exact copies are folded first. Small buckets are compared in all pairs. In larger ones every member is compared with the
-most central member (the one with most candidates), then those still apart with the most central one of another
+most central member (the one with most candidates) of two of its buckets, then those still apart with the most central one of another
 component. At last every member outside its bucket's largest component is joined with texts of other components on
 its rarest words, of which any two texts with a link share one (a prefix filter), and pairs without a common bucket are
 dropped: no link is lost or added, and no bucket's members are paired with one another. As members of one component
@@ -353,13 +353,13 @@ def _all_pairs(shared: DataFrame, least: float) -> DataFrame:
 
 
 def _to_leader(shared: DataFrame, least: float, apart: bool = False) -> DataFrame:
-    """Pairs of every member with its bucket's most central one.
+    """Pairs of every member with the most central ones of two of its buckets: of the one with the most central leader, and of the smallest.
 
-    With apart, the leader is the most central member outside the component of the bucket's first leader, and
+    What the other buckets have is left to the later steps. With apart, all buckets count, the leader is the most central member outside the component of the bucket's first leader, and
     is paired with the members of other components than its own.
     """
     order = F.struct(F.col("degree").alias("d"), (-F.col("id")).alias("i"))
-    cols = ["id", "n", *(["component"] if apart else [])]
+    cols = ["id", "n", "component" if apart else "degree"]
     pick = lambda df: reshuffled(df.groupBy("bucket").agg(F.max_by(F.struct(*cols), order).alias("lead"))).hint("merge")
     lead = pick(shared)
     if apart:
@@ -368,6 +368,9 @@ def _to_leader(shared: DataFrame, least: float, apart: bool = False) -> DataFram
     found = shared.join(lead, "bucket").where((F.col("id") != F.col("lead.id")) & _long_enough("n", "lead.n", least))
     if apart:
         found = found.where(F.col("component") != F.col("lead.component"))
+    else:
+        two = F.array_distinct(F.array(F.max_by("lead", F.struct("lead.degree", -F.col("lead.id"))), F.min_by("lead", F.struct("c", "bucket"))))
+        found = found.groupBy("id").agg(two.alias("two"), F.max("c").alias("c")).select("id", "c", F.explode("two").alias("lead"))
     return found.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b"), F.col("lead.id").alias("hub"), F.col("c").cast("int").alias("rank"))
 
 
