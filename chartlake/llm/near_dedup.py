@@ -36,6 +36,8 @@ SMALL = 8
 COUNTERS = 1 << 14
 #: Words of texts that meet in one block; the blocks grow in number with the words.
 BLOCK = 200_000
+#: Bits of a text's set of words: bits that only one of two texts has bound how many words they can have in common.
+BITS = 1024
 #: A central text is sent once for so many texts that are compared with it.
 PART = 256
 #: Sampled k-mers per band, for texts of up to so many words.
@@ -241,17 +243,20 @@ def _prefixes(often: np.ndarray, blocks: int, least: float):
     """Per text and block of words: the rare words of the text that lie in the block, with their ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         for b in batches:
             out: list[tuple] = []
             for i, component, outside, g in zip(*(b.column(c).to_pylist() for c in ("id", "component", "outside")), _parts(b.column("grams")), strict=True):
                 rare = g[np.lexsort((g, often[g & (COUNTERS - 1)]))[: len(g) - math.ceil(len(g) * least - 1e-9) + 1]]
+                bits = np.zeros(BITS, bool)
+                bits[(g.view(np.uint64) >> np.uint64(40)) % np.uint64(BITS)] = True
+                marks = np.packbits(bits).tobytes()
                 block = (rare.view(np.uint64) >> np.uint64(20)) % np.uint64(blocks)
                 for k in np.unique(block):
                     at = np.flatnonzero(block == k)
-                    out.append((int(k), i, component, outside, len(g), rare[at], (at + 1).astype(np.int32)))
+                    out.append((int(k), i, component, outside, len(g), marks, rare[at], (at + 1).astype(np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "id", "component", "outside", "n", "grams", "ranks"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "id", "component", "outside", "n", "marks", "grams", "ranks"])
 
     return run
 
@@ -263,17 +268,18 @@ def _meet(least: float):
         current, held = None, {}
         for b in batches:
             ids, lists = [], []
-            for block, i, component, outside, n, grams, ranks in zip(*(b.column(c).to_pylist() for c in ("block", "id", "component", "outside", "n", "grams", "ranks")), strict=True):
+            for block, i, component, outside, n, marks, grams, ranks in zip(*(b.column(c).to_pylist() for c in ("block", "id", "component", "outside", "n", "marks", "grams", "ranks")), strict=True):
+                own = int.from_bytes(marks)
                 if block != current:
                     current, held = block, {}
                 hits = set()
                 for g, rank in zip(grams, ranks, strict=True):
-                    for x, xc, xn, xr in held.get(g, ()):
+                    for x, xc, xn, xr, theirs in held.get(g, ()):
                         need = math.ceil(max(n, xn) * least - 1e-9)
-                        if xc != component and min(n, xn) >= need and 1 + min(n - rank, xn - xr) >= need:
+                        if xc != component and x not in hits and min(n, xn) >= need and 1 + min(n - rank, xn - xr) >= need and (own & ~theirs).bit_count() <= n - need and (theirs & ~own).bit_count() <= xn - need:
                             hits.add(x)
                     if outside:
-                        held.setdefault(g, []).append((i, component, n, rank))
+                        held.setdefault(g, []).append((i, component, n, rank, own))
                 if hits:
                     ids.append(i)
                     lists.append(sorted(hits))
@@ -390,7 +396,7 @@ def _outsiders(placed: DataFrame, least: float, texts: DataFrame) -> DataFrame:
     often = np.zeros(COUNTERS, np.int64)
     often[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     blocks = max(32, int(often.sum()) // BLOCK)
-    first = grams.mapInArrow(_prefixes(often, blocks, least), "block long, id long, component long, outside boolean, n int, grams array<long>, ranks array<int>")
+    first = grams.mapInArrow(_prefixes(often, blocks, least), "block long, id long, component long, outside boolean, n int, marks binary, grams array<long>, ranks array<int>")
     met = first.repartition("block").sortWithinPartitions("block", F.desc("outside")).mapInArrow(_meet(least), "id long, others array<long>")
     # a pair with many common words is one pair before it is a row
     pairs = met.repartition("id").sortWithinPartitions("id").mapInArrow(_distinct_pairs, "id long, other long")
