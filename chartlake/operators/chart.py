@@ -52,11 +52,17 @@ def condition_counts(images: DataFrame, status: DataFrame, teeth: DataFrame, res
     return every.withColumn("lesions", F.col("caries") + F.col("infection"))
 
 
-def confidence_bands(findings: DataFrame) -> DataFrame:
-    """Per image and band the findings and their rounded percent of all findings; empty bands are listed."""
+def confidence_bands(findings: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Per image and band the findings and their rounded percent of all findings; empty bands are listed.
+
+    With images, those without a finding have all bands too, at 0 percent.
+    """
     per = findings.groupBy("image_id").agg(F.count("*").alias("total"), *[F.count_if((F.col("score") >= lo) & (F.col("score") < hi)).alias(name) for name, lo, hi in BANDS])
+    if images is not None:
+        per = images.select("image_id").distinct().join(per, "image_id", "left").na.fill(0)
     long = per.unpivot(["image_id", "total"], [F.col(f"`{name}`") for name, _, _ in BANDS], "band", "n")
-    return long.select("image_id", "band", "n", F.floor(100 * F.col("n") / F.col("total") + 0.5).cast("long").alias("percent"))
+    percent = F.when(F.col("total") > 0, F.floor(100 * F.col("n") / F.col("total") + 0.5)).otherwise(0)
+    return long.select("image_id", "band", "n", percent.cast("long").alias("percent"))
 
 
 def condition_share(counts: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from chartlake.operators.scan import running
 
 USD_IN, USD_OUT = 3.0, 15.0
+QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+#: Numbers kept per sketch level, and the rank error it gives (normalised, one-sided).
+SKETCH_K, SKETCH_ERROR = 2000, 0.002
 
 
 def _ordered(*by: str, ts: str = "ts"):
@@ -84,6 +87,31 @@ def usage_report(calls: DataFrame, by: list[str], window: str = "1 hour") -> Dat
     return agg.select(F.col("w.start").alias("window_start"), *by, "calls", "tokens_in", "tokens_out", F.round(share, 6).alias("cache_share"), "max_took")
 
 
+def latency_sketches(calls: DataFrame, by: list[str], window: str = "1 hour", k: int = SKETCH_K) -> DataFrame:
+    """Calls and a mergeable quantile sketch of their latency per group and tumbling window; windows without a latency have none.
+
+    Aggregated before the shuffle: what moves is a sketch of some 3 * k numbers at most per task, group and window. Null latencies count
+    as calls only.
+    """
+    agg = calls.groupBy(F.window("ts", window).alias("w"), *by).agg(F.count("*").alias("calls"), F.kll_sketch_agg_double(F.col("took").cast("double"), F.lit(k)).alias("sketch"))
+    return agg.select(F.col("w.start").alias("window_start"), *by, "calls", "sketch")
+
+
+def latency_rollup(sketches: DataFrame, by: list[str], k: int = SKETCH_K) -> DataFrame:
+    """Sketches of windows merged into one per group; calls are added up."""
+    return sketches.groupBy(*by).agg(F.sum("calls").alias("calls"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+
+
+def latency_quantiles(sketches: DataFrame) -> DataFrame:
+    """The sketch replaced by p50, p95 and p99: the least latency that so many of all are at or below.
+
+    Exact while a sketch has met at most k latencies; beyond, the rank of the answer is off by at most SKETCH_ERROR with 99 % confidence.
+    Null for a group without a latency.
+    """
+    known = F.kll_sketch_get_n_double("sketch") > 0
+    return sketches.withColumns({name: F.when(known, F.kll_sketch_get_quantile_double("sketch", F.lit(q))) for name, q in QUANTILES.items()}).drop("sketch")
+
+
 def prune_tool_results(messages: DataFrame, keep: int = 1, stub: str = "[pruned]") -> DataFrame:
     """Texts of all but the newest `keep` tool results of a conversation are blanked; ids stay."""
     w = Window.partitionBy("conv_id", "is_result").orderBy(F.desc("turn"))
@@ -97,6 +125,31 @@ def history_cost(messages: DataFrame) -> DataFrame:
     return run.groupBy("conv_id").agg(F.sum("sent").alias("total_sent"), F.max("sent").alias("last_sent"))
 
 
+def history_by_turn(messages: DataFrame, keep: int = 1, stub_tokens: int = 2) -> DataFrame:
+    """Tokens of the history that a turn sends, whole and with pruned tool results (conv_id, turn, full_sent, pruned_sent).
+
+    messages: conv_id, turn, tokens, is_result; the rows of one turn are one message, null tokens count 0. A message is sent from its turn to
+    the last one: at full size, or, once ``keep`` later messages with tool results are there, with a stub in place of each of its results. Each is
+    thus two steps of a difference array over turns, and what a turn sends is their running sum, over range partitions: no task holds a
+    conversation. With keep 0 a result is a stub from its own turn on.
+    """
+    n = F.coalesce("tokens", F.lit(0))
+    result = F.coalesce("is_result", F.lit(False))
+    per = messages.groupBy("conv_id", "turn").agg(F.sum(n).alias("tokens"), F.sum(F.when(result, stub_tokens - n).otherwise(0)).alias("cut"), F.max(result.cast("int")).alias("has"))
+    per = running(per, {"no": "has"}, ["turn"], ("conv_id",))
+    stubs = per.where("has = 1")
+    later = stubs.select(F.col("conv_id").alias("_c"), F.col("no").alias("_n"), F.col("turn").alias("_t"))
+    steps = stubs.join(later, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("no") + keep == F.col("_n"))).select("conv_id", F.col("_t").alias("turn"), F.lit(0).alias("tokens"), "cut")
+    both = per.select("conv_id", "turn", "tokens", F.lit(0).alias("cut")).unionAll(steps).groupBy("conv_id", "turn").agg(F.sum("tokens").alias("tokens"), F.sum("cut").alias("cut"))
+    out = running(both, {"full_sent": "tokens", "saved": "cut"}, ["turn"], ("conv_id",))
+    return out.select("conv_id", "turn", "full_sent", (F.col("full_sent") + F.col("saved")).alias("pruned_sent"))
+
+
+def history_totals(by_turn: DataFrame) -> DataFrame:
+    """What a conversation sends in all its turns, whole and pruned."""
+    return by_turn.groupBy("conv_id").agg(F.sum("full_sent").alias("full_sent"), F.sum("pruned_sent").alias("pruned_sent"))
+
+
 def tool_pairing(uses: DataFrame, results: DataFrame) -> DataFrame:
     """Tool uses without exactly one result in the next message, and results without a use (conv_id, tool_id, turn)."""
     r = results.groupBy("conv_id", "tool_id").agg(F.count("*").alias("n"), F.min("turn").alias("result_turn"))
@@ -110,6 +163,16 @@ def tool_usage(calls: DataFrame) -> DataFrame:
     return calls.groupBy("tool").agg(F.count("*").alias("calls"), F.round(F.avg("result_count"), 6).alias("mean_results"), F.round(F.count_if(F.col("result_count") == 0) / F.count("*"), 6).alias("zero_rate"))
 
 
+def grounded_by_tool(answers: DataFrame, calls: DataFrame, keys: tuple[str, ...] = ("conv_id", "exchange")) -> DataFrame:
+    """Per tool the exchanges with an answer and a call of that tool, and those in which such a call returned something.
+
+    answers: keys; calls: keys, tool, result_count. An exchange counts once, however many answers or calls it has; calls without an
+    answer do not count. Null keys meet nothing.
+    """
+    per = calls.groupBy(*keys, "tool").agg(F.max(F.coalesce("result_count", F.lit(0))).alias("most"))
+    return per.join(answers.select(*keys), list(keys), "left_semi").groupBy("tool").agg(F.count("*").alias("answered"), F.count_if(F.col("most") > 0).alias("grounded"))
+
+
 def unconverged_turns(responses: DataFrame, rounds: int = 2) -> DataFrame:
     """Turns whose last allowed response still asks for a tool (conv_id, exchange, round, stop_reason)."""
     last = responses.where(F.col("round") <= rounds).groupBy("conv_id", "exchange").agg(F.max_by("stop_reason", "round").alias("stop_reason"), F.max("round").alias("n_rounds"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chartlake.operators.patterns import find_terms
 from chartlake.operators.scan import numbered
 
 #: Rows of a block of queries and of vectors; a task holds one product of them.
@@ -144,8 +145,8 @@ def retrieval_eval(queries: DataFrame, global_hits: DataFrame, slot_hits: DataFr
 
 
 def leakage_probe(hits: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """Hits that hold a forbidden term; the list of terms is short and broadcast."""
-    return hits.join(F.broadcast(terms), F.lower(text).contains(F.lower("term"))).select("id", "term")
+    """Hits that hold a forbidden term, whatever the case; any number of terms, in one pass over a hit's text."""
+    return find_terms(hits, terms, ["id"], text)
 
 
 def _thousandths(x: Column) -> Column:
@@ -169,6 +170,11 @@ def render_passages(queries: DataFrame, hits: DataFrame, most: int = 600) -> Dat
     return out.select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("n").isNull(), F.concat(F.lit("No passages in the corpus matched: "), "query")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" passages for: "), "query", F.lit("\n"), "body")).alias("text"))
 
 
+def named_sources(replies: DataFrame, sources: DataFrame) -> DataFrame:
+    """(turn_id, source) for each source whose name stands in a reply's text as written: the mentions that citation_grounding takes."""
+    return find_terms(replies, sources, ["turn_id"], term="source", fold=False)
+
+
 def citation_grounding(mentions: DataFrame, retrieved: DataFrame) -> DataFrame:
     """(turn_id, source) named in a reply but not retrieved in that turn."""
     return mentions.select("turn_id", "source").distinct().join(retrieved.select("turn_id", "source"), ["turn_id", "source"], "left_anti")

@@ -299,9 +299,9 @@ def condition_counts(spark, sf):
     return chart.condition_counts(the_images(spark, sf), status, teeth, rest, found)
 
 
-@query(f"{FUSED}, bands(band, lo, hi) AS (VALUES ('0.40-0.55',0.40,0.55),('0.55-0.70',0.55,0.70),('0.70-0.85',0.70,0.85),('0.85-1.00',0.85,1.01)) SELECT image_id, band, count_if(score >= CAST(lo AS DOUBLE) AND score < CAST(hi AS DOUBLE)) AS n, CAST(floor(100*count_if(score >= CAST(lo AS DOUBLE) AND score < CAST(hi AS DOUBLE))/count(*)+0.5) AS BIGINT) AS percent FROM find CROSS JOIN bands GROUP BY image_id, band")
+@query(f"{FUSED}, bands(band, lo, hi) AS (VALUES ('0.40-0.55',0.40,0.55),('0.55-0.70',0.55,0.70),('0.70-0.85',0.70,0.85),('0.85-1.00',0.85,1.01)) SELECT image_id, band, count(*) FILTER (score >= CAST(lo AS DOUBLE) AND score < CAST(hi AS DOUBLE)) AS n, CASE WHEN count(score) > 0 THEN CAST(floor(100*count(*) FILTER (score >= CAST(lo AS DOUBLE) AND score < CAST(hi AS DOUBLE))/count(score)+0.5) AS BIGINT) ELSE 0 END AS percent FROM images LEFT JOIN find USING (image_id) CROSS JOIN bands GROUP BY image_id, band")
 def confidence_bands(spark, sf):
-    return chart.confidence_bands(fused(spark, sf)[2])
+    return chart.confidence_bands(fused(spark, sf)[2], the_images(spark, sf))
 
 
 @query(f"{FUSED}, long AS (UNPIVOT (SELECT image_id, healthy, caries, infection, wisdom, missing FROM counts) ON healthy, caries, infection, wisdom, missing INTO NAME condition VALUE n) SELECT image_id, condition, n, round(n/sum(n) OVER (PARTITION BY image_id),6) AS share FROM long WHERE n > 0")
@@ -319,7 +319,8 @@ def the_lines(spark, sf):
     return corpus.lines_from_pages(the_pages(spark, sf))
 
 
-DUCK_LINES = "SELECT doc, page, i - 1 AS line_no, trim(parts[i]) AS line FROM (SELECT doc, page, parts, unnest(range(1, len(parts)+1)) AS i FROM (SELECT lang AS doc, doc_id AS page, string_split(text, chr(10)) AS parts FROM documents)) WHERE trim(parts[i]) <> ''"
+DUCK_STRIP = lambda t: f"regexp_replace({t}, '{corpus.STRIP}', '', 'g')"
+DUCK_LINES = f"SELECT doc, page, i - 1 AS line_no, {DUCK_STRIP('parts[i]')} AS line FROM (SELECT doc, page, parts, unnest(range(1, len(parts)+1)) AS i FROM (SELECT lang AS doc, doc_id AS page, string_split(text, chr(10)) AS parts FROM documents)) WHERE {DUCK_STRIP('parts[i]')} <> ''"
 WORDS = lambda t: f"len(list_filter(regexp_split_to_array({t}, '\\s+'), lambda x: x <> ''))"
 DUCK_FREQ = f"SELECT doc, line, count(DISTINCT page) AS pages, count(DISTINCT page)/any_value(n) AS fraction FROM ({DUCK_LINES}) JOIN (SELECT doc, count(DISTINCT page) AS n FROM ({DUCK_LINES}) GROUP BY doc) USING (doc) GROUP BY doc, line"
 DUCK_BOILER = f"SELECT doc, line, CASE WHEN contains(lower(line), 'the') THEN 'watermark' ELSE 'running_header' END AS reason FROM ({DUCK_FREQ}) WHERE fraction >= 0.03"
@@ -389,10 +390,10 @@ def classify_font_band(spark, sf):
     return corpus.classify_font_band(the_font(spark, sf)).select("doc", "page", "line_no", "kind")
 
 
-@query(f"SELECT doc, page, line_no, line, CASE WHEN doc = 'en' AND page <= 50 THEN 'front_pages' WHEN doc = 'en' AND length(line) < 10 THEN 'fragment' WHEN doc = 'fr' AND regexp_matches(line, '^[A-Z][a-z]+\\.$') THEN 'footer' WHEN doc = 'de' AND page % 2 = 0 AND page <= 400 AND line_no*12.0 < 30 AND length(line) < 200 THEN 'margin' WHEN doc = 'es' AND (line_no*12.0 < 20 OR length(line) < 60) THEN 'diagram' END AS reason FROM ({DUCK_LINES}) WHERE doc <> 'de' OR page % 2 = 0")
+@query(f"SELECT doc, page, line_no, line, CASE WHEN doc = 'en' AND page <= 50 THEN 'front_pages' WHEN doc = 'en' AND length(line) < 10 THEN 'fragment' WHEN doc = 'fr' AND regexp_matches(line, '^[A-Z][a-z]+\\.$') THEN 'footer' WHEN doc = 'de' AND page % 2 = 0 AND page <= 400 AND line_no*12.0 < 30 AND length(line) < 200 THEN 'margin' WHEN doc = 'es' AND (line_no*12.0 < 20 OR length(line) < 60) THEN 'diagram' END AS reason FROM ({DUCK_LINES})")
 def drop_line_rules(spark, sf):
-    rules = spark.createDataFrame([("en", 1, "front_pages", None, 50, None, None, None, None), ("en", 2, "fragment", None, None, None, None, 10, False), ("fr", 3, "footer", None, None, r"^[A-Z][a-z]+\.$", None, None, None), ("de", 4, "margin", None, 400, None, 30.0, 200, None), ("es", 5, "diagram", None, None, None, 20.0, 60, True)], "doc string, rule_no int, reason string, first_page long, last_page long, pattern string, max_x double, max_length int, either boolean")
-    lines = the_lines(spark, sf).where("doc <> 'de' or page % 2 = 0").withColumn("x0", F.col("line_no") * 12.0)
+    rules = spark.createDataFrame([("en", 1, "front_pages", None, 50, None, None, None, None, None), ("en", 2, "fragment", None, None, None, None, None, 10, False), ("fr", 3, "footer", None, None, None, r"^[A-Z][a-z]+\.$", None, None, None), ("de", 4, "margin", None, 400, 0, None, 30.0, 200, None), ("es", 5, "diagram", None, None, None, None, 20.0, 60, True)], "doc string, rule_no int, reason string, first_page long, last_page long, parity int, pattern string, max_x double, max_length int, either boolean")
+    lines = the_lines(spark, sf).withColumn("x0", F.col("line_no") * 12.0)
     return corpus.drop_line_rules(lines, rules)
 
 
@@ -401,7 +402,7 @@ def corpus_word_totals(spark, sf):
     return corpus.corpus_word_totals(the_pages(spark, sf))
 
 
-DUCK_WS = f"array_to_string(list_filter(list_transform(string_split(regexp_replace(replace(replace(replace(text, chr(9), ' '), chr(13)||chr(10), chr(10)), chr(13), chr(10)), '[{corpus.SPACES}]+', ' ', 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> ''), chr(10))"
+DUCK_WS = f"array_to_string(list_filter(list_transform(string_split(regexp_replace(replace(replace(replace(text, chr(9), ' '), chr(13)||chr(10), chr(10)), chr(13), chr(10)), '[{corpus.SPACES}]+', ' ', 'g'), chr(10)), lambda s: {DUCK_STRIP('s')}), lambda s: s <> ''), chr(10))"
 
 
 @query(f"SELECT doc, page, {DUCK_WS} AS text FROM ({B.PAGES})")
@@ -568,7 +569,16 @@ def margin_number_profile(spark, sf):
     return corpus.margin_number_profile(the_font(spark, sf))
 
 
-@query(f"SELECT doc, count(*) AS n_lines, count_if(direction <> 0) AS rotated, count_if(regexp_matches(lower(text), 'isbn|copyright|contents|preface')) AS front_matter, count_if(regexp_matches(lower(text), '^chapter +1|^1 +introduction')) AS chapter_one FROM ({DUCK_FONT}) GROUP BY doc")
+DUCK_MARKS = f"""SELECT doc, page, n_lines, rotated_lines, CASE WHEN regexp_matches(t, '{corpus.CHAPTER_ONE}') THEN 'chapter_one' WHEN regexp_matches(substr(regexp_replace(regexp_replace(t, '^{corpus.SPACE_CHAR}+', ''), '{corpus.SPACE_CHAR}+', ' ', 'g'), 1, 200), '{corpus.FRONT_MATTER}') THEN 'front_matter' END AS mark
+FROM (SELECT doc, page, count(*) AS n_lines, coalesce(string_agg(CASE WHEN direction <> 0 THEN line_no END, ',' ORDER BY line_no), '') AS rotated_lines, string_agg(text || chr(10), '' ORDER BY line_no) AS t FROM ({DUCK_FONT}) GROUP BY doc, page)"""
+
+
+@query(DUCK_MARKS)
+def page_marks(spark, sf):
+    return corpus.page_marks(the_font(spark, sf)).withColumn("rotated_lines", F.array_join("rotated_lines", ","))
+
+
+@query(f"SELECT doc, CAST(sum(n_lines) AS BIGINT) AS n_lines, CAST(sum(len(string_split(rotated_lines, ',')) - (rotated_lines = '')::INT) AS BIGINT) AS rotated, count(*) FILTER (mark = 'front_matter') AS front_matter, count(*) FILTER (mark = 'chapter_one') AS chapter_one FROM ({DUCK_MARKS}) GROUP BY doc")
 def layout_profile(spark, sf):
     return corpus.layout_profile(the_font(spark, sf))
 
@@ -678,6 +688,23 @@ def citation_grounding(spark, sf):
     return vectors.citation_grounding(bind(spark, sf, MENTIONS), bind(spark, sf, RETRIEVED))
 
 
+#: First words of documents as names of sources; a turn's retrieved sources are those that the message before it names as a word.
+TITLES = "SELECT DISTINCT split_part(text, ' ', 1) AS source FROM documents WHERE length(split_part(text, ' ', 1)) >= 6"
+REPLIES = "SELECT conv_id*100+turn AS turn_id, text FROM conversations WHERE role = 'assistant'"
+ASKED = "SELECT conv_id*100+turn+1 AS turn_id, {words} AS source FROM conversations WHERE role = 'user'"
+NAMED = f"SELECT turn_id, source FROM ({REPLIES}) r JOIN ({TITLES}) t ON contains(r.text, t.source)"
+
+
+@query(NAMED)
+def named_sources(spark, sf):
+    return vectors.named_sources(bind(spark, sf, REPLIES), bind(spark, sf, TITLES))
+
+
+@query(f"SELECT DISTINCT turn_id, source FROM ({NAMED}) ANTI JOIN ({ASKED.format(words="unnest(string_split(text, ' '))")}) USING (turn_id, source)")
+def ungrounded_citations(spark, sf):
+    return vectors.citation_grounding(named_sources(spark, sf), bind(spark, sf, ASKED.format(words="explode(split(text, ' '))")))
+
+
 @query()
 def embed_text(spark, sf):
     return vectors.embed_text(bind(spark, sf, "SELECT doc_id, text FROM documents")).select("doc_id", "embedding")
@@ -740,6 +767,20 @@ def usage_report(spark, sf):
     return sessions.usage_report(bind(spark, sf, B.TURNS), ["event_type"])
 
 
+DUCK_NTH = ", ".join(f"list_sort(list(took))[CAST(ceil(round({q}*count(took), 7)) AS BIGINT)] AS {name}" for name, q in sessions.QUANTILES.items())
+
+
+@query(f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS calls, {DUCK_NTH} FROM ({B.TURNS}) GROUP BY ALL")
+def usage_latency(spark, sf):
+    return sessions.latency_quantiles(sessions.latency_sketches(bind(spark, sf, B.TURNS), ["event_type"]))
+
+
+@query(f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS calls, {DUCK_NTH} FROM ({B.TURNS}) GROUP BY ALL")
+def latency_rollup(spark, sf):
+    hours = sessions.latency_sketches(bind(spark, sf, B.TURNS), ["event_type"]).withColumn("day", F.to_date("window_start").cast("string"))
+    return sessions.latency_quantiles(sessions.latency_rollup(hours, ["day", "event_type"]))
+
+
 RESULTS = f"SELECT m.conv_id, m.turn, m.role, m.text, m.tokens, m.role = 'user' AND coalesce(u.uses_tool, false) AS is_result FROM ({B.MESSAGES}) m LEFT JOIN ({B.MESSAGES}) u ON u.conv_id = m.conv_id AND u.turn = m.turn - 1"
 
 
@@ -753,6 +794,20 @@ def history_cost(spark, sf):
     return sessions.history_cost(bind(spark, sf, B.MESSAGES))
 
 
+DUCK_HISTORY = f"""WITH m AS (SELECT *, count_if(is_result) OVER (PARTITION BY conv_id ORDER BY turn) AS c FROM ({RESULTS}))
+SELECT t.conv_id, t.turn, CAST(sum(m.tokens) AS BIGINT) AS full_sent, CAST(sum(CASE WHEN m.is_result AND t.c - m.c >= 1 THEN 2 ELSE m.tokens END) AS BIGINT) AS pruned_sent FROM m t JOIN m ON m.conv_id = t.conv_id AND m.turn <= t.turn GROUP BY t.conv_id, t.turn"""
+
+
+@query(DUCK_HISTORY)
+def history_by_turn(spark, sf):
+    return sessions.history_by_turn(bind(spark, sf, RESULTS))
+
+
+@query(f"SELECT conv_id, CAST(sum(full_sent) AS BIGINT) AS full_sent, CAST(sum(pruned_sent) AS BIGINT) AS pruned_sent FROM ({DUCK_HISTORY}) GROUP BY conv_id")
+def history_totals(spark, sf):
+    return sessions.history_totals(history_by_turn(spark, sf))
+
+
 USES = f"SELECT conv_id, turn, conv_id*100+turn AS tool_id FROM ({B.MESSAGES}) m WHERE uses_tool"
 TOOL_RESULTS = f"SELECT conv_id, turn, conv_id*100+turn-1 AS tool_id FROM ({RESULTS}) r WHERE is_result AND turn % 5 <> 0"
 
@@ -773,6 +828,15 @@ def tool_usage(spark, sf):
 RESPONSES = "SELECT conv_id, CAST(floor(turn/4) AS BIGINT) AS exchange, CAST(floor((turn%4)/2) AS BIGINT)+1 AS round, CASE WHEN length(text)%3=0 THEN 'tool_use' ELSE 'end_turn' END AS stop_reason FROM conversations WHERE role = 'assistant'"
 
 
+ANSWERS = f"SELECT conv_id, exchange FROM ({RESPONSES}) r WHERE stop_reason = 'end_turn'"
+TOOL_CALLS = "SELECT conv_id, CAST(floor(turn/4) AS BIGINT) AS exchange, 'tool' || (conv_id % 3 + turn % 2) AS tool, length(text) % 4 AS result_count FROM conversations WHERE role = 'assistant' AND length(text) % 3 = 0"
+
+
+@query(f"SELECT tool, count(*) AS answered, count_if(most > 0) AS grounded FROM (SELECT conv_id, exchange, tool, max(result_count) AS most FROM ({TOOL_CALLS}) GROUP BY ALL) SEMI JOIN ({ANSWERS}) USING (conv_id, exchange) GROUP BY tool")
+def grounded_by_tool(spark, sf):
+    return sessions.grounded_by_tool(bind(spark, sf, ANSWERS), bind(spark, sf, TOOL_CALLS))
+
+
 @query(f"SELECT conv_id, exchange FROM (SELECT conv_id, exchange, arg_max(stop_reason, round) AS s, max(round) AS n FROM ({RESPONSES}) WHERE round <= 2 GROUP BY ALL) WHERE s = 'tool_use' AND n = 2")
 def unconverged_turns(spark, sf):
     return sessions.unconverged_turns(bind(spark, sf, RESPONSES))
