@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chartlake.functions.fdi import LESIONS, VIEWER_ORDER, anatomy_name, class_rows
+from chartlake.sources.staging import shared_path
 
 BOXES = """
 SELECT l_orderkey AS image_id, l_partkey*1000 + l_suppkey AS det_id,
@@ -54,3 +55,11 @@ def bind(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)}
     named = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", r"\1 {\2}", sql)
     return spark.sql(named, **used)
+
+
+def streamed(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A SQL text over the driver's tables as a stream of files, written once to the shared folder; ts gets the session's zone, which watermarks need."""
+    rows = bind(spark, sf_dir, sql)
+    path = shared_path(spark, "arrivals")
+    rows.withColumn("ts", rows["ts"].cast("timestamp")).write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chartlake.functions import fdi
 from chartlake.operators import boxes, chart, corpus, datasets, enrich, fusion, sessions, vectors
 from chartlake.plans import bindings as B
-from chartlake.plans.bindings import bind
+from chartlake.plans.bindings import bind, streamed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -794,6 +794,33 @@ def history_cost(spark, sf):
     return sessions.history_cost(bind(spark, sf, B.MESSAGES))
 
 
+#: Rows that a watermark of one hour has passed: of time up to the last one's less an hour, in whole milliseconds.
+PASSED = "ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"
+CONSULTED = "SELECT user_id, ts, event_id, CASE WHEN event_type = 'signup' THEN event_id END AS analysis_id FROM events"
+SIX_HOURS = "SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM ({rows}))"
+
+
+@query(f"SELECT user_id, event_id, ts, a AS analysis_id, a IS NOT NULL AS grounded FROM (SELECT *, last_value(analysis_id IGNORE NULLS) OVER (PARTITION BY user_id, session_no ORDER BY ts, (analysis_id IS NULL)::INT, event_id ROWS UNBOUNDED PRECEDING) AS a FROM ({SIX_HOURS.format(rows=CONSULTED)})) WHERE analysis_id IS NULL AND {PASSED}")
+def stream_ground_turns(spark, sf):
+    from chartlake.streaming import consult, ordered
+
+    return ordered.drained(consult.stream_ground_turns(streamed(spark, sf, CONSULTED), "6 hours"), "grounded").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(f"SELECT user_id, event_id, ts, CAST(floor(k / 2) AS BIGINT) AS consultation, k % 2 > 0 AS notice FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session_no ORDER BY ts, event_id) - 1 AS k FROM ({SIX_HOURS.format(rows='SELECT user_id, ts, event_id FROM events')})) WHERE {PASSED}")
+def stream_session_rollover(spark, sf):
+    from chartlake.streaming import consult, ordered
+
+    return ordered.drained(consult.stream_session_rollover(streamed(spark, sf, "SELECT user_id, ts, event_id FROM events"), ttl="6 hours"), "consultations").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS calls, {DUCK_NTH} FROM ({B.TURNS}) WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM ({B.TURNS})) GROUP BY ALL")
+def stream_latency(spark, sf):
+    from chartlake.streaming import consult, ordered
+
+    return sessions.latency_quantiles(ordered.drained(consult.stream_latency(streamed(spark, sf, B.TURNS), ["event_type"]), "latency")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 DUCK_HISTORY = f"""WITH m AS (SELECT *, count_if(is_result) OVER (PARTITION BY conv_id ORDER BY turn) AS c FROM ({RESULTS}))
 SELECT t.conv_id, t.turn, CAST(sum(m.tokens) AS BIGINT) AS full_sent, CAST(sum(CASE WHEN m.is_result AND t.c - m.c >= 1 THEN 2 ELSE m.tokens END) AS BIGINT) AS pruned_sent FROM m t JOIN m ON m.conv_id = t.conv_id AND m.turn <= t.turn GROUP BY t.conv_id, t.turn"""
 
