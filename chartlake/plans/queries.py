@@ -256,6 +256,46 @@ def findings_listing(spark, sf):
     return fusion.findings_listing(found, rest)
 
 
+# ---- sources: round trips of tables through folders of files
+
+LABELS = """SELECT CASE WHEN l_suppkey % 10 = 0 THEN 'val' ELSE 'train' END AS split, 's' || l_suppkey AS image, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS line_no,
+ l_partkey % 35 AS class_id, l_orderkey % 640 AS x, l_partkey % 640 AS y, l_linenumber % 17 = 3 AS bad FROM lineitem"""
+
+
+@query(f"SELECT split, image, line_no, CASE WHEN NOT bad THEN class_id END AS class_id, CASE WHEN NOT bad THEN x END AS x, CASE WHEN NOT bad THEN y END AS y, CASE WHEN bad THEN class_id || ' x' || x || ' ' || y END AS corrupt FROM ({LABELS})")
+def read_annotations(spark, sf):
+    from chartlake.sources import readers, staging
+
+    path = staging.shared_path(spark, "labels")
+    line = F.expr("concat(class_id, if(bad, ' x', ' '), x, ' ', y, '\\n')")
+    files = bind(spark, sf, LABELS).select(F.concat("split", F.lit("/labels/"), "image", F.lit(".txt")).alias("file"), "line_no", line.alias("content"))
+    readers.write_files(files, path, order=["line_no"])
+    at = lambda i: F.col("coords")[i].cast("long")
+    return readers.read_annotations(spark, path).select("split", "image", "line_no", "class_id", at(0).alias("x"), at(1).alias("y"), "corrupt")
+
+
+SENT = "SELECT 'c' || c_custkey || '.bin' AS file, repeat(c_name, CAST(c_custkey % 4 AS INT)) AS content FROM customer"
+
+
+@query(f"SELECT file, length(content) AS length, CASE WHEN length(content) = 0 THEN 'empty' WHEN length(content) > 40 THEN 'too_large' ELSE 'ok' END AS outcome, CASE WHEN length(content) BETWEEN 1 AND 40 THEN content END AS content FROM ({SENT})")
+def read_uploads(spark, sf):
+    from chartlake.sources import readers, staging
+
+    path = staging.shared_path(spark, "uploads")
+    readers.write_files(bind(spark, sf, SENT), path)
+    return readers.read_uploads(spark, path, 40).select(F.element_at(F.split("file", "/"), -1).alias("file"), "length", "outcome", F.col("content").cast("string").alias("content"))
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey % 2 = 0 OR c_custkey % 3 = 0")
+def write_stage(spark, sf):
+    from chartlake.sources import readers, staging
+
+    path, rows = staging.shared_path(spark, "stage"), bind(spark, sf, "SELECT c_custkey, c_nationkey FROM customer")
+    readers.write_stage(rows.where("c_custkey % 3 = 0"), path, "c_nationkey")
+    out = readers.write_stage(rows.where("c_nationkey % 2 = 0"), path, "c_nationkey")
+    return out.select("c_custkey", F.col("c_nationkey").cast("long").alias("c_nationkey"))
+
+
 # ---- chart
 
 FDI = "SELECT p_partkey AS id, 10*(p_partkey%4+1) + p_size%8 + 1 AS fdi FROM part"

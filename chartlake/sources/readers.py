@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartlake.sources.folders import register
+
 LINES = "doc string, page long, line_no int, x0 double, y0 double, page_width double, page_height double, size double, text string"
 
 
@@ -14,21 +16,36 @@ def read_text_lines(spark: SparkSession, path: str, fmt: str = "json") -> DataFr
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """split, image, line_no, class_id, coords of label files <path>/<split>/labels/<image>.txt; blank lines are skipped."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    """split, image, line_no, class_id, coords, corrupt of label files <path>/<split>/labels/<image>.txt; blank lines are skipped.
+
+    A line whose first word is no whole number, or any other word no number, keeps its text in corrupt, with null class_id and coords.
+    """
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select("value", F.col("_metadata.file_path").alias("file"))
     lines = rows.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    num = F.transform(F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
-    return lines.select(F.regexp_extract("file", r"([^/]+)/labels/[^/]+$", 1).alias("split"), F.regexp_extract("file", r"([^/]+)\.txt$", 1).alias("image"), "line_no", num[0].cast("int").alias("class_id"), F.slice(num, F.lit(2), F.size(num) - 1).alias("coords"))
+    words = F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")
+    num = F.transform(F.slice(words, F.lit(2), F.size(words) - 1), lambda x: x.try_cast("double"))
+    bad = words[0].try_cast("int").isNull() | F.exists(num, lambda x: x.isNull())
+    return lines.select(F.regexp_extract("file", r"([^/]+)/labels/[^/]+$", 1).alias("split"), F.regexp_extract("file", r"([^/]+)\.txt$", 1).alias("image"), "line_no", F.when(~bad, words[0].try_cast("int")).alias("class_id"), F.when(~bad, num).alias("coords"), F.when(bad, F.col("line")).alias("corrupt"))
 
 
 def read_uploads(spark: SparkSession, path: str, max_bytes: int = 20 * 1024 * 1024) -> DataFrame:
-    """file, length, outcome (ok, too_large, empty) and the content of good files.
+    """file, length, outcome (ok, too_large, empty) and the content of good files; empty files are listed, files over the limit are not read."""
+    register(spark)
+    return spark.read.format("uploads").option("path", path).option("max_bytes", max_bytes).load()
 
-    Spark's file listing leaves out files of length 0, so on file systems an empty upload is rejected by not being listed.
-    """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    outcome = F.when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too_large").otherwise("ok")
-    return f.select(F.col("path").alias("file"), "length", outcome.alias("outcome"), F.when(outcome == "ok", F.col("content")).alias("content"))
+
+def stream_uploads(spark: SparkSession, path: str, max_bytes: int = 20 * 1024 * 1024) -> DataFrame:
+    """The rows of read_uploads as a stream: each file once, in the order in which files came."""
+    register(spark)
+    return spark.readStream.format("uploads").option("path", path).option("max_bytes", max_bytes).load()
+
+
+def write_files(df: DataFrame, path: str, file: str = "file", content: str = "content", order: list[str] | None = None) -> None:
+    """One file per value of ``file`` below path; the contents of its rows follow each other in the order."""
+    register(df.sparkSession)
+    by = [F.col(file), *[F.col(c) for c in order or []]]
+    rows = df.repartition(file).sortWithinPartitions(*by).select(F.col(file).alias("file"), F.col(content).alias("content"))
+    rows.write.format("named_files").mode("append").option("path", path).save()
 
 
 def read_class_map(spark: SparkSession, path: str) -> DataFrame:
@@ -41,9 +58,12 @@ def read_class_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_stage(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
-    """Persist a phase's output, by source if asked, and read it again: every phase can be run again on its own."""
+    """Persist a phase's output, by source if asked, and read it again: every phase can be run again on its own.
+
+    With ``by`` only the sources that df has are replaced; those of earlier runs stay.
+    """
     w = df.write.mode("overwrite")
-    (w.partitionBy(by) if by else w).parquet(path)
+    (w.partitionBy(by).option("partitionOverwriteMode", "dynamic") if by else w).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
