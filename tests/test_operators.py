@@ -84,7 +84,7 @@ def test_label_files_and_uploads(spark):
     for name, size in (("e", 0), ("s", 5), ("l", 50)):
         with open(f"{files}/{name}", "wb") as f:
             f.write(b"x" * size)
-    assert sorted(r["outcome"] for r in readers.read_uploads(spark, files, 10).collect()) == ["ok", "too_large"]
+    assert sorted(r["outcome"] for r in readers.read_uploads(spark, files, 10).collect()) == ["empty", "ok", "too_large"]
 
 
 def _drain(stream, mode, name):
