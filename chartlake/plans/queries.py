@@ -349,6 +349,15 @@ def condition_share(spark, sf):
     return chart.condition_share(condition_counts(spark, sf)).withColumns(r6("share"))
 
 
+NAMED_TEETH = "SELECT c_custkey, (1 + c_custkey % 4)*10 + 1 + c_custkey % 8 AS fdi, CASE WHEN c_custkey % 3 > 0 THEN replace(lower(c_mktsegment), ' ', '_') || '_' || c_custkey WHEN c_custkey % 2 = 0 THEN '' END AS anatomy FROM customer"
+DUCK_PLACES = "CASE WHEN fdi < 30 THEN 'Upper' ELSE 'Lower' END || ' ' || CASE WHEN fdi // 10 IN (1, 4) THEN 'Right' ELSE 'Left' END || ' ' || list_value(" + ", ".join(f"'{p.replace('_', ' ').title()}'" for p in fdi.POSITIONS) + ")[fdi % 10]"
+
+
+@query(f"SELECT c_custkey, CASE WHEN anatomy <> '' THEN array_to_string(list_transform(string_split(anatomy, '_'), lambda w: upper(w[1]) || w[2:]), ' ') ELSE {DUCK_PLACES} END AS anatomy FROM ({NAMED_TEETH})")
+def humanise_anatomy(spark, sf):
+    return bind(spark, sf, NAMED_TEETH).select("c_custkey", fdi.humanise_anatomy(F.col("anatomy"), F.col("fdi")).alias("anatomy"))
+
+
 # ---- corpus
 
 def the_pages(spark, sf):
