@@ -370,6 +370,14 @@ def the_lines(spark, sf):
 
 DUCK_STRIP = lambda t: f"regexp_replace({t}, '{corpus.STRIP}', '', 'g')"
 DUCK_LINES = f"SELECT doc, page, i - 1 AS line_no, {DUCK_STRIP('parts[i]')} AS line FROM (SELECT doc, page, parts, unnest(range(1, len(parts)+1)) AS i FROM (SELECT lang AS doc, doc_id AS page, string_split(text, chr(10)) AS parts FROM documents)) WHERE {DUCK_STRIP('parts[i]')} <> ''"
+#: A text as a document of its own with eight lines a page, for what runs on from line to line and page to page.
+DUCK_DOC_LINES = f"SELECT CAST(page AS VARCHAR) AS doc, line_no // 8 AS page, line_no % 8 AS line_no, line FROM ({DUCK_LINES})"
+
+
+def doc_lines(spark, sf):
+    return the_lines(spark, sf).select(F.col("page").cast("string").alias("doc"), F.floor(F.col("line_no") / 8).alias("page"), (F.col("line_no") % 8).alias("line_no"), "line")
+
+
 WORDS = lambda t: f"len(list_filter(regexp_split_to_array({t}, '\\s+'), lambda x: x <> ''))"
 DUCK_FREQ = f"SELECT doc, line, count(DISTINCT page) AS pages, count(DISTINCT page)/any_value(n) AS fraction FROM ({DUCK_LINES}) JOIN (SELECT doc, count(DISTINCT page) AS n FROM ({DUCK_LINES}) GROUP BY doc) USING (doc) GROUP BY doc, line"
 DUCK_BOILER = f"SELECT doc, line, CASE WHEN contains(lower(line), 'the') THEN 'watermark' ELSE 'running_header' END AS reason FROM ({DUCK_FREQ}) WHERE fraction >= 0.03"
@@ -410,13 +418,24 @@ def cut_report(spark, sf):
 
 
 FONT = """SELECT doc, page, line_no, (line_no % 2)*300.0 AS x0, line_no*12.0 AS y0, 600.0 AS page_width, 800.0 AS page_height,
-  CASE WHEN (page*31 + line_no*7) % 5 = 0 THEN 17.0 WHEN (page*31 + line_no*7) % 5 = 1 THEN 11.0 WHEN (page*31 + line_no*7) % 5 = 2 THEN 9.5 WHEN (page*31 + line_no*7) % 5 = 3 THEN 9.0 ELSE 8.0 END AS size,
-  CASE WHEN (page*31 + line_no*7) % 5 = 1 AND (page + line_no) % 13 = 0 THEN CASE WHEN page % 2 = 0 THEN 'BIBLIOGRAPHY' ELSE 'Bibliography and notes' END WHEN page % 17 = 3 THEN 'Flowchart 1.' || CAST(line_no AS VARCHAR(8)) || ' steps' WHEN page % 17 = 4 THEN 'Figure 3 shows' WHEN page % 17 = 5 THEN 'TABLES 12.4' WHEN (page + line_no) % 7 = 0 THEN CAST(page % 1000 AS VARCHAR(8)) ELSE line END AS text, CASE WHEN page % 11 = 0 THEN 90 ELSE 0 END AS direction FROM """
-DUCK_FONT = f"{FONT} ({DUCK_LINES})"
+  CASE WHEN (p*31 + line_no*7) % 5 = 0 THEN 17.0 WHEN (p*31 + line_no*7) % 5 = 1 THEN 11.0 WHEN (p*31 + line_no*7) % 5 = 2 THEN 9.5 WHEN (p*31 + line_no*7) % 5 = 3 THEN 9.0 ELSE 8.0 END AS size,
+  CASE WHEN (p*31 + line_no*7) % 5 = 1 AND (p + line_no) % 13 = 0 THEN CASE WHEN p % 2 = 0 THEN 'BIBLIOGRAPHY' ELSE 'Bibliography and notes' END WHEN p % 17 = 3 THEN 'Flowchart 1.' || CAST(line_no AS VARCHAR(8)) || ' steps' WHEN p % 17 = 4 THEN 'Figure 3 shows' WHEN p % 17 = 5 THEN 'TABLES 12.4' WHEN (p + line_no) % 7 = 0 THEN CAST(p % 1000 AS VARCHAR(8)) ELSE line END AS text, CASE WHEN p % 11 = 0 THEN 90 ELSE 0 END AS direction FROM """
+DUCK_FONT = f"{FONT} (SELECT *, page AS p FROM ({DUCK_LINES}))"
+#: In documents of their own pages start anew, so that sizes and headings follow the document's number, too.
+DOC_PLACE = "CAST(doc AS BIGINT) + page"
+DUCK_DOC_FONT = f"{FONT} (SELECT *, {DOC_PLACE} AS p FROM ({DUCK_DOC_LINES}))"
+
+
+def with_font(spark, lines, place="page"):
+    return spark.sql(FONT.replace("VARCHAR(8)", "STRING") + "{l}", l=lines.withColumn("p", F.expr(place))).withColumns({c: F.col(c).cast("double") for c in ("x0", "y0", "page_width", "page_height", "size")})
 
 
 def the_font(spark, sf):
-    return spark.sql(FONT.replace("VARCHAR(8)", "STRING") + "{l}", l=the_lines(spark, sf)).withColumns({c: F.col(c).cast("double") for c in ("x0", "y0", "page_width", "page_height", "size")})
+    return with_font(spark, the_lines(spark, sf))
+
+
+def doc_font(spark, sf):
+    return with_font(spark, doc_lines(spark, sf), DOC_PLACE)
 
 
 @query(f"SELECT doc, page, line_no, row_number() OVER (PARTITION BY doc, page ORDER BY CASE WHEN x0 < page_width/2 THEN 0 ELSE 1 END, y0, x0, line_no) AS rank FROM ({DUCK_FONT})")
@@ -425,18 +444,18 @@ def reading_order(spark, sf):
 
 
 DUCK_BIB = f"""SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS in_bibliography
-FROM (SELECT *, CASE WHEN size > 10.5 AND NOT (size >= 11.8 AND regexp_matches(text, '^[0-9]{{1,4}}$')) THEN starts_with(upper(trim(text)), 'BIBLIOGRAPHY') AND size < 11.8 END AS mark FROM ({DUCK_FONT}))"""
+FROM (SELECT *, CASE WHEN size > 10.5 AND NOT (size >= 11.8 AND regexp_matches(text, '^[0-9]{{1,4}}$')) THEN starts_with(upper(trim(text)), 'BIBLIOGRAPHY') AND size < 11.8 END AS mark FROM ({DUCK_DOC_FONT}))"""
 
 
 @query(f"SELECT doc, page, line_no, in_bibliography FROM ({DUCK_BIB})")
 def bibliography_state(spark, sf):
-    return corpus.bibliography_state(the_font(spark, sf)).select("doc", "page", "line_no", "in_bibliography")
+    return corpus.bibliography_state(doc_font(spark, sf)).select("doc", "page", "line_no", "in_bibliography")
 
 
 @query(f"""SELECT doc, page, line_no, CASE WHEN size >= 11.8 AND regexp_matches(trim(text), '^[0-9]{{1,4}}$') THEN 'page_number' WHEN size >= 11.8 THEN 'h1' WHEN size > 10.5 AND starts_with(upper(trim(text)), 'BIBLIOGRAPHY') THEN 'bibliography_heading' WHEN size > 10.5 THEN 'h2'
  WHEN size <= 8.8 THEN 'caption_or_table' WHEN size <= 9.3 THEN 'running_header' WHEN in_bibliography THEN 'bibliography' WHEN regexp_matches(trim(text), '(?i)^\\s*(?:Figures?|Tables?|Flowcharts?|Box)\\s*[0-9]+\\.[0-9]+') THEN 'caption' ELSE 'body' END AS kind FROM ({DUCK_BIB})""")
 def classify_font_band(spark, sf):
-    return corpus.classify_font_band(the_font(spark, sf)).select("doc", "page", "line_no", "kind")
+    return corpus.classify_font_band(doc_font(spark, sf)).select("doc", "page", "line_no", "kind")
 
 
 @query(f"SELECT doc, page, line_no, line, CASE WHEN doc = 'en' AND page <= 50 THEN 'front_pages' WHEN doc = 'en' AND length(line) < 10 THEN 'fragment' WHEN doc = 'fr' AND regexp_matches(line, '^[A-Z][a-z]+\\.$') THEN 'footer' WHEN doc = 'de' AND page % 2 = 0 AND page <= 400 AND line_no*12.0 < 30 AND length(line) < 200 THEN 'margin' WHEN doc = 'es' AND (line_no*12.0 < 20 OR length(line) < 60) THEN 'diagram' END AS reason FROM ({DUCK_LINES})")
@@ -515,53 +534,81 @@ def residue_checks(spark, sf):
     return corpus.residue_checks(pages, corpus.drop_empty_pages(pages)[0])
 
 
+HEAD_LINE = "^[A-Z][a-z]+\\.$"
+TAGGED = lambda h1, h2: f"SELECT doc, page, line_no, CASE WHEN regexp_matches(line, '{HEAD_LINE}') THEN CASE WHEN length(line) % 2 = 0 THEN '{h1}' ELSE '{h2}' END || line ELSE line END AS line FROM ({DUCK_DOC_LINES})"
+RUNNING = "ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
 def tagged_lines(spark, sf, h1: str, h2: str):
-    head = F.when(F.col("line").rlike(r"^[A-Z][a-z]+\.$"), F.concat(F.when(F.length("line") % 2 == 0, h1).otherwise(h2), F.col("line")))
-    return the_lines(spark, sf).withColumn("line", F.coalesce(head, "line"))
+    head = F.when(F.col("line").rlike(HEAD_LINE), F.concat(F.when(F.length("line") % 2 == 0, h1).otherwise(h2), F.col("line")))
+    return doc_lines(spark, sf).withColumn("line", F.coalesce(head, "line"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT *, regexp_extract(line, '^@@(H[12])@@', 1) AS level, trim(regexp_replace(line, '^@@H[12]@@', '')) AS head FROM ({TAGGED('@@H1@@ ', '@@H2@@ ')})),
+b AS (SELECT *, level <> '' AND head <> '' AND NOT (level = 'H1' AND (lower(head) = 'chapter' OR regexp_matches(head, '^[0-9]+$'))) AS brk FROM l),
+r AS (SELECT *, last_value(CASE WHEN brk AND level = 'H1' THEN head END IGNORE NULLS) OVER w AS chapter, last_value(CASE WHEN brk THEN CASE WHEN level = 'H1' THEN '' ELSE head END END IGNORE NULLS) OVER w AS own, sum(brk::INT) OVER w AS section_no FROM b WINDOW w AS (PARTITION BY doc {RUNNING}))
+SELECT doc, page, line_no, line, section_no, trim(coalesce(chapter, '') || ' — ' || coalesce(own, ''), ' —') AS label FROM r WHERE level = ''""")
 def sectionize_sentinel(spark, sf):
     return corpus.sectionize_sentinel(tagged_lines(spark, sf, "@@H1@@ ", "@@H2@@ "))
 
 
-@query()
+@query(f"""WITH c AS (SELECT doc, page, line_no, string_split(ltrim(regexp_replace(line, '(\\[H[123]\\])', chr(1) || '\\1', 'g'), chr(1)), chr(1)) AS parts FROM ({TAGGED('Before. [H1] ', '[H2] ')})),
+p AS (SELECT doc, page, line_no, i - 1 AS part, parts[i] AS s FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM c)),
+h AS (SELECT *, regexp_matches(s, '^\\[H[123]\\]') AS opens, trim(regexp_replace(s, '^\\[H[123]\\]\\s*', '')) AS rest FROM p),
+n AS (SELECT *, CASE WHEN opens THEN array_to_string(list_filter(regexp_split_to_array(CASE WHEN contains(substr(rest, 1, 80), '. ') THEN split_part(rest, '. ', 1) ELSE rest END, '\\s+'), lambda x: x <> '')[1:6], ' ') END AS own FROM h),
+r AS (SELECT *, sum(opens::INT) OVER w AS section_no, coalesce(last_value(own IGNORE NULLS) OVER w, 'Front matter') AS label FROM n WINDOW w AS (PARTITION BY doc {RUNNING.replace('line_no', 'line_no, part')})),
+t AS (SELECT * EXCLUDE (s, opens, rest, own), CASE WHEN opens THEN trim(substr(rest, length(own) + 1)) ELSE trim(s) END AS line FROM r)
+SELECT doc, page, line_no, part, line, section_no, label FROM t WHERE line <> ''""")
 def sectionize_inline_markers(spark, sf):
     return corpus.sectionize_inline_markers(tagged_lines(spark, sf, "Before. [H1] ", "[H2] "))
 
 
-@query()
+#: A number stands before every short heading, and goes up with its line.
+NUMBERED = f"SELECT CAST(page AS VARCHAR) AS doc, page, CAST(line_no * 2 + i AS INT) AS line_no, line FROM (SELECT page, line_no, 0 AS i, CAST(line_no % 3 + 1 AS VARCHAR) AS line FROM ({{lines}}) WHERE {{head}} UNION ALL SELECT page, line_no, 1 AS i, line FROM ({{lines}}))"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, line_no) AS rn, regexp_matches(line, '^\\d+(?:\\.\\d+)*$') AS number, regexp_matches(line, '^\\p{{Lu}}') AND NOT contains(substr(line, 1, 60), '—') AS may, regexp_extract(line || ' ', '^(\\S+(?:\\s+\\p{{Ll}}+)*)\\s', 1) AS title
+ FROM ({NUMBERED.format(lines=DUCK_LINES, head=f"regexp_matches(line, '{HEAD_LINE}')")})),
+f AS (SELECT doc, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS pending, 1 AS expected, 0 AS section_no, 'Front matter' AS label, CAST(NULL AS BIGINT) AS page, CAST(NULL AS INT) AS line_no, '' AS line FROM (SELECT DISTINCT doc FROM l)
+ UNION ALL SELECT doc, rn, CASE WHEN number THEN text END, expected + opens::INT, section_no + opens::INT, CASE WHEN opens THEN 'Clause ' || pending || ' ' || title ELSE label END, page, line_no,
+  trim(CASE WHEN number THEN '' WHEN opens THEN substr(text, length(title) + 1) WHEN pending IS NOT NULL THEN pending || ' ' || text ELSE text END)
+ FROM (SELECT f.doc, l.rn, l.number, l.line AS text, l.title, f.pending, f.expected, f.section_no, f.label, l.page, l.line_no, NOT l.number AND l.may AND coalesce(f.pending = CAST(f.expected AS VARCHAR), false) AS opens FROM f JOIN l ON l.doc = f.doc AND l.rn = f.rn + 1))
+SELECT doc, page, line_no, line, section_no, label FROM f WHERE line <> ''""")
 def sectionize_numbered(spark, sf):
-    number = F.when(F.col("line").rlike(r"^[A-Z][a-z]+\.$"), F.array(F.lit("1"), F.col("line"))).otherwise(F.array("line"))
-    l = the_lines(spark, sf).select(F.col("page").cast("string").alias("doc"), "page", F.posexplode(F.transform(number, lambda x: x)).alias("i", "line"), "line_no")
-    return corpus.sectionize_numbered(l.select("doc", "page", (F.col("line_no") * 2 + F.col("i")).cast("int").alias("line_no"), "line"))
+    lines = the_lines(spark, sf).select("page", "line_no", "line")
+    number = lines.where(F.col("line").rlike(HEAD_LINE)).select("page", F.col("line_no") * 2, (F.col("line_no") % 3 + 1).cast("string"))
+    both = lines.withColumn("line_no", F.col("line_no") * 2 + 1).union(number)
+    return corpus.sectionize_numbered(both.select(F.col("page").cast("string").alias("doc"), "page", F.col("line_no").cast("int").alias("line_no"), "line"))
 
 
-@query(f"SELECT doc, page, line_no, line, section_no, coalesce(label, 'Introduction') AS label FROM (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER w AS section_no, last_value(CASE WHEN h THEN rtrim(line, ':') END IGNORE NULLS) OVER w AS label FROM (SELECT *, regexp_matches(line, '^[A-Z][a-z]+\\.$') AS h FROM ({DUCK_LINES})) WINDOW w AS (PARTITION BY doc ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE NOT h")
+@query(f"SELECT doc, page, line_no, line, section_no, coalesce(label, 'Introduction') AS label FROM (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER w AS section_no, last_value(CASE WHEN h THEN rtrim(line, ':') END IGNORE NULLS) OVER w AS label FROM (SELECT *, regexp_matches(line, '{HEAD_LINE}') AS h FROM ({DUCK_DOC_LINES})) WINDOW w AS (PARTITION BY doc ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE NOT h")
 def sectionize_headings(spark, sf):
-    return corpus.sectionize_headings(the_lines(spark, sf), r"^[A-Z][a-z]+\.$")
+    return corpus.sectionize_headings(doc_lines(spark, sf), HEAD_LINE)
 
 
-SECTIONS = "SELECT source AS doc, doc_id AS section_no, lang AS parent, {words} AS words FROM documents"
+#: A line is a section, a parent has twelve lines.
+SECTIONS = "SELECT doc, page * 8 + line_no AS section_no, CAST(floor((page * 8 + line_no) / 12) AS BIGINT) AS parent, {words} AS words FROM ({lines}) l"
 
 
-@query(f"""WITH RECURSIVE s AS ({SECTIONS.format(words=WORDS('text'))}), n AS (SELECT *, CASE WHEN lag(parent) OVER w = parent THEN 0 ELSE 1 END AS brk, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY doc ORDER BY section_no)),
+@query(f"""WITH RECURSIVE s AS ({SECTIONS.format(words=WORDS('line'), lines=DUCK_DOC_LINES)}), n AS (SELECT *, CASE WHEN lag(parent) OVER w = parent THEN 0 ELSE 1 END AS brk, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY doc ORDER BY section_no)),
 f AS (SELECT doc, rn, section_no, words AS acc, section_no AS packed_no FROM n WHERE rn = 1 UNION ALL SELECT n.doc, n.rn, n.section_no, CASE WHEN n.brk = 0 AND (f.acc + n.words <= 350 OR n.words < 25) THEN f.acc + n.words ELSE n.words END, CASE WHEN n.brk = 0 AND (f.acc + n.words <= 350 OR n.words < 25) THEN f.packed_no ELSE n.section_no END FROM f JOIN n ON f.doc = n.doc AND n.rn = f.rn + 1)
 SELECT doc, section_no, packed_no FROM f""")
 def pack_sections(spark, sf):
-    s = bind(spark, sf, SECTIONS.format(words="size(filter(split(text, '\\\\s+'), x -> x <> ''))"))
+    s = spark.sql(SECTIONS.format(words="size(filter(split(line, '\\\\s+'), x -> x <> ''))", lines="SELECT * FROM {l}"), l=doc_lines(spark, sf))
     return corpus.pack_sections(s)
 
 
-LABELLED = "SELECT source AS doc, doc_id AS section_no, lang || ' — Part ' || doc_id AS label, text FROM documents"
+#: Every thirteenth section has no text.
+LABELLED = "SELECT doc, page * 8 + line_no AS section_no, 'Chapter ' || CAST(CAST(floor((page * 8 + line_no) / 12) AS BIGINT) AS {s}) || ' — Part ' || CAST(page * 8 + line_no AS {s}) AS label, CASE WHEN (page * 8 + line_no) % 13 <> 5 THEN line END AS text FROM "
+DUCK_LABELLED = f"{LABELLED.format(s='VARCHAR')} ({DUCK_DOC_LINES})"
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT doc, section_no, label, coalesce(text, '') AS text, {WORDS("coalesce(text, '')")} AS words, CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE 2 END AS heads, split_part(label, ' — ', 1) AS parent FROM ({LABELLED})),
+@query(f"""WITH RECURSIVE s AS (SELECT doc, section_no, label, coalesce(text, '') AS text, {WORDS("coalesce(text, '')")} AS words, CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE 2 END AS heads, split_part(label, ' — ', 1) AS parent FROM ({DUCK_LABELLED})),
 n AS (SELECT *, CASE WHEN lag(parent) OVER w = parent THEN 0 ELSE 1 END AS brk, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY doc ORDER BY section_no)),
 f AS (SELECT doc, rn, section_no, words AS acc, section_no AS packed_no FROM n WHERE rn = 1 UNION ALL SELECT n.doc, n.rn, n.section_no, CASE WHEN n.brk = 0 AND (f.acc + n.words <= 350 OR n.words < 25) THEN f.acc + n.words + n.heads ELSE n.words END, CASE WHEN n.brk = 0 AND (f.acc + n.words <= 350 OR n.words < 25) THEN f.packed_no ELSE n.section_no END FROM f JOIN n ON f.doc = n.doc AND n.rn = f.rn + 1)
 SELECT doc, packed_no AS section_no, min_by(label, section_no) AS label, string_agg(CASE WHEN section_no = packed_no OR heads = 0 THEN text ELSE split_part(label, ' — ', 2) || ':' || chr(10) || text END, chr(10) ORDER BY section_no) AS text FROM f JOIN s USING (doc, section_no) GROUP BY doc, packed_no""")
 def packed_sections(spark, sf):
-    return corpus.packed_sections(bind(spark, sf, LABELLED).fillna("", "text"))
+    return corpus.packed_sections(spark.sql(LABELLED.format(s="STRING") + "{l}", l=doc_lines(spark, sf)).fillna("", "text"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(t, '\\s*[（(]\\s*(?:see\\s+)?Tables?\\s*\\d+\\.\\d+\\s*[)）]', '', 'g'), '\\s+', ' ', 'g')) AS text FROM (SELECT doc_id, replace(text, ' the ', ' (see Table 3.' || doc_id || ') the ') AS t FROM documents)")
@@ -586,16 +633,31 @@ def token_windows(spark, sf):
     return corpus.token_windows(d).select("doc_id", "part", "first", "last")
 
 
+#: Six lines are a section; every seventh section lists references, every eleventh has no label.
+CHUNKED = """SELECT doc, section_no, CASE WHEN section_no % 7 = 5 THEN 'References' WHEN section_no % 11 = 3 THEN NULL ELSE 'Part ' || CAST(section_no AS {s}) || ' of the text' END AS label, text, page_start, page_end
+FROM (SELECT doc, CAST(floor((page * 8 + line_no) / 6) AS BIGINT) AS section_no, {joined} AS text, min(page) AS page_start, max(page) AS page_end FROM {lines} GROUP BY 1, 2) x"""
+DUCK_CHUNKED = CHUNKED.format(s="VARCHAR", joined="string_agg(line, chr(10) ORDER BY page, line_no)", lines=f"({DUCK_DOC_LINES})")
+SPARK_CHUNKED = CHUNKED.format(s="STRING", joined="array_join(transform(array_sort(collect_list(struct(page, line_no, line))), x -> x.line), '\\n')", lines="{l}")
+COSTS = lambda ws: f"list_transform({ws}, lambda x: CAST(ceil(length(x)/4.0) AS BIGINT))"
+NONBLANK = lambda t: f"list_filter(string_split({t}, ' '), lambda x: x <> '')"
+DUCK_CHUNKS = f"""WITH RECURSIVE d AS (SELECT *, coalesce(label, '') AS l, {NONBLANK(f"trim(regexp_replace(regexp_replace(text, '{corpus.TABLE_REF}', '', 'g'), '{chr(92)}s+', ' ', 'g'))")} AS words FROM ({DUCK_CHUNKED}) WHERE NOT regexp_matches(coalesce(label, ''), '^(Clause [0-9]+ )?(Bibliography|References)\\b')),
+g AS (SELECT *, {COSTS('words')} AS c, 398 - coalesce(list_sum({COSTS(NONBLANK('l'))}), 0) AS room FROM d WHERE len(words) > 0),
+e AS (SELECT doc, section_no, room, i, c[i] AS cost FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM g)), s AS (SELECT *, sum(cost) OVER (PARTITION BY doc, section_no ORDER BY i) AS run FROM e),
+jump AS (SELECT a.doc, a.section_no, a.i - 1 AS first, greatest(coalesce(max(b.i), 0), a.i) AS last FROM s a LEFT JOIN s b ON a.doc = b.doc AND a.section_no = b.section_no AND b.i >= a.i AND b.i < a.i + 400 AND b.run - a.run + a.cost <= a.room GROUP BY a.doc, a.section_no, a.i),
+w AS (SELECT doc, section_no, 0 AS part, first, last FROM jump WHERE first = 0 UNION ALL SELECT w.doc, w.section_no, w.part + 1, j.first, j.last FROM w JOIN g USING (doc, section_no) JOIN jump j ON j.doc = w.doc AND j.section_no = w.section_no AND j.first = greatest(w.last - 75, w.first + 1) WHERE w.last < len(g.words)),
+chunks AS (SELECT doc, section_no, part, CASE WHEN l <> '' THEN l || '. ' ELSE '' END || array_to_string(words[first + 1:last], ' ') AS text, regexp_replace(replace(lower(doc), '.pdf', ''), '[^a-z0-9]+', '-', 'g') || '#' || printf('%04d', row_number() OVER (PARTITION BY doc ORDER BY section_no, part) - 1) AS chunk_id, label, page_start, page_end, last - first AS n_words FROM w JOIN g USING (doc, section_no) WHERE last - first >= 12)"""
+
+
 def the_chunks(spark, sf):
-    return corpus.emit_chunks(bind(spark, sf, "SELECT source AS doc, doc_id AS section_no, lang AS label, text, doc_id AS page_start, doc_id AS page_end FROM documents"))
+    return corpus.emit_chunks(spark.sql(SPARK_CHUNKED, l=doc_lines(spark, sf)))
 
 
-@query()
+@query(f"{DUCK_CHUNKS} SELECT * FROM chunks")
 def emit_chunks(spark, sf):
     return the_chunks(spark, sf)
 
 
-@query()
+@query(f"{DUCK_CHUNKS} SELECT coalesce(doc, 'TOTAL') AS doc, count(DISTINCT doc || ' ' || section_no) AS sections, count(*) AS chunks, round(avg(n_words), 6) AS mean_words FROM chunks GROUP BY ROLLUP (doc)")
 def chunk_stats(spark, sf):
     return corpus.chunk_stats(the_chunks(spark, sf))
 
