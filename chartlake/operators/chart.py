@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chartlake.functions.fdi import chart_slots
+from chartlake.functions.fdi import arch, chart_slots, humanise_anatomy, patient_side
 from chartlake.operators.fusion import ambiguous_fdi
 
 # How findings rank on a tooth, and the confidence bands.
 RANK = {"Infection": 3, "Cavities": 2, "Wisdom": 1}
 STATUS = {"Cavities": "Caries", "Infection": "Infection", "Wisdom": "Wisdom"}
+CONDITION = {"Healthy": "Good", "Caries": "Caries", "Infection": "Periapical", "Wisdom": "Third molar", "Undetected": "Not detected"}
 BANDS = (("0.40-0.55", 0.40, 0.55), ("0.55-0.70", 0.55, 0.70), ("0.70-0.85", 0.70, 0.85), ("0.85-1.00", 0.85, 1.01))
 
 
@@ -33,13 +34,32 @@ def annotate_chart(images: DataFrame, teeth: DataFrame, findings: DataFrame) ->
     return out.select("image_id", "fdi", "slot", F.coalesce("present", F.lit(False)).alias("present"), F.coalesce("findings", F.array().cast("array<string>")).alias("findings"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
-def tooth_status(chart: DataFrame) -> DataFrame:
-    """Status of every slot by its worst finding; an undetected tooth stays Undetected."""
+def _status():
     worst = F.get("findings", F.lit(0))
     status = F.lit("Healthy")
     for label, name in STATUS.items():
         status = F.when(worst == label, name).otherwise(status)
-    return chart.select("image_id", "fdi", F.when(~F.col("present"), "Undetected").otherwise(status).alias("status"))
+    return F.when(~F.col("present"), "Undetected").otherwise(status)
+
+
+def tooth_status(chart: DataFrame) -> DataFrame:
+    """Status of every slot by its worst finding; an undetected tooth stays Undetected."""
+    return chart.select("image_id", "fdi", _status().alias("status"))
+
+
+def tooth_view(chart: DataFrame, teeth: DataFrame) -> DataFrame:
+    """Every slot as a reader sees it: name, arch and side, status and its wording, confidence in percent (0 if undetected), findings, ambiguous.
+
+    Of several boxes with one number the one with the lowest score counts, as the last of the list by falling score.
+    """
+    own = teeth.groupBy("image_id", "fdi").agg(F.min_by(F.struct("anatomy", "score"), F.struct("raw_score", -F.col("det_id"))).alias("own"))
+    rows = chart.join(own, ["image_id", "fdi"], "left").withColumn("status", _status())
+    wording = F.lit(None).cast("string")
+    for name, text in CONDITION.items():
+        wording = F.when(F.col("status") == name, text).otherwise(wording)
+    percent = F.coalesce(F.floor(F.col("own.score") * 100 + 0.5), F.lit(0)).cast("long")
+    fdi = F.col("fdi")
+    return rows.select("image_id", "fdi", "slot", humanise_anatomy(F.col("own.anatomy"), fdi).alias("name"), F.initcap(arch(fdi)).alias("arch"), F.initcap(patient_side(fdi)).alias("side"), "status", wording.alias("condition"), percent.alias("confidence"), "findings", "ambiguous")
 
 
 def condition_counts(images: DataFrame, status: DataFrame, teeth: DataFrame, restorations: DataFrame, findings: DataFrame) -> DataFrame:

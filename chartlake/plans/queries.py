@@ -132,11 +132,18 @@ def check_class_count(spark, sf):
     return boxes.class_count_violations(bind(spark, sf, SPARK_SCORES), 4)
 
 
-@query()
+DUCK_DECODED = f"""WITH RECURSIVE p AS (SELECT s.image_id, s.det_id, cls_scores, (x1+x2)/2 - (x2-x1)/2 AS x1, (y1+y2)/2 - (y2-y1)/2 AS y1, (x1+x2)/2 + (x2-x1)/2 AS x2, (y1+y2)/2 + (y2-y1)/2 AS y2 FROM ({DUCK_SCORES}) s JOIN ({B.BOXES}) b ON s.image_id = b.image_id AND s.det_id = b.det_id),
+b AS (SELECT *, list_position(cls_scores, list_max(cls_scores)) - 1 AS class_id, list_max(cls_scores) AS raw_score FROM p WHERE list_max(cls_scores) >= 0.2), {nms_sql('b', ['image_id', 'class_id'], 0.8)},
+i AS (SELECT *, least(640/h, 640/w) AS ratio FROM (SELECT DISTINCT l_orderkey AS image_id, CAST(200 + l_orderkey % 300 AS DOUBLE) AS w, CAST(300 AS DOUBLE) AS h FROM lineitem)),
+g AS (SELECT *, round_even((640 - round_even(w*ratio, 0))/2 - 0.1, 0) AS pad_x, round_even((640 - round_even(h*ratio, 0))/2 - 0.1, 0) AS pad_y FROM i)
+SELECT image_id, det_id, class_id, round(raw_score, 6) AS raw_score, round(least(raw_score*1.25, 1), 6) AS score, {', '.join(f'round(greatest(0, least(({c} - pad_{c[0]})/ratio, {m})), 6) AS {c}' for c, m in (('x1', 'w'), ('y1', 'h'), ('x2', 'w'), ('y2', 'h')))} FROM survivors JOIN g USING (image_id)"""
+
+
+@query(DUCK_DECODED)
 def decode(spark, sf):
     p = bind(spark, sf, SPARK_SCORES).join(the_boxes(spark, sf).selectExpr(*IDS, "(x1+x2)/2 AS cx", "(y1+y2)/2 AS cy", "x2-x1 AS w", "y2-y1 AS h"), IDS)
     images = bind(spark, sf, "SELECT DISTINCT l_orderkey AS image_id, 200 + l_orderkey % 300 AS w, 300 AS h FROM lineitem")
-    return boxes.decode(p, images, 4)
+    return boxes.decode(p, images, 4).select(*IDS, "class_id", "raw_score", "score", *boxes.BOX).withColumns(r6("raw_score", "score", *boxes.BOX))
 
 
 @query(f"SELECT image_id, det_id, printf('%.6f %.6f %.6f %.6f', (x1+x2+3)/2, (y1-2+y2)/2, x2+3-x1, y2-(y1-2)) AS bbox FROM ({B.BOXES})")
@@ -235,19 +242,58 @@ def compact_analysis(spark, sf):
     return fusion.compact_analysis(*fused(spark, sf))
 
 
-@query()
+#: Lists of structs as text, for the comparison.
+BOX_TEXT = "x1, y1, x2, y2"
+DUCK_LISTED = f"""lt AS (SELECT image_id, string_agg(printf('%d %s %.6f [%.6f,%.6f,%.6f,%.6f]', fdi, anatomy, score, {BOX_TEXT}), ';' ORDER BY fdi, raw_score DESC, det_id) AS teeth FROM teeth GROUP BY ALL),
+lr AS (SELECT image_id, string_agg(printf('%s %.6f [%.6f,%.6f,%.6f,%.6f]', kind, score, {BOX_TEXT}), ';' ORDER BY raw_score DESC, det_id) AS restorations FROM rest GROUP BY ALL),
+lf AS (SELECT image_id, string_agg(TEXT, ';' ORDER BY raw_score DESC, det_id) AS findings, string_agg(TEXT, ';' ORDER BY raw_score DESC, det_id) FILTER (tooth_fdi IS NULL) AS loose FROM (SELECT *, printf('%s %.6f %s %s %.6f [%.6f,%.6f,%.6f,%.6f]', label, score, coalesce(tooth_fdi::VARCHAR, '-'), coalesce(tooth_anatomy, '-'), containment, {BOX_TEXT}) AS TEXT FROM find) GROUP BY ALL)"""
+SPARK_BOX_TEXT = ", ".join(f"x.box.{c}" for c in boxes.BOX)
+LIST_TEXT = {
+    "teeth": f"format_string('%d %s %.6f [%.6f,%.6f,%.6f,%.6f]', x.fdi, x.anatomy, x.confidence, {SPARK_BOX_TEXT})",
+    "restorations": f"format_string('%s %.6f [%.6f,%.6f,%.6f,%.6f]', x.kind, x.confidence, {SPARK_BOX_TEXT})",
+    "findings": f"format_string('%s %.6f %s %s %.6f [%.6f,%.6f,%.6f,%.6f]', x.label, x.confidence, coalesce(cast(x.tooth_fdi as string), '-'), coalesce(x.tooth_anatomy, '-'), x.containment, {SPARK_BOX_TEXT})",
+}
+
+
+def list_text(column: str, kind: str | None = None):
+    return F.expr(f"array_join(transform({column}, x -> {LIST_TEXT[kind or column]}), ';')").alias(column)
+
+
+def analyses(spark, sf, teeth, rest, found):
+    images = the_images(spark, sf).select("image_id", (F.col("image_id") % 300 + 340).alias("image_width"), F.lit(640).alias("image_height"))
+    return fusion.assemble_analysis(images, teeth, rest, found)
+
+
+@query(f"{FUSED}, {DUCK_LISTED} SELECT image_id, image_id % 300 + 340 AS image_width, 640 AS image_height, teeth, restorations, findings, list_aggregate(ambiguous, 'string_agg', ',') AS ambiguous_fdi FROM images LEFT JOIN lt USING (image_id) LEFT JOIN lr USING (image_id) LEFT JOIN lf USING (image_id) LEFT JOIN amb USING (image_id)")
 def assemble_analysis(spark, sf):
-    images = the_images(spark, sf).select("image_id", F.lit(640).alias("image_width"), F.lit(640).alias("image_height"))
-    return fusion.assemble_analysis(images, *fused(spark, sf))
+    a = analyses(spark, sf, *fused(spark, sf))
+    return a.select("image_id", "image_width", "image_height", *map(list_text, LIST_TEXT), F.array_join(F.col("ambiguous_fdi").cast("array<string>"), ",").alias("ambiguous_fdi"))
 
 
-@query()
+DUCK_VIEW = f"""own AS (SELECT image_id, fdi, arg_min(anatomy, (raw_score, -det_id)) AS anatomy, arg_min(score, (raw_score, -det_id)) AS score FROM teeth GROUP BY ALL),
+tv AS (SELECT c.image_id, c.fdi, c.slot, array_to_string(list_transform(string_split(anatomy, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS name, CASE WHEN c.fdi < 30 THEN 'Upper' ELSE 'Lower' END AS arch, CASE WHEN c.fdi // 10 IN (1, 4) THEN 'Right' ELSE 'Left' END AS side, s.status,
+ CASE s.status WHEN 'Healthy' THEN 'Good' WHEN 'Caries' THEN 'Caries' WHEN 'Infection' THEN 'Periapical' ELSE 'Third molar' END AS condition, CAST(floor(score*100 + 0.5) AS BIGINT) AS confidence, c.findings, c.ambiguous FROM chart c JOIN status s ON s.image_id = c.image_id AND s.fdi = c.fdi JOIN own o ON o.image_id = c.image_id AND o.fdi = c.fdi),
+lv AS (SELECT image_id, string_agg(printf('%d %s, %s %s: %s (%s) %d', fdi, name, arch, side, status, condition, confidence) || CASE WHEN len(findings) > 0 THEN ' ' || array_to_string(findings, ',') ELSE '' END || CASE WHEN ambiguous THEN ' ?' ELSE '' END, ';' ORDER BY slot) AS teeth FROM tv GROUP BY ALL)"""
+COUNTED = ("detected", "healthy", "caries", "infection", "wisdom", "missing", "restorations")
+REPORT_BOX = "box struct<x1:double,y1:double,x2:double,y2:double>"
+REPORT = f"""image_size struct<width:long,height:long>, counts struct<{','.join(f'{c}:long' for c in COUNTED)}>, teeth array<struct<fdi:int,name:string,arch:string,side:string,status:string,condition:string,confidence:long,findings:array<string>,ambiguous:boolean>>,
+ unattributed_findings array<struct<label:string,confidence:double,tooth_fdi:int,tooth_anatomy:string,containment:double,{REPORT_BOX.replace(' ', ':', 1)}>>, restorations array<struct<kind:string,confidence:double,{REPORT_BOX.replace(' ', ':', 1)}>>, ambiguous_fdi array<int>, summary string"""
+
+
+@query(f"""WITH RECURSIVE s AS ({ORACLE['describe_finding']}), a AS ({FUSED}, {DUCK_LISTED}, {DUCK_VIEW} SELECT image_id, image_id % 300 + 340 AS width, 640 AS height, {', '.join(f'counts.{c} AS n_{c}' for c in COUNTED)}, coalesce(lv.teeth, '') AS teeth, coalesce(loose, '') AS unattributed_findings, coalesce(lr.restorations, '') AS restorations, coalesce(list_aggregate(ambiguous, 'string_agg', ','), '') AS ambiguous_fdi
+ FROM images JOIN counts USING (image_id) LEFT JOIN lv USING (image_id) LEFT JOIN lr USING (image_id) LEFT JOIN lf USING (image_id) LEFT JOIN amb USING (image_id))
+SELECT a.*, s.summary FROM a LEFT JOIN s USING (image_id)""")
 def export_report(spark, sf):
+    """The reports, read again from their JSON."""
     from chartlake.sources.readers import export_report as report
 
     teeth, rest, found = fused(spark, sf)
-    a = fusion.assemble_analysis(the_images(spark, sf).withColumns({"image_width": F.lit(640), "image_height": F.lit(640)}), teeth, rest, found)
-    return report(a.join(fusion.summary_text(teeth, rest, found), "image_id", "left"))
+    slots = chart.annotate_chart(the_images(spark, sf), teeth, found)
+    counts = chart.condition_counts(the_images(spark, sf), chart.tooth_status(slots), teeth, rest, found).select("image_id", *COUNTED)
+    written = report(analyses(spark, sf, teeth, rest, found).join(fusion.summary_text(teeth, rest, found), "image_id", "left"), chart.tooth_view(slots, teeth), counts)
+    r = written.select("image_id", F.from_json("report", REPORT).alias("r")).select("image_id", "r.*")
+    seen = "array_join(transform(teeth, x -> concat(format_string('%d %s, %s %s: %s (%s) %d', x.fdi, x.name, x.arch, x.side, x.status, x.condition, x.confidence), if(size(x.findings) > 0, concat(' ', array_join(x.findings, ',')), ''), if(x.ambiguous, ' ?', ''))), ';') AS teeth"
+    return r.select("image_id", "image_size.*", *[F.col(f"counts.{c}").alias(f"n_{c}") for c in COUNTED], F.expr(seen), list_text("unattributed_findings", "findings"), list_text("restorations"), F.array_join(F.col("ambiguous_fdi").cast("array<string>"), ",").alias("ambiguous_fdi"), "summary")
 
 
 @query(f"{FUSED} SELECT image_id, det_id, kind, label, tooth_fdi, count(*) OVER (PARTITION BY image_id) AS total FROM (SELECT image_id, det_id, CASE WHEN tooth_fdi IS NULL THEN 'unattributed' ELSE 'attributed' END AS kind, label, tooth_fdi FROM find UNION ALL SELECT image_id, det_id, 'restoration', kind, NULL FROM rest)")
@@ -1139,7 +1185,7 @@ def detection_eval(spark, sf):
     return the_eval(spark, sf)
 
 
-@query()
+@query("SELECT class_id, round(avg(ap), 6) AS map FROM (" + " UNION ALL ".join(f"SELECT class_id, ap FROM ({EVAL.replace('>= 0.5 ', f'>= {t} ')}) e" for t in datasets.THRESHOLDS) + ") m GROUP BY class_id")
 def detection_map(spark, sf):
     return datasets.mean_ap(the_boxes(spark, sf), bind(spark, sf, B.TRUTH))
 

@@ -67,9 +67,19 @@ def write_stage(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def export_report(analyses: DataFrame, disclaimer: str = "Screening aid, not a diagnosis.") -> DataFrame:
-    """One JSON document per image from assembled analyses: counts, teeth, findings apart by attribution, restorations, summary."""
-    split = lambda yes: F.filter("findings", lambda x: x["tooth_fdi"].isNotNull() if yes else x["tooth_fdi"].isNull())
-    n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    counts = F.struct(F.greatest(n("teeth"), F.lit(0)).alias("teeth"), F.greatest(n("findings"), F.lit(0)).alias("findings"), F.greatest(n("restorations"), F.lit(0)).alias("restorations"))
-    return analyses.select("image_id", F.to_json(F.struct(F.col("image_id"), counts.alias("counts"), F.col("teeth").alias("detected_teeth"), split(True).alias("attributed"), split(False).alias("unattributed"), "restorations", "ambiguous_fdi", "summary", F.lit(disclaimer).alias("disclaimer"))).alias("report"))
+def export_report(analyses: DataFrame, view: DataFrame, counts: DataFrame, disclaimer: str = "Screening aid, not a diagnosis.") -> DataFrame:
+    """One JSON document per image: its size, counts by condition, the detected teeth with their status in viewer order, findings
+    without a tooth, restorations, ambiguous numbers, summary.
+
+    analyses: assembled analyses with a summary; view: the chart's slots as a reader sees them; counts: conditions per image.
+    An image without teeth, findings or restorations has empty lists.
+    """
+    tooth = F.struct("slot", *[F.col(c) for c in view.columns if c not in ("image_id", "slot")])
+    teeth = view.where("status <> 'Undetected'").groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(tooth)), lambda t: t.dropFields("slot")).alias("charted"))
+    sums = counts.select("image_id", F.struct(*[F.col(c) for c in counts.columns if c != "image_id"]).alias("counts"))
+    a = analyses.join(teeth, "image_id", "left").join(sums, "image_id", "left")
+    listed = lambda c: F.coalesce(c, F.array())
+    loose = F.filter("findings", lambda f: f["tooth_fdi"].isNull())
+    size = F.struct(F.col("image_width").alias("width"), F.col("image_height").alias("height"))
+    parts = [size.alias("image_size"), "counts", listed(F.col("charted")).alias("teeth"), listed(loose).alias("unattributed_findings"), listed(F.col("restorations")).alias("restorations"), listed(F.col("ambiguous_fdi")).alias("ambiguous_fdi"), "summary", F.lit(disclaimer).alias("disclaimer")]
+    return a.select("image_id", F.to_json(F.struct("image_id", *parts)).alias("report"))
