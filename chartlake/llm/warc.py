@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlake.llm.common import reshuffled
+from chartlake.llm.common import reshuffled, staged
 
 #: Fixed values of the WARC 1.1 format.
 VERSION, END = "WARC/1.1", "\r\n\r\n"
@@ -105,13 +105,22 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every record under path: record_id, record_type, page_id, url, refers_to_id, payload_digest (of the header), payload (empty for revisits)."""
+    """Every record under path: record_id, record_type, page_id, url, refers_to_id, payload_digest (of the header), payload (empty for revisits).
+
+    A page id or url that the header lacks is null; repeated records are all returned; archives without records give no rows; a record is
+    read whole, however long. Bytes that are no record, or a length that does not fit, end the read with an error.
+    """
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(_parse, _RECORD)
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Per record page_id, payload_bytes, payload_digest, record_type, refers_to, where a revisit's figures are measured on its response's payload."""
-    r = records.select("record_id", "record_type", "page_id", "refers_to_id", F.length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest"))
+    """Per record page_id, payload_bytes, payload_digest, record_type, refers_to, where a revisit's figures are measured on its response's payload.
+
+    Null page ids stay null, repeated rows stay repeated, no records give no rows; payloads are measured whole, however long; columns
+    other than those of a record are not read. A revisit whose response is missing has null figures and refers to nothing.
+    """
+    # what follows reads the headers three times: they are staged, so that the archives are parsed once
+    r = staged(records.select("record_id", "record_type", "page_id", "refers_to_id", F.length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest")), "heads")
     origin = r.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("to_page"), F.min("bytes").alias("to_bytes"), F.min("digest").alias("to_digest"))
     # responses refer to nothing and are not joined
     own = r.where("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
