@@ -115,19 +115,27 @@ def nearby(cities: DataFrame, places: DataFrame, radius_m: float = 10_000, limit
     """Places within the radius of each city, the nearest first: an equi-join on cells of a grid around the sphere.
 
     Points are cells of (x, y, z) with sides of two chords of the radius; a city asks the cells within a chord of it, one or two an
-    axis. So the result is whole everywhere. Rows without coordinates are near nothing.
+    axis. So the result is whole everywhere. Rows without coordinates are near nothing. Positions meet once, however many rows share
+    them: of the places at one position only the first ``limit`` can be listed, and of the positions around a city only the first
+    ``limit`` by distance and least place.
     """
     chord = max(2 * math.sin(min(radius_m / (2 * EARTH_M), math.pi / 2)), 1e-7) * (1 + 1e-9)
     cell = lambda c: F.floor(c / (2 * chord))
-    axes = ("_x", "_y", "_z")
+    axes, city, spot = ("_x", "_y", "_z"), ["clat", "clon"], ["lat", "lon"]
     known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    c = cities.where(known).select("city_id", F.col("lat").alias("clat"), F.col("lon").alias("clon"), *[p.alias(f"p{a}") for a, p in zip(axes, _on_sphere(F.col("lat"), F.col("lon")), strict=True)])
+    # + 0.0 makes one zero of the two
+    at = lambda df, key, lat, lon: df.where(known).select(key, (F.col("lat").cast("double") + 0.0).alias(lat), (F.col("lon").cast("double") + 0.0).alias(lon))
+    named = at(cities, "city_id", *city)
+    c = named.select(*city).distinct().select(*city, *[p.alias(f"p{a}") for a, p in zip(axes, _on_sphere(F.col("clat"), F.col("clon")), strict=True)])
     for a in axes:
         c = c.withColumn(a, F.explode(F.sequence(cell(F.col(f"p{a}") - chord), cell(F.col(f"p{a}") + chord))))
-    p = places.where(known).select("place_id", "lat", "lon", *[cell(x).alias(a) for a, x in zip(axes, _on_sphere(F.col("lat"), F.col("lon")), strict=True)])
+    first = lambda rows, by, *order: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= limit)
+    p = first(at(places, "place_id", *spot), spot, "place_id").groupBy(*spot).agg(F.sort_array(F.collect_list("place_id")).alias("ids"))
+    p = p.select("*", *[cell(x).alias(a) for a, x in zip(axes, _on_sphere(F.col("lat"), F.col("lon")), strict=True)])
     j = c.join(p, list(axes)).withColumn("distance", F.round(haversine_m(F.col("clat"), F.col("clon"), F.col("lat"), F.col("lon")), 3)).where(F.col("distance") <= radius_m)
-    w = Window.partitionBy("city_id").orderBy("distance", "place_id")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("city_id", "rank", "place_id", "distance")
+    near = first(j.select(*city, "distance", "ids"), city, "distance", F.get("ids", F.lit(0))).select(*city, "distance", F.explode("ids").alias("place_id"))
+    own = named.join(first(near, city, "distance", "place_id").drop("rank"), city)
+    return first(own, ["city_id"], "distance", "place_id").select("city_id", "rank", "place_id", "distance")
 
 
 def parse_geocode(df: DataFrame, col: str = "payload") -> DataFrame:
