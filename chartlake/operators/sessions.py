@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chartlake.operators.scan import running
+from chartlake.sources.staging import staged
 
 USD_IN, USD_OUT = 3.0, 15.0
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -112,6 +115,26 @@ def latency_quantiles(sketches: DataFrame) -> DataFrame:
     return sketches.withColumns({name: F.when(known, F.kll_sketch_get_quantile_double("sketch", F.lit(q))) for name, q in QUANTILES.items()}).drop("sketch")
 
 
+def latency_counts(calls: DataFrame, by: list[str], window: str = "1 hour") -> DataFrame:
+    """Calls per latency, group and tumbling window: what exact quantiles need, and mergeable as sketches are, but a row per different latency."""
+    return calls.groupBy(F.window("ts", window).alias("w"), *by, F.col("took").cast("double").alias("took")).agg(F.count("*").alias("calls")).select(F.col("w.start").alias("window_start"), *by, "took", "calls")
+
+
+def exact_quantiles(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Calls, p50, p95 and p99 per group of counted latencies (by, took, calls): the least latency that so many of all are at or below.
+
+    The counts are added up over range partitions, so no task holds a group. Null for a group without a latency.
+    """
+    per = counts.groupBy(*by, "took").agg(F.sum("calls").alias("calls"))
+    run = running(per.withColumn("known", F.when(F.col("took").isNotNull(), F.col("calls")).otherwise(0)), {"upto": "known"}, ["took"], tuple(by))
+    run = staged(run, "latencies")
+    totals = run.groupBy(*by).agg(F.sum("calls").alias("all_calls"), F.sum("known").alias("all_known")).select(*[F.col(c).alias(f"_{c}") for c in by], "all_calls", "all_known")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    rank = lambda q: F.ceil(F.round(F.lit(q) * F.col("all_known"), 7))
+    least = {n: F.min(F.when((F.col("known") > 0) & (F.col("upto") >= rank(q)), F.col("took"))).alias(n) for n, q in QUANTILES.items()}
+    return run.join(totals, same).groupBy(*by).agg(F.first("all_calls").alias("calls"), *least.values())
+
+
 def prune_tool_results(messages: DataFrame, keep: int = 1, stub: str = "[pruned]") -> DataFrame:
     """Texts of all but the newest `keep` tool results of a conversation are blanked; ids stay."""
     w = Window.partitionBy("conv_id", "is_result").orderBy(F.desc("turn"))

@@ -84,3 +84,9 @@ def stream_latency(calls: DataFrame, by: list[str], window: str = "1 hour", late
     """Latency sketches of closed tumbling windows, in append mode; they merge as those of ``latency_sketches`` do."""
     per = calls.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), *by).agg(F.count("*").alias("calls"), F.kll_sketch_agg_double(F.col("took").cast("double"), F.lit(k)).alias("sketch"))
     return per.select(F.col("w.start").alias("window_start"), *by, "calls", "sketch")
+
+
+def stream_latency_counts(calls: DataFrame, by: list[str], window: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Calls per latency of closed tumbling windows, in append mode, as ``latency_counts`` has them: the state holds a row per different latency."""
+    per = calls.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), *by, F.col("took").cast("double").alias("took")).agg(F.count("*").alias("calls"))
+    return per.select(F.col("w.start").alias("window_start"), *by, "took", "calls")
