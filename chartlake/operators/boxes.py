@@ -7,12 +7,15 @@ compared as float.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chartlake.operators.scan import running
 from chartlake.sources.staging import staged
@@ -147,7 +150,7 @@ SMALL, BATCH = 256, 16_384
 def nms(df: DataFrame, by: list[str], threshold: float, score: str = "raw_score", key: str = "det_id", small: int = SMALL, batch: int = BATCH) -> DataFrame:
     """Greedy suppression per group: best score first (ties by least key), a box goes if it overlaps a kept one by more than the threshold.
 
-    A group of at most ``small`` boxes, as detectors give, is one fold over its sorted boxes. Larger groups are ranked by a running count
+    A group of at most ``small`` boxes, as detectors give, is decided in one task, many groups at once. Larger groups are ranked by a running count
     and decided ``batch`` ranks at a time: a round drops what the boxes kept before overlap, met in grid cells, and folds the rest of
     its batch. So no task holds more than a batch of a group, however many boxes it has. Coordinates are finite numbers.
     """
@@ -159,12 +162,61 @@ def nms(df: DataFrame, by: list[str], threshold: float, score: str = "raw_score"
 
 
 def _fold(df: DataFrame, by: list[str], threshold: float, score: str, key: str) -> DataFrame:
-    limit = _like(df, score, threshold)
-    row = F.struct((-F.col(score)).alias("_s"), F.col(key).alias("_k"), F.struct(*df.columns).alias("row"))
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    boxes = lambda s: [s["row"][c] for c in BOX]
-    kept = F.aggregate("_rows", F.slice("_rows", 1, 0), lambda acc, c: F.when(F.exists(acc, lambda k: iou(boxes(k), boxes(c)) > limit), acc).otherwise(F.array_append(acc, c)))
-    return rows.select(F.explode(F.transform(kept, lambda s: s["row"])).alias("row")).select("row.*")
+    """The rows that stay, of groups that fit into memory: groups come whole and sorted to a task, which decides a batch of them at once."""
+    limit = float(df.sparkSession.range(1).select(_like(df, score, threshold).cast("double")).head()[0])
+    names = df.columns
+    best = Window.partitionBy(*by).orderBy(-F.col(score), key, F.struct(*names))
+    flat = df.select("*", F.row_number().over(best).alias("_rank"), *[F.col(c).cast("double").alias(f"_{c}") for c in BOX])
+
+    def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches):
+            box = [t.column(f"_{c}").to_numpy(zero_copy_only=False).astype(np.float64) for c in BOX]
+            kept = _stays(t.column("_rank").to_numpy(zero_copy_only=False), box, limit)
+            yield from t.select(names).filter(pa.array(kept)).combine_chunks().to_batches()
+
+    return flat.mapInArrow(stay, df.schema)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups: what the last group of a batch may still get waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        starts = np.flatnonzero(b.column("_rank").to_numpy(zero_copy_only=False) == 1)
+        if not len(starts):
+            held.append(b)
+            continue
+        cut = int(starts[-1])
+        if held or cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+        held = [b.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _stays(rank: np.ndarray, box: list[np.ndarray], limit: float) -> np.ndarray:
+    """Which boxes of groups in order (rank 1 starts one) stay: the n-th boxes of all groups drop the later ones that they overlap, n by n.
+
+    A missing coordinate is passed over, as Spark's least and greatest do.
+    """
+    n = len(rank)
+    start = np.flatnonzero(rank == 1)
+    size = np.diff(np.append(start, n))
+    end = np.repeat(start + size, size)
+    x1, y1, x2, y2 = box
+    area = np.fmax(x2 - x1, 0.0) * np.fmax(y2 - y1, 0.0)
+    alive = np.ones(n, dtype=bool)
+    for step in range(int(size.max(initial=1)) - 1):
+        k = start[size > step + 1] + step
+        k = k[alive[k]]
+        left = end[k] - k - 1
+        # rows after k in its group: k + 1, k + 2, ...
+        a = np.repeat(k, left)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
+        inter = np.fmax(np.fmin(x2[a], x2[b]) - np.fmax(x1[a], x1[b]), 0.0) * np.fmax(np.fmin(y2[a], y2[b]) - np.fmax(y1[a], y1[b]), 0.0)
+        union = area[a] + area[b] - inter
+        share = np.divide(inter, union, out=np.zeros(len(a)), where=union > 0)
+        alive[b[share > limit]] = False
+    return alive
 
 
 def _in_rounds(df: DataFrame, by: list[str], threshold: float, score: str, key: str, batch: int) -> DataFrame:

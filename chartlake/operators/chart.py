@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chartlake.functions.fdi import arch, chart_slots, humanise_anatomy, patient_side
-from chartlake.operators.fusion import ambiguous_fdi
 
 # How findings rank on a tooth, and the confidence bands.
 RANK = {"Infection": 3, "Cavities": 2, "Wisdom": 1}
@@ -24,14 +23,19 @@ def _rank(label):
 
 
 def annotate_chart(images: DataFrame, teeth: DataFrame, findings: DataFrame) -> DataFrame:
-    """Every image with all 32 slots: present, findings (labels, worst first), ambiguous. The slots are 32 rows, broadcast."""
-    grid = images.select("image_id").crossJoin(F.broadcast(chart_slots(images.sparkSession).select("fdi", "slot")))
-    present = teeth.groupBy("image_id", "fdi").agg(F.lit(True).alias("present"))
+    """Every image with all 32 slots: present, findings (labels, worst first), ambiguous. The slots are 32 rows, broadcast.
+
+    What is known of an image's slots is joined as one map, so that the slots are dealt out after the join, not before.
+    """
     order = F.struct((-_rank(F.col("label"))).alias("r"), (-F.col("score")).alias("c"), F.col("det_id").alias("d"), F.col("label").alias("v"))
-    found = findings.where("tooth_fdi is not null").groupBy("image_id", F.col("tooth_fdi").alias("fdi")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["v"]).alias("findings"))
-    unclear = ambiguous_fdi(teeth).select("image_id", F.explode("ambiguous").alias("fdi"), F.lit(True).alias("ambiguous"))
-    out = grid.join(present, ["image_id", "fdi"], "left").join(found, ["image_id", "fdi"], "left").join(unclear, ["image_id", "fdi"], "left")
-    return out.select("image_id", "fdi", "slot", F.coalesce("present", F.lit(False)).alias("present"), F.coalesce("findings", F.array().cast("array<string>")).alias("findings"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+    present = teeth.groupBy("image_id", "fdi").agg(F.count("*").alias("n"), F.lit(None).cast("array<string>").alias("found"))
+    found = findings.where("tooth_fdi is not null").groupBy("image_id", F.col("tooth_fdi").alias("fdi")).agg(F.lit(0).cast("long").alias("n"), F.array_sort(F.collect_list(order))["v"].alias("found"))
+    both = present.unionAll(found).where("fdi is not null").groupBy("image_id", "fdi").agg(F.sum("n").alias("n"), F.first("found", ignorenulls=True).alias("found"))
+    known = both.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("fdi", F.struct("n", "found")))).alias("known"))
+    slots = F.broadcast(chart_slots(images.sparkSession).select("fdi", "slot"))
+    out = images.select("image_id").join(known, "image_id", "left").crossJoin(slots).withColumn("own", F.try_element_at("known", F.col("fdi").cast(known.schema["known"].dataType.keyType)))
+    n = F.coalesce("own.n", F.lit(0))
+    return out.select("image_id", "fdi", "slot", (n > 0).alias("present"), F.coalesce("own.found", F.array().cast("array<string>")).alias("findings"), (n > 1).alias("ambiguous"))
 
 
 def _status():
