@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chartlake.operators.boxes import BOX, iou
+from chartlake.sources.staging import staged
 
 
 def class_distribution(annotations: DataFrame, classes: DataFrame, splits: DataFrame) -> DataFrame:
@@ -66,7 +69,9 @@ def match_levels(preds: DataFrame, truth: DataFrame, thresholds: tuple[float, ..
             free = F.get(F.filter(p["opts"], lambda o: (-o["o"] >= threshold) & ~F.array_contains(a["used"], o["t"])), F.lit(0))
             return F.when(free.isNull(), a).otherwise(F.named_struct(F.lit("used"), F.array_append(a["used"], free["t"].cast("long")), F.lit("hits"), F.array_append(a["hits"], p["d"].cast("long"))))
 
-        return F.aggregate("ps", zero, step)["hits"]
+        only = F.get("ps", F.lit(0))  # of one prediction, its best option decides
+        alone = F.when(-F.get(only["opts"], F.lit(0))["o"] >= threshold, F.array(only["d"].cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size("ps") == 1, alone).otherwise(F.aggregate("ps", zero, step)["hits"])
 
     found = group.select("image_id", "class_id", *[fold(t).alias(f"h{i}") for i, t in enumerate(thresholds)], F.explode(F.transform("ps", lambda p: p["d"])).alias("det_id"))
     found = found.select("image_id", "class_id", "det_id", F.array(*[F.array_contains(f"h{i}", F.col("det_id")) for i in range(len(thresholds))]).alias("hits"))
@@ -74,54 +79,71 @@ def match_levels(preds: DataFrame, truth: DataFrame, thresholds: tuple[float, ..
     return preds.join(found, ["image_id", "class_id", "det_id"], "left").withColumn("hits", F.coalesce("hits", none))
 
 
-def _curves(matched: DataFrame, n_truth: DataFrame, by: list[str]) -> DataFrame:
-    """ap, precision and recall per group (by) of matched predictions (hit), by 101 recall points under the falling precision hull.
+def _curves(matched: DataFrame, n_truth: DataFrame, by: list[str], levels: int = 1) -> DataFrame:
+    """ap, precision and recall per group (by) and level of matched predictions (hits, a flag per level), by 101 recall points under the falling precision hull.
 
-    Two levels: a group's score ranges are windows of their own, and a row per range carries the sums of the ranges
-    before it and the greatest precision of those after it, so that no task holds a group.
+    Two levels of order: a group's score ranges are windows of their own, and a row per range carries the sums of the ranges
+    before it and the greatest precision of those after it, so that no task holds a group. The predictions are staged and sorted once for all
+    levels; only rows at which a recall point is reached, 101 a group and level at most, leave their range.
     """
-    ranged = matched.withColumn("_range", F.floor(F.least(F.greatest(F.col("raw_score"), F.lit(0.0)), F.lit(1.0)) * (RANGES - 1)))
-    order = [F.desc("raw_score"), "image_id", "det_id"]
-    inner = Window.partitionBy(*by, "_range").orderBy(*order)
-    per = ranged.groupBy(*by, "_range").agg(F.sum(F.col("hit").cast("long")).alias("_tp"), F.count("*").alias("_k"))
+    ids, each = ["raw_score", "image_id", "det_id"], range(levels)
+    ranged = matched.select(*by, *ids, F.floor(F.least(F.greatest(F.col("raw_score"), F.lit(0.0)), F.lit(1.0)) * (RANGES - 1)).alias("_range"), *[F.col("hits")[i].cast("int").alias(f"_h{i}") for i in each])
+    ranged = staged(ranged, "matched")
+    per = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_k"), *[F.sum(f"_h{i}").alias(f"_t{i}") for i in each])
     above = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    base = per.select(*by, "_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in ("_tp", "_k")])
-    c = ranged.join(base, [*by, "_range"]).join(n_truth, by)
+    base = per.select(*by, "_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in ("_k", *[f"_t{i}" for i in each])])
+    inner = Window.partitionBy(*by, "_range").orderBy(F.desc("raw_score"), "image_id", "det_id")
     run = inner.rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumns({"tp": F.col("_tp0") + F.sum(F.col("hit").cast("long")).over(run), "k": F.col("_k0") + F.row_number().over(inner)})
-    c = c.withColumns({"p": F.col("tp") / F.col("k"), "r": F.col("tp") / F.col("n_truth"), "prev": F.col("tp") - F.col("hit").cast("long")})
+    c = ranged.select("*", F.row_number().over(inner).alias("_n"), *[F.sum(f"_h{i}").over(run).alias(f"_s{i}") for i in each])
+    # between hits precision falls, so hits alone make the hull
+    c = c.where(" OR ".join(f"_h{i} = 1" for i in each)).join(F.broadcast(base.join(n_truth, by)), [*by, "_range"])
+    tp = [F.col(f"_t{i}0") + F.col(f"_s{i}") for i in each]
+    at = lambda n: F.floor(100 * n / F.col("n_truth") + 1e-9)
+    # a recall point is reached first at the row where recall passes it
+    points = [F.when(F.col(f"_h{i}") == 1, at(tp[i]) - at(tp[i] - 1) + F.when(tp[i] == 1, 1).otherwise(0)).otherwise(0) for i in each]
+    c = c.select(*by, *ids, "_range", *[F.when(F.col(f"_h{i}") == 1, tp[i] / (F.col("_k0") + F.col("_n"))).alias(f"_p{i}") for i in each], *[points[i].alias(f"_n{i}") for i in each])
     back = Window.partitionBy(*by, "_range").orderBy("raw_score", F.desc("image_id"), F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("_ph", F.max("p").over(back))
+    c = c.select(*by, "_range", *[f"_p{i}" for i in each], *[f"_n{i}" for i in each], *[F.max(f"_p{i}").over(back).alias(f"_ph{i}") for i in each])
+    tops = c.groupBy(*by, "_range").agg(*[F.max(f"_p{i}").alias(f"_top{i}") for i in each], *[F.collect_list(F.when(F.col(f"_n{i}") > 0, F.struct(F.col(f"_n{i}").alias("n"), F.col(f"_ph{i}").alias("p")))).alias(f"_pts{i}") for i in each])
     lower = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    tops = c.groupBy(*by, "_range").agg(F.max("p").alias("_top")).select(*by, "_range", F.max("_top").over(lower).alias("_below"))
-    # a recall point is reached first at the row where recall passes it
-    points = F.floor(100 * F.col("tp") / F.col("n_truth") + 1e-9) - F.floor(100 * F.col("prev") / F.col("n_truth") + 1e-9) + F.when((F.col("prev") == 0) & (F.col("tp") > 0), 1).otherwise(0)
-    h = c.join(tops, [*by, "_range"]).withColumn("_ph", F.greatest("_ph", "_below")).withColumn("_points", points)
-    ap = h.groupBy(*by).agg(F.round(F.sum(F.col("_points") * F.col("_ph")) / 101, 6).alias("ap"), F.round(F.max_by("p", "k"), 6).alias("precision"), F.round(F.max("r"), 6).alias("recall"))
-    return n_truth.join(ap, by, "left").na.fill(0.0, ["ap", "precision", "recall"])
+    h = tops.select(*by, *[f"_pts{i}" for i in each], *[F.max(f"_top{i}").over(lower).alias(f"_below{i}") for i in each])
+
+    def hull(i: int) -> Column:
+        return F.aggregate(f"_pts{i}", F.lit(0.0), lambda a, x: a + x["n"] * F.greatest(x["p"], F.col(f"_below{i}")))
+
+    ap = h.groupBy(*by).agg(*[F.round(F.sum(hull(i)) / 101, 6).alias(_name("ap", i, levels)) for i in each])
+    ends = per.groupBy(*by).agg(F.sum("_k").alias("_k"), *[F.sum(f"_t{i}").alias(f"_t{i}") for i in each]).join(n_truth, by)
+    ends = ends.select(*by, *[c.alias(_name(n, i, levels)) for i in each for n, c in (("precision", F.round(F.col(f"_t{i}") / F.col("_k"), 6)), ("recall", F.round(F.col(f"_t{i}") / F.col("n_truth"), 6)))])
+    out = n_truth.join(ap, by, "left").join(ends, by, "left")
+    names = [_name(n, i, levels) for n in ("ap", "precision", "recall") for i in each]
+    return out.select(*n_truth.columns, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+
+
+def _name(what: str, level: int, levels: int) -> str:
+    return what if levels == 1 else f"{what}{level}"
 
 
 def detection_eval(preds: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """precision, recall and average precision (101 recall points, falling precision hull) per class."""
     n_truth = truth.groupBy("class_id").agg(F.count("*").alias("n_truth"))
-    return _curves(match_detections(preds, truth, threshold), n_truth, ["class_id"])
+    return _curves(match_levels(preds, truth, (threshold,)), n_truth, ["class_id"])
 
 
 def evaluation_report(preds: DataFrame, truth: DataFrame, splits: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per split (image_id, split) and class: n_truth, ap, precision, recall, and a row with class_id null for the mean over the split's classes."""
     of = lambda df: df.join(splits, "image_id")
     n_truth = of(truth).groupBy("split", "class_id").agg(F.count("*").alias("n_truth"))
-    per = _curves(of(match_detections(preds, truth, threshold)), n_truth, ["split", "class_id"])
+    per = staged(_curves(of(match_levels(preds, truth, (threshold,))), n_truth, ["split", "class_id"]), "curves")
     every = per.groupBy("split").agg(F.sum("n_truth").alias("n_truth"), *[F.round(F.avg(c), 6).alias(c) for c in ("ap", "precision", "recall")])
     return per.unionByName(every, allowMissingColumns=True)
 
 
 def mean_ap(preds: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """Mean of the average precision over overlap thresholds, per class; matched once."""
-    m = match_levels(preds, truth, thresholds)
-    long = m.select(*preds.columns, F.posexplode("hits").alias("level", "hit"))
-    n_truth = truth.groupBy("class_id").agg(F.count("*").alias("n_truth")).crossJoin(preds.sparkSession.range(len(thresholds)).select(F.col("id").cast("int").alias("level")))  # a few levels
-    return _curves(long, n_truth, ["class_id", "level"]).groupBy("class_id").agg(F.round(F.avg("ap"), 6).alias("map"))
+    """Mean of the average precision over overlap thresholds, per class; matched and sorted once."""
+    n_truth = truth.groupBy("class_id").agg(F.count("*").alias("n_truth"))
+    curves = _curves(match_levels(preds, truth, thresholds), n_truth, ["class_id"], len(thresholds))
+    total = reduce(Column.__add__, [F.col(_name("ap", i, len(thresholds))) for i in range(len(thresholds))])
+    return curves.select("class_id", F.round(total / len(thresholds), 6).alias("map"))
 
 
 def metric_parity(a: DataFrame, b: DataFrame, keys: list[str], metric: str = "ap", tolerance: float = 0.002) -> DataFrame:
