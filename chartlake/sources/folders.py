@@ -7,11 +7,16 @@ file sources do; contents are read and written by the tasks.
 from __future__ import annotations
 
 import fnmatch
+import posixpath
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 #: Bytes of the files that one task reads, and what a file costs besides its bytes.
@@ -78,7 +83,9 @@ class _Reading:
                 yield name, length, "too_large" if length else "empty", None
                 continue
             with fs.open_input_stream(name, compression=None) as f:
-                content = f.read(self.limit + 1)
+                content = f.read(min(length, self.limit) + 1)
+                if len(content) > length:  # the file has grown since it was listed
+                    content += f.read(self.limit + 1 - len(content))
             good = 0 < len(content) <= self.limit  # the file may have grown or been cut since it was listed
             yield name, len(content) if good else length, "ok" if good else "too_large" if content else "empty", content if good else None
 
@@ -119,34 +126,51 @@ class NamedFiles(DataSource):
         return NamedFileWriter(self.options["path"])
 
 
-class NamedFileWriter(DataSourceWriter):
+class NamedFileWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
         self.path = path
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
-        import itertools
-        import posixpath
-        import uuid
-
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = opened(self.path)
-        made = []
-        for name, rows in itertools.groupby(iterator, key=lambda r: r["file"]):
-            target = posixpath.join(root, name)
-            folder, base = posixpath.split(target)
-            if ".." in name.split("/") or not base:
-                raise ValueError(f"not a file name below the folder: {name!r}")
-            fs.create_dir(folder, recursive=True)
-            part = posixpath.join(folder, f".{base}.{uuid.uuid4().hex}")
-            with fs.open_output_stream(part, compression=None) as out:
-                for r in rows:
-                    if r["content"] is not None:
-                        out.write(r["content"].encode() if isinstance(r["content"], str) else bytes(r["content"]))
-            made.append((part, target))
+        made, folders, now, out = [], set(), None, None
+        try:
+            for batch in iterator:
+                for name, content in runs(batch):
+                    if out is None or name != now:
+                        if out is not None:
+                            out.close()
+                        folder, base = posixpath.split(posixpath.join(root, name))
+                        if ".." in name.split("/") or not base:
+                            raise ValueError(f"not a file name below the folder: {name!r}")
+                        if folder not in folders:
+                            fs.create_dir(folder, recursive=True)
+                            folders.add(folder)
+                        made.append((posixpath.join(folder, f".{base}.{uuid.uuid4().hex}"), posixpath.join(folder, base)))
+                        now, out = name, fs.open_output_stream(made[-1][0], compression=None)
+                    if len(content):
+                        out.write(content)
+        finally:
+            if out is not None:
+                out.close()
         for part, target in made:
             fs.move(part, target)
         return WriterCommitMessage()
 
 
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[str, memoryview]]:
+    """Each run of rows of one file with their contents after each other, which an Arrow column holds as one piece of memory."""
+    if not batch.num_rows:
+        return
+    found = pc.run_end_encode(batch.column("file"))
+    content = pc.fill_null(batch.column("content").cast(pa.large_binary()), b"")
+    _, offsets, data = content.buffers()
+    at = np.frombuffer(offsets, np.int64)[content.offset :]
+    held, begin = memoryview(data or b""), 0
+    for name, end in zip(found.values.to_pylist(), found.run_ends.to_pylist(), strict=True):
+        yield name, held[at[begin] : at[end]]
+        begin = end
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Uploads)
     spark.dataSource.register(NamedFiles)

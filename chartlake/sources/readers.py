@@ -21,11 +21,13 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     A line whose first word is no whole number, or any other word no number, keeps its text in corrupt, with null class_id and coords.
     """
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select("value", F.col("_metadata.file_path").alias("file"))
-    lines = rows.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    words = F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")
-    num = F.transform(F.slice(words, F.lit(2), F.size(words) - 1), lambda x: x.try_cast("double"))
-    bad = words[0].try_cast("int").isNull() | F.exists(num, lambda x: x.isNull())
-    return lines.select(F.regexp_extract("file", r"([^/]+)/labels/[^/]+$", 1).alias("split"), F.regexp_extract("file", r"([^/]+)\.txt$", 1).alias("image"), "line_no", F.when(~bad, words[0].try_cast("int")).alias("class_id"), F.when(~bad, num).alias("coords"), F.when(bad, F.col("line")).alias("corrupt"))
+    named = rows.select(F.regexp_extract("file", r"([^/]+)/labels/[^/]+$", 1).alias("split"), F.regexp_extract("file", r"([^/]+)\.txt$", 1).alias("image"), "value")
+    lines = named.select("split", "image", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    # a step a select, so that no line is cut into words twice
+    words = lines.select("*", F.regexp_extract_all("line", F.lit(r"(\S+)"), 1).alias("words")).where(F.size("words") > 0)
+    nums = words.select("split", "image", "line_no", "line", F.get("words", F.lit(0)).try_cast("int").alias("class"), F.transform(F.slice("words", F.lit(2), F.size("words")), lambda x: x.try_cast("double")).alias("nums"))
+    bad = F.col("class").isNull() | F.exists("nums", lambda x: x.isNull())
+    return nums.select("split", "image", "line_no", F.when(~bad, F.col("class")).alias("class_id"), F.when(~bad, F.col("nums")).alias("coords"), F.when(bad, F.col("line")).alias("corrupt"))
 
 
 def read_uploads(spark: SparkSession, path: str, max_bytes: int = 20 * 1024 * 1024) -> DataFrame:

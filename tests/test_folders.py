@@ -85,3 +85,23 @@ def test_lines_and_classes_from_files(spark):
     put(root, "bad.json", b'[{"id":0,"name":"a"},{"id":2,"name":"b"}]')
     with pytest.raises(ValueError, match="contiguous"):
         readers.read_class_map(spark, f"{root}/bad.json")
+
+
+def test_named_files_are_written_from_whole_columns(spark):
+    import pyarrow as pa
+
+    batch = pa.record_batch({"file": ["a", "a", "b", "c", "c", "c", "a"], "content": ["x", None, None, "é", "", "z", "q"]})
+    assert [(f, bytes(c)) for f, c in folders.runs(batch)] == [("a", b"x"), ("b", b""), ("c", "éz".encode()), ("a", b"q")]
+    assert [(f, bytes(c)) for f, c in folders.runs(batch.slice(3, 3))] == [("c", "éz".encode())]
+    assert [(f, bytes(c)) for f, c in folders.runs(pa.record_batch({"file": ["a"], "content": pa.array([None], pa.binary())}))] == [("a", b"")]
+    root = tempfile.mkdtemp(prefix="spark-files-")
+    rows = spark.range(25_000).selectExpr("concat('f', id div 12000) AS file", "id", "cast(concat(id, ';') AS binary) AS content")
+    readers.write_files(rows, root, order=["id"])  # files of more rows than a batch
+    for i in range(3):
+        assert open(f"{root}/f{i}").read() == "".join(f"{k};" for k in range(12000 * i, min(12000 * (i + 1), 25_000)))
+
+
+def test_label_lines_of_white_space_are_blank(spark):
+    root = tempfile.mkdtemp(prefix="spark-labels-")
+    put(root, "train/labels/a.txt", b"1 0.5\n\t\n \t \r\n2 1")
+    assert sorted((r["line_no"], r["class_id"]) for r in readers.read_annotations(spark, root).collect()) == [(0, 1), (3, 2)]
