@@ -92,3 +92,13 @@ def test_spend_and_latency_of_closed_windows(spark):
     have = sessions.latency_quantiles(hours).where("user_id < 98")
     batch = sessions.latency_quantiles(sessions.latency_sketches(df, ["user_id"]))
     assert sorted(map(tuple, have.collect())) == sorted(map(tuple, batch.select(*have.columns).collect()))
+
+
+def test_a_key_costs_no_calls_of_its_own(spark):
+    """Values beyond doubles stay whole; the state of a key is one row, whatever it has waiting and remembers."""
+    rows = [(u, T + dt.timedelta(minutes=i), 10 * u + i, 2**53 + 1 if i == 0 else None) for u in range(300) for i in range(4)]
+    closing = [(999, T + dt.timedelta(hours=1, minutes=2), 9999, None)]
+    got, kept = run(spark, lambda s: consult.stream_ground_turns(s, "40 minutes", "1 hour"), [rows, closing], SCHEMA, "many")
+    want = {(u, 10 * u + i, T + dt.timedelta(minutes=i), 2**53 + 1, True) for u in range(300) for i in (1, 2)}
+    assert {tuple(r) for r in got.select("user_id", "event_id", "ts", "analysis_id", "grounded").collect()} == want
+    assert kept == 301
