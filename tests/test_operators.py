@@ -144,3 +144,38 @@ def test_line_rules_by_place_or_length(spark):
     rules = spark.createDataFrame([("d", 1, "diagram", 200.0, 60, True)], "doc string, rule_no int, reason string, max_x double, max_length int, either boolean")
     hit = lambda r: [x["line_no"] for x in corpus.drop_line_rules(lines_, r).where("reason is not null").orderBy("line_no").collect()]
     assert hit(rules) == [1, 2] and hit(rules.withColumn("either", F.lit(False))) == []
+
+
+def test_broken_hyphens_beside_whole_ones(spark):
+    rows = [("d", 1, "evidence-based evidence-based well-known"), ("d", 2, "all-evidence- based, treat- ment\u0002 evidence-\n\tbased treat- ment; x"), (None, 3, "evidence- based"), ("d", 4, None), ("d", 5, "no break")]
+    pages = spark.createDataFrame(rows, "doc string, page long, text string")
+    got = {r["page"]: r["text"] for r in corpus.repair_hyphenation(pages, corpus.build_vocab(pages)).collect()}
+    assert got == {1: rows[0][2], 2: "all-evidence-based, treatment\u0002 evidence-based treatment; x", 3: "evidence-based", 4: None, 5: "no break"}
+    seen = {(r["left"], r["right"]): r["keep"] for r in corpus.hyphen_decisions(pages, corpus.build_vocab(pages)).collect()}
+    assert seen == {("evidence", "based"): True, ("treat", "ment"): False}
+
+
+def test_unwrapped_paragraphs_equal_the_fold(spark):
+    """Against the fold in plain Python, and in time that grows with the lines: 60,000 lines of one paragraph each."""
+    import random
+    import re
+
+    apart = [corpus.BULLET, corpus.HEADING, corpus.SENTINEL, corpus.NUMBER_ONLY]
+    after = [corpus.SENTINEL, corpus.NUMBER_ONLY, corpus.HEADING, corpus.SENTENCE_END]
+
+    def fold(text):
+        out = []
+        for line in text.split("\n"):
+            if not out or any(re.search(p, line) for p in apart) or any(re.search(p, out[-1]) for p in after):
+                out.append(line)
+            else:
+                out[-1] += " " + line
+        return "\n".join(out)
+
+    r = random.Random(3)
+    parts = ["A", "AB", "CD", "ABC", "A-", "12", "1.2", "", " ", "words", "end.", "end. ", "”", ".”", "• b", "1. x", "[H1] t", "@@H2@@ t", "(A", "a) b", "x?'", "Z"]
+    texts = ["\n".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(400)] + [None, ""]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", corpus.unwrap_paragraphs(F.col("t")).alias("t")).collect()
+    assert {x["i"]: x["t"] for x in got} == {i: None if t is None else fold(t) for i, t in enumerate(texts)}
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.concat(F.lit("line "), i, F.lit("."))), "\n").alias("t"))
+    assert long.select(F.length(corpus.unwrap_paragraphs(F.col("t"))) == F.length("t")).head()[0]
