@@ -60,19 +60,22 @@ def _third(s: Column, i: int) -> tuple[Column, Column]:
 
 
 def _close(names: DataFrame, known: DataFrame, most: int) -> DataFrame:
-    """(n, k): folded names and known ones that share a key which every pair within the distance shares.
+    """(n, code): folded names and the codes of known ones within the distance, found by a key which every such pair shares.
+
+    A pair that shares several keys comes several times: pairs are measured as they meet, none is kept or sorted.
 
     Equal deletions, or, of long ones, a third of the known name that two edits leave alone, found at most two places away.
     """
     short = names.where(F.char_length("n") <= SHORT).select("n", F.explode(_deletions(F.col("n"), most)).alias("key"))
-    near = short.join(known.where(F.char_length("k") <= SHORT).select("k", F.explode(_deletions(F.col("k"), most)).alias("key")), "key").select("n", "k")
+    near = short.join(known.where(F.char_length("k") <= SHORT).select("k", "code", F.explode(_deletions(F.col("k"), most)).alias("key")), "key").select("n", "k", "code")
     parts = [(i, *_third(F.col("k"), i)) for i in range(3)]
-    index = known.where(F.char_length("k") >= SHORT - most).select("k", F.char_length("k").alias("size"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("k", at, n).alias("key")) for i, at, n in parts])).alias("p")).select("k", "size", "p.*")
+    index = known.where(F.char_length("k") >= SHORT - most).select("k", "code", F.char_length("k").alias("size"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("k", at, n).alias("key")) for i, at, n in parts])).alias("p")).select("k", "code", "size", "p.*")
     sizes = F.explode(F.sequence(F.char_length("n") - most, F.char_length("n") + most))
     probes = names.where(F.char_length("n") >= SHORT - most).select("n", sizes.alias("size"))
     start = lambda i: F.floor(F.col("size") * i / 3).cast("int")
     probes = probes.select("n", "size", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (start(i) + 1 + d).alias("at"), (start(i + 1) - start(i)).alias("len")) for i in range(3) for d in range(-most, most + 1)])).alias("p")).where("p.at >= 1").select("n", "size", "p.i", F.substring("n", F.col("p.at"), F.col("p.len")).alias("key"))
-    return near.union(probes.distinct().join(index, ["size", "i", "key"]).select("n", "k")).distinct()
+    pairs = near.union(probes.distinct().join(index, ["size", "i", "key"]).select("n", "k", "code"))
+    return pairs.where(F.levenshtein("n", "k", most) >= 0).select("n", "code")
 
 
 def resolve_country(names: DataFrame, countries: DataFrame, most: int = 2) -> DataFrame:
@@ -88,8 +91,8 @@ def resolve_country(names: DataFrame, countries: DataFrame, most: int = 2) -> Da
     found = staged(exact.select("n", "code"), "resolved")
     for distance in range(1, most + 1):
         rest = staged(open_names.join(found, "n", "left_anti"), "unresolved")
-        close = _close(rest, known.select("k"), distance).where(F.levenshtein("n", "k") <= distance)
-        found = found.union(staged(close.join(known, "k").groupBy("n").agg(F.min("code").alias("code")), "resolved"))
+        close = _close(rest, known, distance)
+        found = found.union(staged(close.groupBy("n").agg(F.min("code").alias("code")), "resolved"))
     return asked.join(found, "n", "left").select("name", "code")
 
 

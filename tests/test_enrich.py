@@ -79,3 +79,13 @@ def test_nearby_is_whole_on_all_the_globe(spark):
             far = {j: metres(a, b) for j, b in enumerate(points)}
             edge = {j for j, d in far.items() if abs(d - radius) < 0.01}
             assert got[i] - edge == {j for j, d in far.items() if d <= radius} - edge
+
+
+def test_pairs_of_names_are_not_kept(spark):
+    """Names meet as a stream: only the deletions of names and the least code of each name are grouped, never pairs."""
+    names = spark.createDataFrame([("abce",), ("abzz",)], "n string")
+    known = spark.createDataFrame([("abcd", 1), ("abxy", 2)], "k string, code int")
+    close = enrich._close(names, known, 2)
+    assert {tuple(r) for r in close.collect()} == {("abce", 1), ("abce", 2), ("abzz", 1), ("abzz", 2)}
+    plan = close._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [n#" not in plan.split("Join")[0]
