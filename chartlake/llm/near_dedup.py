@@ -43,6 +43,8 @@ PART = 256
 #: Sampled k-mers per band, for texts of up to so many words.
 #: They are as few as find pairs from the threshold on: of 0.8 similar texts a fifth of the five-word k-mers is common.
 LEVELS = ((64, 1), (1 << 62, 2))
+#: Ids that a task holds while it turns its edges into stars.
+HELD = 250_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _KEPT = 1_000_000
 _SKETCH = "doc_id long, copy binary, text_md5 binary, n int, words array<int>, buckets array<long>"
@@ -327,25 +329,58 @@ def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         return keep(verified(pairs, texts, least))
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's edges (u, v) the stars that connect the same ids, each around its least id; the ids held are bounded."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := above.get(top, top)) != top:
+            top = up
+        while x != top:
+            above[x], x = top, above[x]
+        return top
+
+    def stars() -> pa.RecordBatch:
+        found = [(x, root(x)) for x in list(above)]
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    for b in batches:
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+            if (x := root(u)) != (y := root(v)):
+                above[max(x, y)] = min(x, y)
+        if len(above) > HELD:
+            yield stars()
+            above.clear()
+    if above:
+        yield stars()
+
+
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every id has one lower neighbour at most, and none if it is a lower neighbour itself."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("lower")), F.struct(F.col("v").alias("id"), F.lit(None).cast("long").alias("lower")))).alias("e")).select("e.*")
+    seen = ends.groupBy("id").agg(F.min("lower").alias("least"), F.max("lower").alias("most"), F.max(F.col("lower").isNull()).alias("centre"))
+    return not seen.where("least <> most OR centre AND least IS NOT NULL").agg(F.count("*")).head()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in the edges (a, b): the least id that it is linked to.
 
-    Alternates large-star and small-star steps, each a minimum per key and a join, until nothing changes; no neighbour
-    list is collected. The minima are dealt anew before the join, so that the skew join can split an id of many edges.
+    Every task first replaces its own edges by stars. Then large-star and small-star steps alternate, each a minimum per key and a join,
+    until there are only stars left, which one count tells; no neighbour list is collected. The minima are dealt anew before the
+    join, so that the skew join can split an id of many edges.
     """
-    links, before = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"), None
-    while True:
+    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    links = staged(links.mapInArrow(_contracted, "u long, v long"), "links")
+    while not _all_stars(links):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(reshuffled(least).hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(reshuffled(lower).hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = staged(small.where("u <> v").distinct(), "links")
-        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head()
-        if now == before:
-            every = links.union(links.select("v", "v"))  # the least ids themselves, too
-            return every.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-        before = now
+    every = links.union(links.select("v", "v"))  # the least ids themselves, too
+    return every.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
 
 def _long_enough(a: str, b: str, least: float) -> Column:

@@ -116,3 +116,22 @@ def test_exact_copies_of_one_id_with_several_texts(spark):
     assert sorted((x["doc_id"] or 0, x["text"] or "") for x in rows(exact_dedup.deduplicate(df))) == [(0, ""), (5, "a"), (5, "b"), (6, "c")]
     long = docs(spark, ["x" * 3_000_000, "x" * 3_000_000, "y"])
     assert sorted((x["doc_id"], x["keep_id"]) for x in rows(exact_dedup.classify(long, budget=1000))) == [(0, 1), (1, 1), (2, 2)]
+
+
+def test_stars_are_known_without_one_more_round(spark, monkeypatch):
+    """A task's edges become stars at once, so that a chain in one task needs no round of joins; stars are told from all else."""
+    import pyarrow as pa
+
+    frame = lambda edges: spark.createDataFrame(edges, "u long, v long")
+    for edges, want in (([], True), ([(3, 1), (2, 1), (3, 1)], True), ([(3, 2), (2, 1)], False), ([(3, 1), (3, 2)], False)):
+        assert near_dedup._all_stars(frame(edges)) == want
+    monkeypatch.setattr(near_dedup, "HELD", 4)
+    cut = [tuple(r.values()) for b in near_dedup._contracted(pa.record_batch({"u": [i + 1], "v": [i]}) for i in range(20)) for r in b.to_pylist()]
+    assert len(cut) == 20 and {v for _, v in cut} == {0, 5, 10, 15}
+    joins, staged = [], near_dedup.staged
+    monkeypatch.setattr(near_dedup, "staged", lambda df, what="staged": joins.append("Join" in df._jdf.queryExecution().optimizedPlan().toString()) or staged(df, what))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    assert {(r["id"], r["component"]) for r in near_dedup.components(chain.coalesce(1)).collect()} == {(i, 0) for i in range(301)}
+    assert joins == [False]
+    assert {(r["id"], r["component"]) for r in near_dedup.components(chain.repartition(7)).collect()} == {(i, 0) for i in range(301)}
+    assert any(joins)

@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 
+import pytest
 import zstandard
 
 from chartlake.llm import toxicity
@@ -68,3 +69,18 @@ def test_the_oldest_byte_of_a_dictionary_is_found():
     rest = " ".join(words(r, 5000)).encode()[:30_000]
     with_word, without = (toxicity._compressor(x + rest) for x in (b"abominable ", b"zzzzzzzzzzz"))
     assert isinstance(with_word, zstandard.ZstdCompressor) and len(with_word.compress(b"so abominable it")) < len(without.compress(b"so abominable it"))
+
+
+def test_the_sample_stays_off_the_driver(spark, monkeypatch):
+    """A task trains the model that the sample gives; no text of it is collected."""
+    docs, labels, _ = corpus(spark)
+    sample = toxicity.labelled_sample(docs, labels.where(toxicity.fold_of("doc_id", 3) != 1), "toxic", {0: toxicity.SAMPLE_ORDINARY, 1: toxicity.SAMPLE_TOXIC})
+    want = toxicity.train(sample)
+
+    def never(*_):
+        raise AssertionError("trained in the driver")
+
+    monkeypatch.setattr(toxicity, "labelled_sample", never)
+    got = toxicity.fit(docs, labels)
+    assert (got.ordinary, got.toxic) == (want.ordinary, want.toxic) and got.weights == pytest.approx(want.weights, abs=1e-9)
+    assert toxicity.fit(docs.limit(0), labels) is None and toxicity.fit(docs, labels.where("toxic = 0")) is None
