@@ -1,7 +1,7 @@
 """Folders of files as Spark sources and sinks: uploads of any size, empty ones included, and files named by a column.
 
-Registered by ``register``. Paths may be local or URIs that Arrow's file systems know. The driver lists names, lengths and times, as Spark's own
-file sources do; contents are read and written by the tasks.
+Registered by ``register``. Paths may be local or URIs that Arrow's file systems know. Contents are read and written by the tasks. ``upload_rows``
+lists in the tasks, too; of the source ``uploads``, which streams need, the driver lists names, lengths and times, as Spark's own file sources do.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 #: Bytes of the files that one task reads, and what a file costs besides its bytes.
 TASK_BYTES, FILE_COST = 32 << 20, 1 << 16
+#: Rows of a record batch, and bytes of its contents.
+ROWS, BATCH_BYTES = 10_000, 8 << 20
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -37,6 +40,15 @@ def listed(path: str, glob: str) -> list[tuple[int, str, int]]:
     return sorted((f.mtime_ns or 0, f.path, f.size or 0) for f in found if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name, glob) and f.base_name[0] not in "._")
 
 
+def below(fs: pafs.FileSystem, folder: str, glob: str, recursive: bool) -> Iterator[tuple[str, int | None]]:
+    """(path, length) of the files in a folder that ``listed`` takes; without recursive its folders, too, with no length."""
+    for f in fs.get_file_info(pafs.FileSelector(folder, recursive=recursive, allow_not_found=True)):
+        if f.type == pafs.FileType.Directory and not recursive:
+            yield f.path, None
+        elif f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name, glob) and f.base_name[0] not in "._":
+            yield f.path, f.size or 0
+
+
 class Files(InputPartition):
     def __init__(self, files: list[tuple[str, int]]):
         self.files = files
@@ -90,6 +102,51 @@ class _Reading:
             yield name, len(content) if good else length, "ok" if good else "too_large" if content else "empty", content if good else None
 
 
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Record batches of ROWS rows or BATCH_BYTES of content, the last column, at most (one longer row stays whole)."""
+    out, held = [], 0
+    for row in rows:
+        size = len(row[-1]) if isinstance(row[-1], bytes) else 0
+        if out and (len(out) >= ROWS or held + size > BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out, held = [], 0
+        out.append(row)
+        held += size
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+def _listing(path: str, glob: str, first: bool):
+    """first: the files and folders in path itself; then the files as they are, and all files below each folder."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int | None]]:
+        fs, root = opened(path)
+        for b in batches:
+            for name, length in zip(b.column("file").to_pylist(), b.column("length").to_pylist(), strict=True):
+                if length is not None:
+                    yield name, length
+                else:
+                    yield from below(fs, root if first else name, glob, not first)
+
+    return lambda batches: _batched(rows(batches), pa.schema({"file": pa.string(), "length": pa.int64()}))
+
+
+def upload_rows(spark: SparkSession, path: str, max_bytes: int, glob: str = "*") -> DataFrame:
+    """The rows of ``uploads``, listed and read by tasks: one lists the folder itself, each folder in it is listed by one of many, and the files that
+    they find are dealt to tasks that read them. The driver holds no names."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    names = spark.range(0, 1, 1, 1).select(F.lit(path).alias("file"), F.lit(None).cast("long").alias("length"))
+    for first in (True, False):
+        names = names.mapInArrow(_listing(path, glob, first), "file string, length long").repartition(tasks, "file")
+    reading = _Reading({"path": path, "max_bytes": max_bytes})
+    schema = pa.schema({"file": pa.string(), "length": pa.int64(), "outcome": pa.string(), "content": pa.binary()})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batched((row for b in batches for row in reading.read(Files(list(zip(b.column("file").to_pylist(), b.column("length").to_pylist(), strict=True))))), schema)
+
+    return names.mapInArrow(read, "file string, length long, outcome string, content binary")
+
+
 class UploadReader(_Reading, DataSourceReader):
     def partitions(self) -> list[Files]:
         return planned([(name, length) for _, name, length in listed(self.path, self.glob)], self.limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlake.sources.folders import register
+from chartlake.sources.folders import register, upload_rows
 
 LINES = "doc string, page long, line_no int, x0 double, y0 double, page_width double, page_height double, size double, text string"
 
@@ -32,8 +32,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 def read_uploads(spark: SparkSession, path: str, max_bytes: int = 20 * 1024 * 1024) -> DataFrame:
     """file, length, outcome (ok, too_large, empty) and the content of good files; empty files are listed, files over the limit are not read."""
-    register(spark)
-    return spark.read.format("uploads").option("path", path).option("max_bytes", max_bytes).load()
+    return upload_rows(spark, path, max_bytes)
 
 
 def stream_uploads(spark: SparkSession, path: str, max_bytes: int = 20 * 1024 * 1024) -> DataFrame:

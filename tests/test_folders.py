@@ -105,3 +105,22 @@ def test_label_lines_of_white_space_are_blank(spark):
     root = tempfile.mkdtemp(prefix="spark-labels-")
     put(root, "train/labels/a.txt", b"1 0.5\n\t\n \t \r\n2 1")
     assert sorted((r["line_no"], r["class_id"]) for r in readers.read_annotations(spark, root).collect()) == [(0, 1), (3, 2)]
+
+
+def test_uploads_are_listed_by_tasks(spark, monkeypatch):
+    """The driver lists no files; folders at any depth, loose files and long contents all come, each file once."""
+    root = tempfile.mkdtemp(prefix="spark-uploads-")
+    files = {f"{i % 5}/{'x/' * (i % 3)}f{i}": b"u" * (i % 12) for i in range(60)} | {f"loose{i}": b"v" for i in range(9)} | {".h/seen": b"w", "3/.hidden": b"n"}
+    for name, content in files.items():
+        put(root, name, content)
+    os.makedirs(f"{root}/empty/folder")
+
+    def never(*_):
+        raise AssertionError("listed in the driver")
+
+    monkeypatch.setattr(folders, "listed", never)
+    for path in (root, f"file://{root}", f"file:{root}"):
+        got = sorted((r["file"].removeprefix(root + "/"), r["length"], r["outcome"], r["content"] and bytes(r["content"])) for r in readers.read_uploads(spark, path, 10).collect())
+        assert got == sorted((n, len(c), "empty" if not c else "too_large" if len(c) > 10 else "ok", c if 0 < len(c) <= 10 else None) for n, c in files.items() if n != "3/.hidden")
+    batches = list(folders._batched(iter([("a", b"1" * (5 << 20)), ("b", b"2" * (5 << 20)), ("c", None)]), folders.pa.schema({"file": folders.pa.string(), "content": folders.pa.binary()})))
+    assert [b.num_rows for b in batches] == [1, 2]
