@@ -477,8 +477,10 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, bands: int, least:
         with scratch() as keep:
             placed = staged(large.join(label.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
             again = keep(_once(choose(placed, least)).join(pairs, ["a", "b"], "left_anti"))
-        label = _merged(label, _links(again, compared, least))
         pairs = pairs.unionByName(again)
+        # no new pairs, or no links among them, join nothing
+        if not again.isEmpty() and not (found := _links(again, compared, least)).isEmpty():
+            label = _merged(label, found)
     placed = staged(copies.join(label.hint("merge"), "id", "left").select("copy", "lead", F.coalesce("component", "id").alias("component")), "placed")
     classes = placed.groupBy("component").agg(F.min("lead").alias("first"))
     named = placed.join(reshuffled(classes).hint("merge"), "component").select("copy", F.col("lead.doc_id").alias("copy_id"), "first")

@@ -135,3 +135,12 @@ def test_stars_are_known_without_one_more_round(spark, monkeypatch):
     assert joins == [False]
     assert {(r["id"], r["component"]) for r in near_dedup.components(chain.repartition(7)).collect()} == {(i, 0) for i in range(301)}
     assert any(joins)
+
+
+def test_steps_without_new_links_merge_nothing(spark, monkeypatch):
+    seen, staged = [], near_dedup.staged
+    monkeypatch.setattr(near_dedup, "staged", lambda df, what="staged": seen.append(what) or staged(df, what))
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "quite another text")], "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.classify(docs).collect())) == [(1, 1, 1, True), (2, 2, 1, False), (3, 3, 3, True)]
+    assert "late" not in seen
