@@ -9,8 +9,8 @@ least 0.8. A link is a pair of texts that share a bucket and align well enough;
 Exact copies are folded first. Small buckets are compared in all pairs. In larger ones every member is compared with the
 most central member (the one with most candidates) of two of its buckets, then those still apart with the most central one of another
 component. At last every member outside its bucket's largest component is joined with texts of other components on
-its rarest words, of which any two texts with a link share one (a prefix filter), and pairs without a common bucket are
-dropped: no link is lost or added, and no bucket's members are paired with one another. As members of one component
+its rarest words, of which any two texts with a link share one (a prefix filter); pairs without a common bucket are
+dropped where they meet: no link is lost or added, and no bucket's members are paired with one another. As members of one component
 need no comparison, work follows the bucket's size.
 """
 
@@ -212,12 +212,11 @@ def _verify(least: float):
         hub = None
         for b in batches:
             out = []
-            every = _parts(b.column("buckets")) if "buckets" in b.schema.names else [None] * b.num_rows
-            for kind, i, words, keys in zip(b.column("kind").to_pylist(), b.column("id").to_pylist(), _parts(b.column("words")), every, strict=True):
+            for kind, i, words in zip(b.column("kind").to_pylist(), b.column("id").to_pylist(), _parts(b.column("words")), strict=True):
                 words = _wide(words)
                 if kind == 0:
-                    hub = i, words, labelled(words), keys
-                elif (keys is None or np.isin(keys, hub[3]).any()) and similarity(hub[1], words, least, (hub[2], labelled(words))) >= least:
+                    hub = i, words, labelled(words)
+                elif similarity(hub[1], words, least, (hub[2], labelled(words))) >= least:
                     out.append((max(i, hub[0]), min(i, hub[0])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
@@ -229,7 +228,8 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [labelled(_wide(w)).astype(np.int64) for w in _parts(b.column("words"))]
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("component"), b.column("outside"), lists], names=["id", "component", "outside", "grams"])
+        kept = ("id", "component", "outside", "buckets")
+        yield pa.RecordBatch.from_arrays([*map(b.column, kept), lists], names=[*kept, "grams"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,47 +241,54 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], names=["slot", "n"])
 
 
+def marks_of(grams: np.ndarray) -> bytes:
+    """The bit set of a text's labelled words. These are four bytes but for repeated ones, so that they are mixed before their upper bits are used."""
+    bits = np.zeros(BITS, bool)
+    bits[(mix(grams.view(np.uint64)) >> np.uint64(40)) % np.uint64(BITS)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _prefixes(often: np.ndarray, blocks: int, least: float):
     """Per text and block of words: the rare words of the text that lie in the block, with their ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         for b in batches:
             out: list[tuple] = []
-            for i, component, outside, g in zip(*(b.column(c).to_pylist() for c in ("id", "component", "outside")), _parts(b.column("grams")), strict=True):
+            for i, component, outside, g, buckets in zip(*(b.column(c).to_pylist() for c in ("id", "component", "outside")), _parts(b.column("grams")), _parts(b.column("buckets")), strict=True):
                 rare = g[np.lexsort((g, often[g & (COUNTERS - 1)]))[: len(g) - math.ceil(len(g) * least - 1e-9) + 1]]
-                bits = np.zeros(BITS, bool)
-                bits[(g.view(np.uint64) >> np.uint64(40)) % np.uint64(BITS)] = True
-                marks = np.packbits(bits).tobytes()
-                block = (rare.view(np.uint64) >> np.uint64(20)) % np.uint64(blocks)
+                marks = marks_of(g)
+                block = mix(rare.view(np.uint64)) % np.uint64(blocks)
                 for k in np.unique(block):
                     at = np.flatnonzero(block == k)
-                    out.append((int(k), i, component, outside, len(g), marks, rare[at], (at + 1).astype(np.int32)))
+                    out.append((int(k), i, component, outside, buckets, len(g), marks, rare[at], (at + 1).astype(np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "id", "component", "outside", "n", "marks", "grams", "ranks"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "id", "component", "outside", "buckets", "n", "marks", "grams", "ranks"])
 
     return run
 
 
 def _meet(least: float):
-    """Of rows in the order of their block, outsiders first: (id, others), the outsiders that each text can have a link with."""
+    """Of rows in the order of their block, outsiders first: (id, others), the outsiders that each text shares a bucket and can have a link with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, {}
         for b in batches:
             ids, lists = [], []
-            for block, i, component, outside, n, marks, grams, ranks in zip(*(b.column(c).to_pylist() for c in ("block", "id", "component", "outside", "n", "marks", "grams", "ranks")), strict=True):
-                own = int.from_bytes(marks)
+            for block, i, component, outside, buckets, n, marks, grams, ranks in zip(*(b.column(c).to_pylist() for c in ("block", "id", "component", "outside", "buckets", "n", "marks", "grams", "ranks")), strict=True):
+                own, mine = int.from_bytes(marks), frozenset(buckets)
                 if block != current:
                     current, held = block, {}
                 hits = set()
                 for g, rank in zip(grams, ranks, strict=True):
-                    for x, xc, xn, xr, theirs in held.get(g, ()):
+                    for x, xc, xn, xr, theirs, others in held.get(g, ()):
+                        if xc == component or x in hits or mine.isdisjoint(others):
+                            continue
                         need = math.ceil(max(n, xn) * least - 1e-9)
-                        if xc != component and x not in hits and min(n, xn) >= need and 1 + min(n - rank, xn - xr) >= need and (own & ~theirs).bit_count() <= n - need and (theirs & ~own).bit_count() <= xn - need:
+                        if min(n, xn) >= need and 1 + min(n - rank, xn - xr) >= need and (own & ~theirs).bit_count() <= n - need and (theirs & ~own).bit_count() <= xn - need:
                             hits.add(x)
                     if outside:
-                        held.setdefault(g, []).append((i, component, n, rank, own))
+                        held.setdefault(g, []).append((i, component, n, rank, own, mine))
                 if hits:
                     ids.append(i)
                     lists.append(sorted(hits))
@@ -307,8 +314,7 @@ def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The links (a, b) among candidate pairs (a, b, hub); hub is one of a and b. texts: id, words, and
-    buckets where pairs without a common one are to be dropped.
+    """The links (a, b) among candidate pairs (a, b, hub); hub is one of a and b. texts: id, words.
 
     A hub's words are sent once for each of its parts, then follow the texts that it is compared with.
     """
@@ -421,17 +427,19 @@ def _outsiders(placed: DataFrame, least: float, texts: DataFrame) -> DataFrame:
     They meet by rare words in place of buckets, so that no bucket's members are paired with one another. Of n labelled words in one
     order for all texts, two texts with a link share one of the first n - least * n + 1; the words left after it must suffice.
     Rare words come first, by counters that several words may share: any order that is one for all texts will do.
+    Texts carry their buckets that hold several components, so that only pairs with a common one leave the tasks: the pairs that
+    common words alone would give grow with the square of the corpus.
     """
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("members"))
     most = parts.groupBy("bucket").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1")
-    split = placed.join(reshuffled(most.select("bucket", "largest")).hint("merge"), "bucket").groupBy("id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("outside"))
+    split = placed.join(reshuffled(most.select("bucket", "largest")).hint("merge"), "bucket").groupBy("id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("outside"), F.collect_list("bucket").alias("buckets"))
     own = texts.select("id", "words").join(split.hint("merge"), "id")
-    grams = staged(own.mapInArrow(_labels, "id long, component long, outside boolean, grams array<long>"), "grams")
+    grams = staged(own.mapInArrow(_labels, "id long, component long, outside boolean, buckets array<long>, grams array<long>"), "grams")
     counts = grams.select("grams").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
     often = np.zeros(COUNTERS, np.int64)
     often[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     blocks = max(32, int(often.sum()) // BLOCK)
-    first = grams.mapInArrow(_prefixes(often, blocks, least), "block long, id long, component long, outside boolean, n int, marks binary, grams array<long>, ranks array<int>")
+    first = grams.mapInArrow(_prefixes(often, blocks, least), "block long, id long, component long, outside boolean, buckets array<long>, n int, marks binary, grams array<long>, ranks array<int>")
     met = first.repartition("block").sortWithinPartitions("block", F.desc("outside")).mapInArrow(_meet(least), "id long, others array<long>")
     # a pair with many common words is one pair before it is a row
     pairs = met.repartition("id").sortWithinPartitions("id").mapInArrow(_distinct_pairs, "id long, other long")
@@ -461,25 +469,25 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, bands: int, least:
     known = sketches.where("doc_id is not null")
     copies = staged(known.groupBy("copy").agg(F.min("row").alias("id"), F.min(F.struct("doc_id", "text_md5")).alias("lead")), "copies")
     texts = known.select(F.col("row").alias("id"), "n", "words", "buckets")
-    reps = staged(texts.drop("words").join(copies.select("id").hint("merge"), "id"), "copies")
-    members = reps.select("id", "n", F.explode("buckets").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    shared = staged(members.join(reshuffled(sizes).hint("merge"), "bucket"), "shared")
-    # how many candidates a text has says how central it is among its copies
-    central = shared.groupBy("id").agg(F.sum("c").alias("degree"))
-    shared = staged(shared.join(central.hint("merge"), "id"), "shared")
+    with scratch() as keep:
+        reps = staged(texts.drop("words").join(copies.select("id").hint("merge"), "id"), "copies")
+        members = reps.select("id", "n", F.explode("buckets").alias("bucket"))
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+        shared = staged(members.join(reshuffled(sizes).hint("merge"), "bucket"), "shared")
+        # how many candidates a text has says how central it is among its copies
+        central = shared.groupBy("id").agg(F.sum("c").alias("degree"))
+        shared = keep(shared.join(central.hint("merge"), "id"))
     words = texts.select("id", "words")
     pairs = staged(_once(_all_pairs(shared.where(F.col("c") <= small), least).union(_to_leader(shared.where(F.col("c") > small), least))), "pairs")
     label = staged(components(_links(pairs, words, least)), "components")
     large = shared.where(F.col("c") > small)
-    # pairs that meet by words need not share a bucket
-    for choose, compared in ((functools.partial(_to_leader, apart=True), words), (functools.partial(_outsiders, texts=words), texts.drop("n"))):
+    for choose in (functools.partial(_to_leader, apart=True), functools.partial(_outsiders, texts=words)):
         with scratch() as keep:
             placed = staged(large.join(label.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
             again = keep(_once(choose(placed, least)).join(pairs, ["a", "b"], "left_anti"))
         pairs = pairs.unionByName(again)
         # no new pairs, or no links among them, join nothing
-        if not again.isEmpty() and not (found := _links(again, compared, least)).isEmpty():
+        if not again.isEmpty() and not (found := _links(again, words, least)).isEmpty():
             label = _merged(label, found)
     placed = staged(copies.join(label.hint("merge"), "id", "left").select("copy", "lead", F.coalesce("component", "id").alias("component")), "placed")
     classes = placed.groupBy("component").agg(F.min("lead").alias("first"))

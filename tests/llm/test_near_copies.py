@@ -144,3 +144,22 @@ def test_steps_without_new_links_merge_nothing(spark, monkeypatch):
     docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "quite another text")], "doc_id long, text string")
     assert sorted(map(tuple, near_dedup.classify(docs).collect())) == [(1, 1, 1, True), (2, 2, 1, False), (3, 3, 3, True)]
     assert "late" not in seen
+
+
+def test_marks_tell_texts_apart():
+    """Words are four bytes: bit sets of their upper bits alone would be one bit each, and every pair would pass."""
+    r, known = random.Random(43), near_dedup.WordHashes()
+    x, y = (near_dedup.labelled(near_dedup._wide(near_dedup.short_hashes(near_dedup.word_hashes(" ".join(words(r, 300)), known)).view(np.int32))).astype(np.int64) for _ in range(2))
+    a, b = (int.from_bytes(near_dedup.marks_of(g)) for g in (x, y))
+    assert (a & ~b).bit_count() > 60 and (b & ~a).bit_count() > 60
+
+
+def test_only_pairs_with_a_common_bucket_leave_the_last_step(spark):
+    """Texts of one bag of words pass all filters of words; of them only those of one bucket are pairs."""
+    r, known = random.Random(44), near_dedup.WordHashes()
+    bag = words(r, 40)
+    texts = [near_dedup.short_hashes(near_dedup.word_hashes(" ".join(r.sample(bag, 40)), known)).view(np.int32).tolist() for _ in range(24)]
+    placed = spark.createDataFrame([(i // 4, i, 40, i) for i in range(24)], "bucket long, id long, n int, component long")
+    held = spark.createDataFrame(list(enumerate(texts)), "id long, words array<int>")
+    got = {(x["a"], x["b"]) for x in rows(near_dedup._outsiders(placed, near_dedup.SIMILARITY, held))}
+    assert got == {(a, b) for a in range(24) for b in range(a) if a // 4 == b // 4}
