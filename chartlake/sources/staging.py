@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: list[tuple[SparkSession, str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,13 +34,32 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 
 def staged(df: DataFrame, what: str = "staged") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors, computes df once."""
+    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors, computes df once.
+
+    The shuffle files behind it go as soon as it is written. Else they would stay until the driver happens to collect its garbage,
+    and the disk would hold those of many tables at once, the more the larger the input.
+    """
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
+    with _cleanup(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def _cleanup(spark: SparkSession) -> Iterator[None]:
+    """Executions started inside remove their shuffle files at their end."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 @contextlib.contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables staged inside are removed at the end, but for what the given function stages."""

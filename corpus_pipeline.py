@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chartlake.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
-from chartlake.llm.common import read_table, staged
+from chartlake.llm.common import read_table, scratch
 from chartlake.llm.queries import tokenizer_path
 
 
@@ -38,10 +38,14 @@ STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup",
 ORACLE_SQL = None
 
 
+def _after(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """What the first n stages keep. Their own tables, and those of the stages before, are removed once it is written."""
+    if not n:
+        return read_table(spark, sf_dir, "documents")
+    with scratch() as keep:
+        return keep(STAGES[n - 1][1](spark, _after(spark, sf_dir, n - 1), sf_dir))
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = staged(docs, "stage")
-    return docs
+    last = len(STAGES) - 1
+    return STAGES[last][1](spark, _after(spark, sf_dir, last), sf_dir)
