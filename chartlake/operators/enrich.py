@@ -59,22 +59,32 @@ def _third(s: Column, i: int) -> tuple[Column, Column]:
     return start + 1, F.floor(n * (i + 1) / 3).cast("int") - start
 
 
+def _as_long(df: DataFrame, col: str, other: DataFrame, other_col: str, most: int) -> DataFrame:
+    """The rows of df that have a name of the other table within ``most`` letters of their length; the lengths are few, broadcast."""
+    size = F.char_length(other_col)
+    sizes = other.select(F.explode(F.sequence(size - most, size + most)).alias("size")).distinct()
+    return df.join(F.broadcast(sizes), F.char_length(col) == F.col("size"), "left_semi")
+
+
 def _close(names: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """(n, code): folded names and the codes of known ones within the distance, found by a key which every such pair shares.
 
     A pair that shares several keys comes several times: pairs are measured as they meet, none is kept or sorted.
 
-    Equal deletions, or, of long ones, a third of the known name that two edits leave alone, found at most two places away.
+    Equal deletions, by their hash, or, of long ones, a third of the known name that two edits leave alone, found at most two places
+    away. A name has hundreds of keys, which the size of the table it is read from does not tell: merge joins, never a broadcast.
     """
-    short = names.where(F.char_length("n") <= SHORT).select("n", F.explode(_deletions(F.col("n"), most)).alias("key"))
-    near = short.join(known.where(F.char_length("k") <= SHORT).select("k", "code", F.explode(_deletions(F.col("k"), most)).alias("key")), "key").select("n", "k", "code")
+    names, known = _as_long(names, "n", known, "k", most), _as_long(known, "k", names, "n", most)
+    keys = lambda c: F.explode(F.transform(_deletions(F.col(c), most), lambda d: F.xxhash64(d))).alias("key")
+    short = names.where(F.char_length("n") <= SHORT).select("n", keys("n"))
+    near = short.join(known.where(F.char_length("k") <= SHORT).select("k", "code", keys("k")).hint("merge"), "key").select("n", "k", "code")
     parts = [(i, *_third(F.col("k"), i)) for i in range(3)]
     index = known.where(F.char_length("k") >= SHORT - most).select("k", "code", F.char_length("k").alias("size"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("k", at, n).alias("key")) for i, at, n in parts])).alias("p")).select("k", "code", "size", "p.*")
     sizes = F.explode(F.sequence(F.char_length("n") - most, F.char_length("n") + most))
     probes = names.where(F.char_length("n") >= SHORT - most).select("n", sizes.alias("size"))
     start = lambda i: F.floor(F.col("size") * i / 3).cast("int")
     probes = probes.select("n", "size", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (start(i) + 1 + d).alias("at"), (start(i + 1) - start(i)).alias("len")) for i in range(3) for d in range(-most, most + 1)])).alias("p")).where("p.at >= 1").select("n", "size", "p.i", F.substring("n", F.col("p.at"), F.col("p.len")).alias("key"))
-    pairs = near.union(probes.distinct().join(index, ["size", "i", "key"]).select("n", "k", "code"))
+    pairs = near.union(probes.distinct().join(index.hint("merge"), ["size", "i", "key"]).select("n", "k", "code"))
     return pairs.where(F.levenshtein("n", "k", most) >= 0).select("n", "code")
 
 
@@ -87,13 +97,13 @@ def resolve_country(names: DataFrame, countries: DataFrame, most: int = 2) -> Da
     known = staged(countries.select(folded(F.col("country")).alias("k"), "code").where("k is not null").groupBy("k").agg(F.min("code").alias("code")), "countries")
     asked = staged(names.select("name", folded(F.col("name")).alias("n")).distinct(), "names")
     open_names = asked.select("n").where("n is not null").distinct()
-    exact = open_names.join(known, F.col("n") == F.col("k"))
+    exact = open_names.join(known.hint("merge"), F.col("n") == F.col("k"))
     found = staged(exact.select("n", "code"), "resolved")
     for distance in range(1, most + 1):
-        rest = staged(open_names.join(found, "n", "left_anti"), "unresolved")
+        rest = staged(open_names.join(found.hint("merge"), "n", "left_anti"), "unresolved")
         close = _close(rest, known, distance)
         found = found.union(staged(close.groupBy("n").agg(F.min("code").alias("code")), "resolved"))
-    return asked.join(found, "n", "left").select("name", "code")
+    return asked.join(found.hint("merge"), "n", "left").select("name", "code")
 
 
 def parse_places(df: DataFrame, col: str = "payload") -> DataFrame:

@@ -89,3 +89,13 @@ def test_pairs_of_names_are_not_kept(spark):
     assert {tuple(r) for r in close.collect()} == {("abce", 1), ("abce", 2), ("abzz", 1), ("abzz", 2)}
     plan = close._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [n#" not in plan.split("Join")[0]
+
+
+def test_keys_of_names_are_never_broadcast(spark):
+    """A small table of names has hundreds of keys a name, which its size does not tell."""
+    names = spark.range(50).selectExpr("concat('name of some length ', id) as n")
+    known = spark.range(50).selectExpr("concat('name of same length ', id) as k", "id as code")
+    close = enrich._close(names, known, 2)
+    joins = [line for line in close._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+    assert sum("SortMergeJoin" in j for j in joins) == 2 and all("LeftSemi" in j for j in joins if "Broadcast" in j)
+    assert {(r["n"], r["code"]) for r in close.collect()} >= {(f"name of some length {i}", i) for i in range(50)}
